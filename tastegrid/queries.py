@@ -12,10 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastegrid import oracle as O
-from tastegrid.operators import coldstart, metrics, popularity, predict, prepare, profile, search
+from tastegrid.functions import is_valid_rating
+from tastegrid.operators import (
+    coldstart,
+    factor,
+    metrics,
+    popularity,
+    predict,
+    prepare,
+    profile,
+    route,
+    search,
+    similar,
+    tuning,
+)
 from tastegrid.oracle import sql
-from tastegrid.sources import tables
-from tastegrid.sources.session import materialize
+from tastegrid.sources import sinks, tables
+from tastegrid.sources.session import materialize, work_folder
+from tastegrid.streaming import ratings as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -339,33 +353,14 @@ def genre_stats(t: Inputs) -> DataFrame:
     return profile.genre_stats(t.ratings, t.movies)
 
 
-# The names of the part table's types and name words.
-PART_WORDS = [
-    "ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD",
-    "blue", "bolt", "cold", "gear", "gizmo", "green", "hot", "large",
-    "new", "old", "plate", "red", "ring", "rod", "small", "widget",
-]
-
-
-def _onehot_sql(test: str) -> str:
-    flags = ", ".join(f"CAST({test.format(g=g)} AS INTEGER) AS \"{g}\"" for g in PART_WORDS)
-    tokens = ", ".join(f'"{g}"' for g in PART_WORDS)
-    return sql(
-        f"""SELECT movieId, 'genre_' || genre AS feature, flag
-        FROM (SELECT movieId, {flags} FROM movies) UNPIVOT (flag FOR genre IN ({tokens}))""",
-        "movies",
-    )
-
-
 def _long_features(wide: DataFrame) -> DataFrame:
-    # One row per flag: names that differ by case only are safe as values.
-    flags = [c for c in wide.columns if c != "movieId"]
-    return wide.select(
-        "movieId",
-        F.inline(
-            F.array(*[F.struct(F.lit(c).alias("feature"), wide[i + 1].alias("flag")) for i, c in enumerate(flags)])
-        ),
-    )
+    # Column names may differ by case only, so they are turned into values by position.
+    flags = wide.columns[1:]
+    numbered = wide.toDF("movieId", *[f"f{i}" for i in range(len(flags))])
+    entries = [
+        F.struct(F.lit(name).alias("feature"), F.col(f"f{i}").alias("flag")) for i, name in enumerate(flags)
+    ]
+    return numbered.select("movieId", F.inline(F.array(*entries)))
 
 
 @query(
@@ -560,8 +555,6 @@ def one_user_history(t: Inputs) -> DataFrame:
     )
 )
 def rating_validity(t: Inputs) -> DataFrame:
-    from tastegrid.functions import is_valid_rating
-
     return t.submissions.select(
         "event_id", "userId", "movieId", "rating", is_valid_rating("rating", "movieId").alias("valid")
     )
@@ -880,3 +873,364 @@ def hybrid_topn(t: Inputs) -> DataFrame:
     table = coldstart.stored_popularity(t.ratings, t.movies)
     sized = profile.with_history_size(t.ratings, t.users)
     return coldstart.hybrid(t.ratings, table, t.movies, sized).drop("set_key")
+
+
+# -------------------------------------------------------------------- ranking
+
+
+def _train_lists(t: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Popular lists from the training side and the relevant items of the test side, as tables."""
+    train, test = prepare.hash_split(t.ratings)
+    table = coldstart.stored_popularity(train, t.movies)
+    recs = coldstart.popular_for_users(train, table, t.users, 10)
+    return materialize(recs, "lists"), materialize(metrics.relevant_items(test), "relevant")
+
+
+def _ranking_sql(body: str, k: int) -> str:
+    return sql(
+        body,
+        "train",
+        "test",
+        "movies",
+        "users",
+        **O.popular_lists("train"),
+        rel="""SELECT userId, movieId, max(rating) AS gain FROM test WHERE rating >= 4.0
+            GROUP BY userId, movieId""",
+        hits=f"""SELECT c.userId, c.rank, r.gain, row_number() OVER (PARTITION BY c.userId ORDER BY c.rank) AS nth
+            FROM recs c JOIN rel r ON r.userId = c.userId AND r.movieId = c.movieId WHERE c.rank <= {k}""",
+        ideal=f"""SELECT userId, sum(1 / log2(place + 1)) AS idcg, sum(gain / log2(place + 1)) AS idcg_graded
+            FROM (SELECT *, row_number() OVER (PARTITION BY userId ORDER BY gain DESC, movieId) AS place FROM rel)
+            WHERE place <= {k} GROUP BY userId""",
+        per=f"""SELECT u.userId, coalesce(h.n, 0) / {k} AS precision, coalesce(h.n, 0) / u.n AS recall,
+            coalesce(h.ap, 0) / least(u.n, {k}) AS average_precision, coalesce(h.dcg, 0) / i.idcg AS ndcg,
+            coalesce(h.graded, 0) / i.idcg_graded AS ndcg_graded
+            FROM (SELECT userId, count(*) AS n FROM rel GROUP BY userId) u
+            JOIN ideal i ON i.userId = u.userId
+            LEFT JOIN (SELECT userId, count(*) AS n, sum(nth / rank) AS ap, sum(1 / log2(rank + 1)) AS dcg,
+                sum(gain / log2(rank + 1)) AS graded FROM hits GROUP BY userId) h ON h.userId = u.userId""",
+    )
+
+
+def _per_user_metric(name: str, column: str, k: int) -> None:
+    def run(t: Inputs) -> DataFrame:
+        recs, relevant = _train_lists(t)
+        return metrics.ranking_metrics(recs, relevant, k).select("userId", column)
+
+    run.__name__ = name
+    query(_ranking_sql(f"SELECT userId, round({column}, 6) AS {column} FROM per", k))(run)
+
+
+_per_user_metric("precision_at_k", "precision", 5)
+_per_user_metric("recall_at_k", "recall", 10)
+_per_user_metric("map_at_k", "average_precision", 10)
+_per_user_metric("ndcg_binary", "ndcg", 10)
+_per_user_metric("ndcg_graded", "ndcg_graded", 10)
+
+
+@query(
+    _ranking_sql(
+        """SELECT count(*) AS num_users, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,
+        round(avg(average_precision), 6) AS map, round(avg(ndcg), 6) AS ndcg,
+        round(avg(ndcg_graded), 6) AS ndcg_graded FROM per""",
+        10,
+    )
+)
+def ranking_report(t: Inputs) -> DataFrame:
+    recs, relevant = _train_lists(t)
+    return metrics.ranking_report(recs, relevant, 10)
+
+
+def _hybrid_recs(t: Inputs) -> DataFrame:
+    history = materialize(t.sparse, "history")
+    return materialize(coldstart.route_cold_start(history, t.movies, t.users), "lists")
+
+
+@query(
+    sql(
+        "SELECT round(count(DISTINCT movieId) / (SELECT count(*) FROM movies), 6) AS coverage FROM recs",
+        "sparse",
+        "movies",
+        "bridge",
+        "users",
+        **O.hybrid_lists("sparse", 3),
+    )
+)
+def coverage(t: Inputs) -> DataFrame:
+    return metrics.coverage(_hybrid_recs(t), t.movies)
+
+
+@query(
+    sql(
+        """SELECT round(1 - (SELECT sum(c / (20 - c)) FROM pairs)
+            / ((SELECT count(*) FROM users) * ((SELECT count(*) FROM users) - 1) / 2), 6) AS diversity""",
+        "sparse",
+        "movies",
+        "bridge",
+        "users",
+        **O.hybrid_lists("sparse", 3),
+        pairs="""SELECT a.userId AS u, b.userId AS v, count(*) AS c FROM recs a
+            JOIN recs b ON a.movieId = b.movieId AND a.userId < b.userId GROUP BY u, v""",
+    )
+)
+def diversity(t: Inputs) -> DataFrame:
+    return metrics.diversity(_hybrid_recs(t), t.users)
+
+
+@query(
+    sql(
+        """SELECT round(sqrt(avg((p - rating) ** 2)), 6) AS rmse, round(avg(abs(p - rating)), 6) AS mae,
+        count(*) AS n_test FROM (SELECT t.rating, coalesce(a.p, (SELECT avg(rating) FROM train)) AS p FROM test t
+        LEFT JOIN (SELECT movieId, avg(rating) AS p FROM train GROUP BY 1) a ON a.movieId = t.movieId)""",
+        "train",
+        "test",
+    )
+)
+def prediction_errors(t: Inputs) -> DataFrame:
+    train, test = prepare.hash_split(t.ratings)
+    return metrics.error_metrics(predict.AveragePredictor("movieId").fit(train).predict(test))
+
+
+# ----------------------------------------------------------------- similarity
+
+
+@query(
+    sql(
+        """SELECT movieId, CAST(rank AS INTEGER) AS rank, similarId, round(similarity, 6) AS similarity
+        FROM (SELECT *, row_number() OVER (PARTITION BY movieId ORDER BY similarity DESC, similarId) AS rank
+            FROM (SELECT a.movieId, b.movieId AS similarId, len(list_intersect(a.s, b.s))
+                / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS similarity
+                FROM sets a JOIN sets b ON a.movieId <> b.movieId)) WHERE rank <= 10""",
+        "movies",
+        sets="SELECT movieId, list_distinct(string_split(genres, '|')) AS s FROM movies",
+    )
+)
+def similar_by_genre(t: Inputs) -> DataFrame:
+    return similar.similar_by_genre(t.movies)
+
+
+@query(
+    sql(
+        """SELECT vec_id, CAST(rank AS INTEGER) AS rank, similarId, round(similarity, 3) AS similarity
+        FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, similarId) AS rank
+            FROM (SELECT a.vec_id, b.vec_id AS similarId, round(list_cosine_similarity(
+                a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS similarity
+                FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rank <= 10""",
+    )
+)
+def similar_by_vector(t: Inputs) -> DataFrame:
+    found = similar.similar_by_vector(t.vectors, 10, "vec_id", "embedding")
+    return found.withColumn("similarity", F.round("similarity", 3))
+
+
+# --------------------------------------------------------------- factor model
+
+# Small ranks keep the check short; the defaults are 100 factors and 20 epochs.
+SMALL_MODEL = {"n_factors": 8, "n_epochs": 4, "reg_all": 0.1}
+
+
+@query()
+def factor_metrics(t: Inputs) -> DataFrame:
+    train, test = prepare.hash_split(materialize(t.ratings, "ratings"))
+    return factor.FactorModel(**SMALL_MODEL).fit(train).evaluate(test)
+
+
+@query()
+def factor_predict(t: Inputs) -> DataFrame:
+    train, test = prepare.hash_split(materialize(t.ratings, "ratings"))
+    return factor.FactorModel(**SMALL_MODEL).fit(train).predict(test)
+
+
+@query()
+def factor_recommend(t: Inputs) -> DataFrame:
+    model = factor.FactorModel(**SMALL_MODEL).fit(materialize(t.ratings, "ratings"))
+    return model.recommend(t.users, t.movies, 10)
+
+
+@query()
+def factor_similar(t: Inputs) -> DataFrame:
+    model = factor.FactorModel(**SMALL_MODEL).fit(materialize(t.ratings, "ratings"))
+    return model.similar(t.movies, 10)
+
+
+@query()
+def route_service(t: Inputs) -> DataFrame:
+    history = materialize(t.sparse, "history")
+    model = factor.FactorModel(**SMALL_MODEL).fit(history)
+    return route.route_service(model, history, t.movies, t.users)
+
+
+@query()
+def route_integrated(t: Inputs) -> DataFrame:
+    history = materialize(t.sparse, "history")
+    model = factor.FactorModel(**SMALL_MODEL).fit(history)
+    return route.route_integrated(model, history, t.movies, t.users)
+
+
+@query()
+def cv_report(t: Inputs) -> DataFrame:
+    ratings = materialize(prepare.filter_cold_users(t.ratings), "ratings")
+    grid = {"n_factors": [4, 8], "n_epochs": [3], "reg_all": [0.1]}
+    return tuning.cv_summary(tuning.grid_search(ratings, grid, folds=2), list(grid))
+
+
+GRID = {"item_damping": [2.0, 10.0], "user_damping": [5.0]}
+# One set of views per configuration and fold, from the same hash buckets.
+_FOLD_SQL = " UNION ALL ".join(
+    f"""SELECT {c} AS config, {i} AS item_damping, {u} AS user_damping, {f} AS fold,
+        sqrt(avg((p - rating) ** 2)) AS rmse, avg(abs(p - rating)) AS mae, count(*) AS n_test
+        FROM (SELECT t.rating, greatest(0.5, least(5.0, m + coalesce(ib.b, 0) + coalesce(ub.b, 0))) AS p
+            FROM (SELECT * FROM folded WHERE bucket = {f}) t
+            CROSS JOIN (SELECT avg(rating) AS m FROM folded WHERE bucket <> {f}) mu
+            LEFT JOIN (SELECT movieId, sum(rating - m0) / (count(*) + {i}) AS b FROM folded
+                CROSS JOIN (SELECT avg(rating) AS m0 FROM folded WHERE bucket <> {f})
+                WHERE bucket <> {f} GROUP BY movieId) ib ON ib.movieId = t.movieId
+            LEFT JOIN (SELECT r.userId, sum(r.rating - m0 - x.b) / (count(*) + {u}) AS b FROM folded r
+                CROSS JOIN (SELECT avg(rating) AS m0 FROM folded WHERE bucket <> {f})
+                JOIN (SELECT movieId, sum(rating - m1) / (count(*) + {i}) AS b FROM folded
+                    CROSS JOIN (SELECT avg(rating) AS m1 FROM folded WHERE bucket <> {f})
+                    WHERE bucket <> {f} GROUP BY movieId) x ON x.movieId = r.movieId
+                WHERE bucket <> {f} GROUP BY r.userId) ub ON ub.userId = t.userId)"""
+    for c, (i, u) in enumerate((i, u) for i in GRID["item_damping"] for u in GRID["user_damping"])
+    for f in range(3)
+)
+_FOLDED = """SELECT *, CAST('0x' || substr(md5(userId || ':' || movieId || ':42'), 1, 8) AS BIGINT) % 3 AS bucket
+    FROM ratings"""
+
+
+def _bias_grid(t: Inputs) -> DataFrame:
+    ratings = materialize(t.ratings, "ratings")
+    return tuning.grid_search(ratings, GRID, folds=3, parallelism=4, model=predict.BiasPredictor)
+
+
+@query(
+    sql(
+        """SELECT config, CAST(item_damping AS DOUBLE) AS item_damping, CAST(user_damping AS DOUBLE) AS user_damping,
+        round(avg(rmse), 6) AS rmse, round(stddev_pop(rmse), 6) AS rmse_std, round(avg(mae), 6) AS mae,
+        round(stddev_pop(mae), 6) AS mae_std, CAST(sum(n_test) AS BIGINT) AS n_test
+        FROM scores GROUP BY config, item_damping, user_damping""",
+        "ratings",
+        folded=_FOLDED,
+        scores=_FOLD_SQL,
+    )
+)
+def cv_bias_summary(t: Inputs) -> DataFrame:
+    return tuning.cv_summary(_bias_grid(t), list(GRID))
+
+
+@query(
+    sql(
+        """SELECT param, value, round(avg(rmse), 6) AS mean_rmse FROM (
+            SELECT 'item_damping' AS param, CAST(item_damping AS DOUBLE) AS value, rmse FROM per
+            UNION ALL SELECT 'user_damping', CAST(user_damping AS DOUBLE), rmse FROM per) GROUP BY param, value""",
+        "ratings",
+        folded=_FOLDED,
+        scores=_FOLD_SQL,
+        per="SELECT config, item_damping, user_damping, avg(rmse) AS rmse FROM scores GROUP BY ALL",
+    )
+)
+def parameter_impact(t: Inputs) -> DataFrame:
+    return tuning.parameter_impact(_bias_grid(t), list(GRID))
+
+
+# ------------------------------------------------------- submissions, streams
+
+
+@query(
+    sql(
+        """SELECT n.userId, n.n AS ratings_submitted, n.n + coalesce(o.n, 0) AS total_ratings
+        FROM (SELECT userId, count(*) AS n FROM valid GROUP BY userId) n
+        LEFT JOIN (SELECT userId, count(*) AS n FROM sparse GROUP BY userId) o ON o.userId = n.userId""",
+        "valid",
+        "sparse",
+    )
+)
+def rating_append(t: Inputs) -> DataFrame:
+    return sinks.append_ratings(t.sparse, t.submissions, min_movie_id=0)
+
+
+INGEST_SQL = """SELECT event_id, userId, movieId, rating, "timestamp", coalesce(rating BETWEEN 0.5 AND 5.0
+    AND rating * 2 = floor(rating * 2) AND movieId >= 1, false) AS valid FROM submissions"""
+INGEST_COLUMNS = ["event_id", "userId", "movieId", "rating", "timestamp"]
+
+
+@query(sql(INGEST_SQL, "submissions"))
+def ingest_batch_twin(t: Inputs) -> DataFrame:
+    valid, invalid = search.split_valid(t.submissions)
+    return (
+        valid.select(*INGEST_COLUMNS)
+        .withColumn("valid", F.lit(True))
+        .unionByName(invalid.select(*INGEST_COLUMNS).withColumn("valid", F.lit(False)))
+    )
+
+
+@query(sql(INGEST_SQL, "submissions"))
+def ingest_stream(t: Inputs) -> DataFrame:
+    good, bad, state = (work_folder(t.spark, n) for n in ("ratings", "quarantine", "state"))
+    stream.ingest(tables.stream_submissions(t.spark, t.sf_dir), good, bad, state).awaitTermination()
+
+    def read(path: str, valid: bool) -> DataFrame:
+        return t.spark.read.parquet(path).select(*INGEST_COLUMNS, F.lit(valid).alias("valid"))
+
+    return read(good, True).unionByName(read(bad, False))
+
+
+TIER_SQL = """SELECT userId, count(*) AS num_ratings, CASE WHEN count(*) < 5 THEN 'genre_based'
+    ELSE 'personalized' END AS recommendation_type FROM {view} GROUP BY userId"""
+
+
+@query(sql(TIER_SQL.format(view="valid"), "valid"))
+def tier_counts_stream(t: Inputs) -> DataFrame:
+    valid, _ = search.split_valid(tables.stream_submissions(t.spark, t.sf_dir), min_movie_id=0)
+    path, state = work_folder(t.spark, "tiers"), work_folder(t.spark, "state")
+    stream.count_tiers(valid, path, state).awaitTermination()
+    return stream.current_tiers(t.spark, path)
+
+
+@query(sql(TIER_SQL.format(view="valid"), "valid"))
+def tier_counts(t: Inputs) -> DataFrame:
+    valid, _ = search.split_valid(t.submissions, min_movie_id=0)
+    return stream.tier_counts(valid)
+
+
+@query(sql("SELECT userId, count(DISTINCT event_id) AS num_ratings FROM submissions GROUP BY userId", "submissions"))
+def repeated_events_stream(t: Inputs) -> DataFrame:
+    """Every file is read twice, so each event arrives twice; the deduplicated count must not notice."""
+    once = tables.stream_submissions(t.spark, t.sf_dir)
+    again = tables.stream_submissions(t.spark, t.sf_dir)
+    distinct = stream.drop_repeats(once.unionByName(again), "40 days")
+    path, state = work_folder(t.spark, "counts"), work_folder(t.spark, "state")
+    stream.count_tiers(distinct, path, state).awaitTermination()
+    return stream.current_tiers(t.spark, path).select("userId", "num_ratings")
+
+
+@query(
+    sql(
+        """SELECT userId, CAST(k AS INTEGER) AS num_ratings, CASE WHEN k < 5 THEN 'genre_based'
+        ELSE 'personalized' END AS recommendation_type, "timestamp" AS since
+        FROM (SELECT *, row_number() OVER (PARTITION BY userId ORDER BY "timestamp", event_id) AS k FROM valid)
+        WHERE k IN (1, 5)""",
+        "valid",
+    )
+)
+def tier_replay(t: Inputs) -> DataFrame:
+    valid, _ = search.split_valid(t.submissions, min_movie_id=0)
+    return stream.tier_changes(valid)
+
+
+@query()
+def tier_refresh_stream(t: Inputs) -> DataFrame:
+    history = materialize(t.sparse, "history")
+    ratings, lists, state = (work_folder(t.spark, n) for n in ("ratings", "lists", "state"))
+    source = tables.stream_submissions(t.spark, t.sf_dir)
+    model = factor.FactorModel(**SMALL_MODEL).fit(history)
+    stream.refresh_lists(
+        source,
+        history,
+        t.movies,
+        ratings,
+        lists,
+        state,
+        min_movie_id=0,
+        personalized=lambda rows, users: route.personalized_lists(model, rows, t.movies, users),
+    ).awaitTermination()
+    return t.spark.read.parquet(lists).drop("batch")
