@@ -92,24 +92,35 @@ def day_index(ts: Column | str) -> Column:
     return F.weekday(_col(ts))
 
 
+# A prime below 2**31 and two multipliers below 2**30: no product leaves the bigint range.
+_PRIME = 2147483647
+_USER_FACTOR = 1000003
+_ITEM_FACTOR = 998244353
+_SEED_FACTOR = 7919
+
+
+def pair_hash(user: Column | str, movie: Column | str, seed: int = 42) -> Column:
+    """Hash of a (user, item) pair in 0 .. 2**31 - 2.
+
+    Integer arithmetic only, so it runs inside generated code and any SQL engine can repeat
+    it: a linear mix of the keys, raised to the fifth power modulo the prime (a permutation,
+    because 5 does not divide the prime minus 1).
+    """
+    p = F.lit(_PRIME).cast("bigint")
+    x = F.pmod(
+        F.pmod(_col(user), p) * _USER_FACTOR + F.pmod(_col(movie), p) * _ITEM_FACTOR + seed * _SEED_FACTOR, p
+    )
+    square = F.pmod(x * x, p)
+    return F.pmod(F.pmod(square * square, p) * x, p)
+
+
 def pair_bucket(user: Column | str, movie: Column | str, seed: int = 42, buckets: int = 10) -> Column:
     """Stable bucket of a (user, item) pair.
 
     The bucket depends on the key and the seed only, so it survives retries and
     repartitioning and keeps repeated ratings of one pair together.
     """
-    text = F.concat_ws(":", _col(user).cast("string"), _col(movie).cast("string"), F.lit(str(seed)))
-    return F.pmod(pair_hash_of(text), F.lit(buckets)).cast("int")
-
-
-def pair_hash(user: Column | str, movie: Column | str, seed: int = 42) -> Column:
-    """The 32-bit hash behind :func:`pair_bucket`, for ordering."""
-    text = F.concat_ws(":", _col(user).cast("string"), _col(movie).cast("string"), F.lit(str(seed)))
-    return pair_hash_of(text)
-
-
-def pair_hash_of(text: Column) -> Column:
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.pmod(pair_hash(user, movie, seed), F.lit(buckets)).cast("int")
 
 
 def activity_class(n: Column | str) -> Column:

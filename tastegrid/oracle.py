@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+PRIME = 2147483647
+_X = f"((userId % {PRIME} * 1000003 + movieId % {PRIME} * 998244353 + {42 * 7919}) % {PRIME})"
+_SQUARE = f"({_X} * {_X} % {PRIME})"
+PAIR_HASH = f"({_SQUARE} * {_SQUARE} % {PRIME} * {_X} % {PRIME})"
+
 VIEWS = {
     "ratings": """SELECT o_custkey AS "userId", l_partkey AS "movieId",
         CAST(ceil(l_quantity / 5) AS DOUBLE) * 0.5 AS rating,
@@ -10,13 +15,13 @@ VIEWS = {
     "movies": """SELECT p_partkey AS "movieId", p_name || ' #' || p_partkey AS title,
         p_type || '|' || replace(p_name, ' ', '|') AS genres FROM part""",
     "users": 'SELECT c_custkey AS "userId" FROM customer',
-    "sparse": """SELECT userId, movieId, max(rating) AS rating, max("timestamp") AS "timestamp" FROM ratings
-        WHERE CAST('0x' || substr(md5(userId || ':' || movieId || ':42'), 1, 8) AS BIGINT) % 10 = 3
+    "sparse": f"""SELECT userId, movieId, max(rating) AS rating, max("timestamp") AS "timestamp" FROM ratings
+        WHERE {PAIR_HASH} % 10 = 3
         GROUP BY userId, movieId""",
-    "train": """SELECT * FROM ratings
-        WHERE CAST('0x' || substr(md5(userId || ':' || movieId || ':42'), 1, 8) AS BIGINT) % 1000 >= 200""",
-    "test": """SELECT * FROM ratings
-        WHERE CAST('0x' || substr(md5(userId || ':' || movieId || ':42'), 1, 8) AS BIGINT) % 1000 < 200""",
+    "train": f"""SELECT * FROM ratings
+        WHERE {PAIR_HASH} % 1000 >= 200""",
+    "test": f"""SELECT * FROM ratings
+        WHERE {PAIR_HASH} % 1000 < 200""",
     "per_user": "SELECT userId, count(*) AS num_ratings FROM ratings GROUP BY userId",
     "per_item": "SELECT movieId, count(*) AS num_ratings, avg(rating) AS avg_rating FROM ratings GROUP BY movieId",
     "bridge": "SELECT movieId, unnest(string_split(genres, '|')) AS genre FROM movies WHERE genres IS NOT NULL",

@@ -41,17 +41,18 @@ def _best_in_block(n: int, cosine: bool, skip_self: bool, decimals: int):
             other = pd.Index(right_ids).get_indexer(gone["other_id"].astype("int64"))
             known = (at >= 0) & (other >= 0)
             scores[at[known], other[known]] = -np.inf
-        # The stable sort keeps the lower id first among equal scores.
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-        best = np.take_along_axis(scores, top, axis=1)
-        out = pd.DataFrame(
-            {
-                "left_id": np.repeat(left_ids, top.shape[1]),
-                "right_id": right_ids[top].ravel(),
-                "score": best.ravel(),
-            }
+        # Everything that reaches a row's n-th best score, ties included, then the exact cut.
+        width = min(n, scores.shape[1])
+        bound = -np.partition(-scores, width - 1, axis=1)[:, width - 1 : width]
+        at, col = np.nonzero((scores >= bound) & (scores > -np.inf))
+        value = scores[at, col]
+        order = np.lexsort((col, -value, at))
+        at, col, value = at[order], col[order], value[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        keep = place < n
+        return pd.DataFrame(
+            {"left_id": left_ids[at[keep]], "right_id": right_ids[col[keep]], "score": value[keep]}
         )
-        return out[np.isfinite(out["score"])]
 
     return run
 

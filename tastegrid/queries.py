@@ -65,6 +65,11 @@ class Inputs:
     def ratings(self) -> DataFrame:
         return tables.star_ratings(self.spark, self.sf_dir)
 
+    @property
+    def split(self) -> tuple[DataFrame, DataFrame]:
+        """(train, test) of the ratings view, which is joined once and stored for several passes."""
+        return prepare.hash_split(materialize(self.ratings, "ratings"))
+
     @property
     def movies(self) -> DataFrame:
         return tables.star_movies(self.spark, self.sf_dir)
@@ -160,8 +165,8 @@ def limited_ratings(t: Inputs) -> DataFrame:
 
 @query(
     sql(
-        """SELECT * FROM ratings
-        WHERE CAST('0x' || substr(md5(userId || ':' || movieId || ':42'), 1, 8) AS BIGINT) % 100 < 5""",
+        f"""SELECT * FROM ratings
+        WHERE {O.PAIR_HASH} % 100 < 5""",
         "ratings",
     )
 )
@@ -600,8 +605,8 @@ def split_sizes(t: Inputs) -> DataFrame:
             <= floor(count(*) OVER (PARTITION BY userId) * 0.2::DOUBLE + 0.5) THEN 'test' ELSE 'train' END AS fold
         FROM pairs""",
         "ratings",
-        pairs="""SELECT userId, movieId, count(*) AS copies,
-            CAST('0x' || substr(md5(userId || ':' || movieId || ':42'), 1, 8) AS BIGINT) AS h
+        pairs=f"""SELECT userId, movieId, count(*) AS copies,
+            {O.PAIR_HASH} AS h
             FROM ratings GROUP BY userId, movieId""",
     )
 )
@@ -666,7 +671,7 @@ def _key_average_sql(key: str) -> str:
 
 
 def _key_average(t: Inputs, key: str) -> DataFrame:
-    train, test = prepare.hash_split(t.ratings)
+    train, test = t.split
     return predict.AveragePredictor(key).fit(train.where(F.col(key) % 7 != 3)).predict(test)
 
 
@@ -700,7 +705,7 @@ BIAS_VIEWS = {
     )
 )
 def bias_predict(t: Inputs) -> DataFrame:
-    train, test = prepare.hash_split(t.ratings)
+    train, test = t.split
     return predict.BiasPredictor().fit(train).predict(test)
 
 
@@ -720,7 +725,7 @@ def bias_predict(t: Inputs) -> DataFrame:
     )
 )
 def baseline_comparison(t: Inputs) -> DataFrame:
-    train, test = prepare.hash_split(t.ratings)
+    train, test = t.split
     models = {
         "global_average": predict.AveragePredictor().fit(train),
         "item_average": predict.AveragePredictor("movieId").fit(train),
@@ -880,7 +885,7 @@ def hybrid_topn(t: Inputs) -> DataFrame:
 
 def _train_lists(t: Inputs) -> tuple[DataFrame, DataFrame]:
     """Popular lists from the training side and the relevant items of the test side, as tables."""
-    train, test = prepare.hash_split(t.ratings)
+    train, test = t.split
     table = coldstart.stored_popularity(train, t.movies)
     recs = coldstart.popular_for_users(train, table, t.users, 10)
     return materialize(recs, "lists"), materialize(metrics.relevant_items(test), "relevant")
@@ -986,7 +991,7 @@ def diversity(t: Inputs) -> DataFrame:
     )
 )
 def prediction_errors(t: Inputs) -> DataFrame:
-    train, test = prepare.hash_split(t.ratings)
+    train, test = t.split
     return metrics.error_metrics(predict.AveragePredictor("movieId").fit(train).predict(test))
 
 
@@ -1030,13 +1035,13 @@ SMALL_MODEL = {"n_factors": 8, "n_epochs": 4, "reg_all": 0.1}
 
 @query()
 def factor_metrics(t: Inputs) -> DataFrame:
-    train, test = prepare.hash_split(materialize(t.ratings, "ratings"))
+    train, test = t.split
     return factor.FactorModel(**SMALL_MODEL).fit(train).evaluate(test)
 
 
 @query()
 def factor_predict(t: Inputs) -> DataFrame:
-    train, test = prepare.hash_split(materialize(t.ratings, "ratings"))
+    train, test = t.split
     return factor.FactorModel(**SMALL_MODEL).fit(train).predict(test)
 
 
@@ -1093,7 +1098,7 @@ _FOLD_SQL = " UNION ALL ".join(
     for c, (i, u) in enumerate((i, u) for i in GRID["item_damping"] for u in GRID["user_damping"])
     for f in range(3)
 )
-_FOLDED = """SELECT *, CAST('0x' || substr(md5(userId || ':' || movieId || ':42'), 1, 8) AS BIGINT) % 3 AS bucket
+_FOLDED = f"""SELECT *, {O.PAIR_HASH} % 3 AS bucket
     FROM ratings"""
 
 
