@@ -26,13 +26,13 @@ def _best_in_block(n: int, cosine: bool, skip_self: bool, decimals: int):
         rows = left[left["other_id"].isna()]
         if rows.empty or right.empty:
             return empty
-        right = right.sort_values("id", kind="stable")
+        right = right.sort_values("right_id")
         a = np.stack(rows["vec"].to_numpy()).astype("float64")
-        b = np.stack(right["vec"].to_numpy()).astype("float64")
+        b = np.stack(right["right_vec"].to_numpy()).astype("float64")
         if cosine:
             a, b = unit(a), unit(b)
         scores = np.round(a @ b.T, decimals)
-        left_ids, right_ids = rows["id"].to_numpy(), right["id"].to_numpy()
+        left_ids, right_ids = rows["id"].to_numpy(), right["right_id"].to_numpy()
         if skip_self:
             scores[left_ids[:, None] == right_ids[None, :]] = -np.inf
         gone = left[left["other_id"].notna()]
@@ -101,7 +101,10 @@ def block_top_n(
             ).distinct()
         )
     right_rows = right.select(
-        all_blocks(left_blocks).alias("lb"), block("id", right_blocks).alias("rb"), "id", "vec"
+        all_blocks(left_blocks).alias("lb"),
+        block("id", right_blocks).alias("rb"),
+        F.col("id").alias("right_id"),
+        F.col("vec").alias("right_vec"),
     )
     best = (
         left_rows.groupBy("lb", "rb")
