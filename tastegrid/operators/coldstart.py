@@ -20,7 +20,7 @@ from tastegrid.plans.skew import row_counts, salted_join
 from tastegrid.sources.session import materialize
 
 # List depths are computed in steps, so that one long history does not lengthen every list.
-DEPTH_STEPS = (64, 1024, 16384)
+DEPTH_STEPS = (128, 1024, 16384)
 
 NO_GENRES: list[str] = []
 
@@ -28,10 +28,18 @@ LIST_COLUMNS = ["userId", "rank", "movieId", "title", "genres", "score", "num_ra
 
 
 def latest_ratings(ratings: DataFrame) -> DataFrame:
-    """One row per (user, item): the latest rating, the higher one at equal times."""
-    has_time = "timestamp" in ratings.columns
-    order = F.struct("timestamp", "rating") if has_time else F.col("rating")
-    return ratings.groupBy("userId", "movieId").agg(F.max_by("rating", order).alias("rating"))
+    """One row per (user, item): the latest rating, the higher one at equal times.
+
+    Time and rating are packed into one integer, because the maximum of a number is a hash
+    aggregate and the maximum of a struct is a sort. Ratings are below 10, in steps of 0.01 or more.
+    """
+    stars = F.round(F.col("rating") * 100).cast("bigint")
+    packed = F.col("timestamp") * 1000 + stars if "timestamp" in ratings.columns else stars
+    return (
+        ratings.groupBy("userId", "movieId")
+        .agg(F.max(packed).alias("packed"))
+        .select("userId", "movieId", (F.pmod("packed", F.lit(1000)) / 100).alias("rating"))
+    )
 
 
 def liked_genres(ratings: DataFrame, movies: DataFrame, liked: float = LIKED_RATING) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tastegrid.functions.columns import RELEVANT_RATING
 from tastegrid.plans.ranking import top_n_per_key
 from tastegrid.plans.skew import row_counts, salted_join
+from tastegrid.sources.session import materialize
 
 
 def error_metrics(scored: DataFrame, prediction: str = "prediction", actual: str = "rating") -> DataFrame:
@@ -132,64 +133,56 @@ def diversity(recs: DataFrame, users: DataFrame | None = None, max_length: int =
             ),
         )
     )
-    distinct = lists.groupBy("items").agg(F.count(F.lit(1)).alias("mult")).withColumn(
-        "len", F.size("items")
+    distinct = materialize(
+        lists.groupBy("items").agg(F.count(F.lit(1)).alias("mult")).withColumn("len", F.size("items")),
+        "distinct-lists",
     )
+    # At most max_length different lengths; each gets its own column of counts.
+    lengths = sorted(r.len for r in distinct.select("len").distinct().collect())
     entries = distinct.select("items", "len", "mult", F.explode("items").alias("movieId"))
     per_item = row_counts(entries, "movieId", "lists")
     shared = per_item.where(F.col("lists") > 1).select("movieId")
     kept = (
         salted_join(entries, shared, "movieId", per_item, "lists", "left_semi")
         .groupBy("items", "len", "mult")
-        .agg(F.array_sort(F.collect_set("movieId")).alias("core"))
+        .agg(F.array_sort(F.collect_set(F.col("movieId").cast("string"))).alias("core"))
     )
-    # Pairs of equal lists have similarity 1; they are counted by multiplicity.
+    mask = F.col("mask")
+    chosen = [F.when(mask.bitwiseAND(1 << i) != 0, F.get("core", F.lit(i))) for i in range(max_length)]
     subsets = (
-        kept.select(
-            "len",
-            "mult",
-            "core",
-            F.explode(F.expr("sequence(1, shiftleft(1, size(core)) - 1)")).alias("mask"),
-        )
-        .select(
-            "len",
-            "mult",
-            F.expr("filter(core, (x, i) -> (shiftright(mask, i) & 1) = 1)").alias("subset"),
-        )
-        .groupBy("subset", "len")
-        .agg(F.sum("mult").alias("w"), F.sum(F.col("mult") * F.col("mult")).alias("w2"))
-    )
-    # One entry per list length, so at most max_length entries per subset. All weights are
-    # looked up in a table of (length sum, subset size).
-    a, b = F.col("a"), F.col("b")
-    pairs = (
-        subsets.groupBy("subset")
-        .agg(F.collect_list(F.struct("len", "w", "w2")).alias("by_len"))
-        .select(F.size("subset").alias("j"), "by_len")
-        .select("j", "by_len", F.explode("by_len").alias("a"))
-        .select("j", "a", F.explode("by_len").alias("b"))
-        .where(a["len"] <= b["len"])
-        .select(
-            "j",
-            (a["len"] + b["len"]).alias("total"),
-            F.when(a["len"] < b["len"], a["w"] * b["w"])
-            # lists that are equal are left out here: w2 counts their pairs twice over
-            .otherwise((a["w"] * a["w"] - a["w2"]) / 2)
-            .cast("double")
-            .alias("pairs"),
+        kept.select("len", "mult", "core", F.explode(F.expr("sequence(1, shiftleft(1, size(core)) - 1)")).alias("mask"))
+        .select("len", "mult", F.bit_count("mask").alias("j"), F.concat_ws(",", *chosen).alias("subset"))
+        .groupBy("subset", "j")
+        .agg(
+            *[F.sum(F.when(F.col("len") == n, F.col("mult")).otherwise(0)).alias(f"w{n}") for n in lengths],
+            *[
+                F.sum(F.when(F.col("len") == n, F.col("mult") * F.col("mult")).otherwise(0)).alias(f"s{n}")
+                for n in lengths
+            ],
         )
-        .groupBy("j", "total")
-        .agg(F.sum("pairs").alias("pairs"))
     )
-    weights = F.create_map(
+
+    def pairs(a: int, b: int):
+        if a < b:
+            return F.col(f"w{a}") * F.col(f"w{b}")
+        # Pairs of users with equal lists are left out here: they are counted by multiplicity.
+        return (F.col(f"w{a}") * F.col(f"w{a}") - F.col(f"s{a}")) / 2
+
+    by_size = subsets.groupBy("j").agg(
         *[
-            x
-            for total in range(2, 2 * max_length + 1)
-            for j in range(1, max_length + 1)
-            for x in (F.lit(total * 100 + j), F.lit(_newton_weight(total, j)))
+            F.sum(pairs(a, b).cast("double")).alias(f"p{a}_{b}")
+            for a in lengths
+            for b in lengths
+            if a <= b
         ]
     )
-    overlap = pairs.agg(F.sum(F.col("pairs") * weights[F.col("total") * 100 + F.col("j")])).scalar()
+
+    def weighted(a: int, b: int):
+        weight = F.array(*[F.lit(_newton_weight(a + b, j)) for j in range(1, max_length + 1)])
+        return F.col(f"p{a}_{b}") * F.element_at(weight, F.col("j"))
+
+    terms = [weighted(a, b) for a in lengths for b in lengths if a <= b]
+    overlap = by_size.agg(F.sum(sum(terms[1:], terms[0]) if terms else F.lit(0.0))).scalar()
     equal = distinct.agg(F.sum(F.col("mult") * (F.col("mult") - 1) / 2)).scalar()
     listed = lists.agg(F.count(F.lit(1)).alias("u"))
     if users is None:

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from tastegrid.functions import blend_score, genre_set
 from tastegrid.operators.popularity import popular_order
 from tastegrid.plans.ranking import top_n_per_key
-
-SPREAD = 16
+from tastegrid.plans.skew import spread_join
 
 
 def with_classes(items: DataFrame) -> DataFrame:
@@ -22,35 +21,21 @@ def with_classes(items: DataFrame) -> DataFrame:
     return items.withColumn("class_key", genre_set("genres"))
 
 
-def class_overlaps(sets: DataFrame, classes: DataFrame, spread: int = SPREAD) -> DataFrame:
+def class_overlaps(sets: DataFrame, classes: DataFrame) -> DataFrame:
     """(set_key, class_key, overlap) for sets and classes that share a genre, with the other class columns.
 
-    An inverted-index join on the genre. A genre found in most sets would send them all to
-    one task, so sets are spread over ``spread`` salts and the short class index is repeated.
+    An inverted-index join on the genre, spread by set, because one genre may be in most sets.
     """
     extra = [c for c in classes.columns if c != "class_key"]
-    left = sets.select(
-        "set_key",
-        F.pmod(F.xxhash64("set_key"), F.lit(spread)).cast("int").alias("salt"),
-        F.explode("set_key").alias("genre"),
-    )
-    right = classes.select("class_key", *extra, F.explode("class_key").alias("genre")).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
-    )
+    left = sets.select("set_key", F.explode("set_key").alias("genre"))
+    right = classes.select("class_key", *extra, F.explode("class_key").alias("genre"))
     return (
-        left.join(right, ["genre", "salt"])
+        spread_join(left, right, ["genre"], "set_key")
         .groupBy("set_key", "class_key")
         .agg(F.count(F.lit(1)).alias("overlap"), *[F.max(c).alias(c) for c in extra])
     )
 
 
-def repeat_for_sets(sets: DataFrame, rows: DataFrame, spread: int = SPREAD) -> DataFrame:
-    """Every row of a short list for every set: an equi-join over ``spread`` copies of the list."""
-    left = sets.select("set_key", F.pmod(F.xxhash64("set_key"), F.lit(spread)).cast("int").alias("salt"))
-    right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    return left.join(right, "salt").drop("salt")
-
-
 def rank_for_sets(sets: DataFrame, items: DataFrame, depth: int) -> DataFrame:
     """First ``depth`` items per preference set by 0.6 * popularity / 5 + 0.4 * match.
 
@@ -72,7 +57,7 @@ def rank_for_sets(sets: DataFrame, items: DataFrame, depth: int) -> DataFrame:
     best = top_n_per_key(pairs, "set_key", [F.desc("score"), F.asc("movieId")], depth, "place").select(
         "set_key", "class_key", "overlap"
     )
-    matching = best.join(short, "class_key").select(
+    matching = spread_join(best, short, ["class_key"], "set_key").select(
         "set_key",
         "movieId",
         "popularity_score",
@@ -80,7 +65,7 @@ def rank_for_sets(sets: DataFrame, items: DataFrame, depth: int) -> DataFrame:
     )
     leading = known.orderBy(*popular_order()).limit(depth)
     other = (
-        repeat_for_sets(sets, leading)
+        spread_join(sets, leading, [], "set_key")
         .where(~F.arrays_overlap("set_key", "class_key"))
         .select(
             "set_key",

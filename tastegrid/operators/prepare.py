@@ -47,7 +47,7 @@ def stratified_split(ratings: DataFrame, test_size: float = 0.2, seed: int = 42,
         .withColumn("h", pair_hash("userId", "movieId", seed))
     )
     sizes = pairs.groupBy("userId").agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_keys(sizes, "userId", "n").withColumn("hot", F.lit(True))
+    hot = hot_keys(sizes, "userId", "n").select("userId", F.lit(True).alias("hot"))
     width = (1 << 31) // slices
     sliced = pairs.join(F.broadcast(hot), "userId", "left").withColumn(
         "slice", F.when(F.col("hot"), F.floor(F.col("h") / width)).otherwise(F.lit(0)).cast("int")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.operators.overlap import class_overlaps, repeat_for_sets, with_classes
+from tastegrid.operators.overlap import class_overlaps, with_classes
 from tastegrid.plans.blocks import block_top_n
 from tastegrid.plans.ranking import check_n, top_n_per_key
-from tastegrid.plans.skew import row_counts, salted_join
+from tastegrid.plans.skew import row_counts, salted_join, spread_join
 from tastegrid.sources.session import materialize
 
 
@@ -34,12 +34,12 @@ def similar_by_genre(movies: DataFrame, n: int = 10, targets: DataFrame | None =
     union = F.size("set_key") + F.size("class_key") - F.col("overlap")
     pairs = class_overlaps(sets, leaders).withColumn("similarity", F.col("overlap") / union)
     best = top_n_per_key(pairs, "set_key", [F.desc("similarity"), F.asc("movieId")], depth, "place")
-    matching = best.select("set_key", "class_key", "similarity").join(short, "class_key").select(
-        "set_key", "movieId", "similarity"
-    )
+    matching = spread_join(
+        best.select("set_key", "class_key", "similarity"), short, ["class_key"], "set_key"
+    ).select("set_key", "movieId", "similarity")
     lowest = keyed.orderBy("movieId").limit(depth)
     other = (
-        repeat_for_sets(sets, lowest)
+        spread_join(sets, lowest, [], "set_key")
         .where(~F.arrays_overlap("set_key", "class_key"))
         .select("set_key", "movieId", F.lit(0.0).alias("similarity"))
     )

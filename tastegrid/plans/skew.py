@@ -16,14 +16,21 @@ from pyspark.sql import functions as F
 # than HOT_SHARE hot keys however large the data is. That bound makes the list of
 # hot keys safe to broadcast.
 HOT_SHARE = 1000
-SALTS = 32
+# Salts per shuffle partition that a key would fill on its own.
+SALTS_PER_PARTITION = 4
 
 
 def hot_keys(counts: DataFrame, key: str | Sequence[str], weight: str, share: int = HOT_SHARE) -> DataFrame:
-    """Keys whose weight is more than ``1/share`` of the total: fewer than ``share`` rows."""
+    """Keys whose weight is more than ``1/share`` of the total: fewer than ``share`` rows.
+
+    ``__salts`` is the number of parts a key is cut into: its share of the total times the
+    shuffle partitions of the session times ``SALTS_PER_PARTITION``, and at least 2.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    total = counts.agg(F.sum(weight)).scalar()
-    return counts.where(F.col(weight) > total / F.lit(share)).select(*keys)
+    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.col(weight) / counts.agg(F.sum(weight)).scalar()
+    salts = F.greatest(F.lit(2), F.ceil(part * (partitions * SALTS_PER_PARTITION)).cast("int"))
+    return counts.where(part > 1 / share).select(*keys, salts.alias("__salts"))
 
 
 def salted_join(
@@ -34,9 +41,8 @@ def salted_join(
     weight: str,
     how: str = "left",
     condition=None,
-    salts: int = SALTS,
 ) -> DataFrame:
-    """Join ``facts`` to ``lookup`` on ``key`` with the hot keys spread over ``salts`` tasks.
+    """Join ``facts`` to ``lookup`` on ``key`` with the hot keys spread over many tasks.
 
     ``counts`` holds one row per key with the number of fact rows in ``weight``.
     Rows of a hot key are salted by the map task they come from: a retried task
@@ -46,33 +52,39 @@ def salted_join(
     takes the two frames and returns an extra predicate.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    hot = F.broadcast(hot_keys(counts, keys, weight).withColumn("__hot", F.lit(True)))
-    left = facts.join(hot, keys, "left").withColumn(
-        "__salt",
-        F.when(F.col("__hot"), F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(F.lit(0)),
+    hot = F.broadcast(hot_keys(counts, keys, weight))
+    salts = F.coalesce("__salts", F.lit(1))
+    left = (
+        facts.join(hot, keys, "left")
+        .withColumn("__salt", F.pmod(F.spark_partition_id(), salts))
+        .drop("__salts")
     )
     right = (
         lookup.join(hot, keys, "left")
-        .withColumn(
-            "__salt",
-            F.explode(
-                F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-            ),
-        )
-        .drop("__hot")
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        .drop("__salts")
     )
     on = [*keys, "__salt"]
     if condition is None:
-        joined = left.join(right, on, how)
-    else:
-        renamed = right.select(
-            *[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in right.columns]
-        )
-        predicate = condition(left, renamed)
-        for c in on:
-            predicate = predicate & (left[c] == renamed[f"__r_{c}"])
-        joined = left.join(renamed, predicate, how).drop(*[f"__r_{c}" for c in on])
-    return joined.drop("__hot", "__salt")
+        return left.join(right, on, how).drop("__salt")
+    renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in right.columns])
+    predicate = condition(left, renamed)
+    for c in on:
+        predicate = predicate & (left[c] == renamed[f"__r_{c}"])
+    return left.join(renamed, predicate, how).drop("__salt", *[f"__r_{c}" for c in on])
+
+
+def spread_join(
+    left: DataFrame, short: DataFrame, keys: Sequence[str], by: str, spread: int = 16
+) -> DataFrame:
+    """Inner join with a short right side whose keys are unevenly wanted.
+
+    The left rows of a key are spread over ``spread`` tasks by the hash of ``by``; the short
+    side is repeated ``spread`` times. With no ``keys`` every left row meets the whole short side.
+    """
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(spread)).cast("int"))
+    repeated = short.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return salted.join(repeated, [*keys, "__salt"]).drop("__salt")
 
 
 def row_counts(facts: DataFrame, key: str | Sequence[str], weight: str = "__rows") -> DataFrame:
