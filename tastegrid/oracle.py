@@ -15,9 +15,10 @@ VIEWS = {
     "movies": """SELECT p_partkey AS "movieId", p_name || ' #' || p_partkey AS title,
         p_type || '|' || replace(p_name, ' ', '|') AS genres FROM part""",
     "users": 'SELECT c_custkey AS "userId" FROM customer',
-    "sparse": f"""SELECT userId, movieId, max(rating) AS rating, max("timestamp") AS "timestamp" FROM ratings
-        WHERE {PAIR_HASH} % 10 = 3
-        GROUP BY userId, movieId""",
+    "baskets": """SELECT l_orderkey AS "userId", l_partkey AS "movieId",
+        CAST(ceil(l_quantity / 5) AS DOUBLE) * 0.5 AS rating,
+        CAST(epoch(l_shipdate) AS BIGINT) AS "timestamp" FROM lineitem""",
+    "basket_users": 'SELECT o_orderkey AS "userId" FROM orders',
     "train": f"""SELECT * FROM ratings
         WHERE {PAIR_HASH} % 1000 >= 200""",
     "test": f"""SELECT * FROM ratings
@@ -47,32 +48,41 @@ def popularity(source: str, prefix: str = "") -> dict[str, str]:
     }
 
 
+def latest(source: str) -> str:
+    """The last rating per pair, the higher one at equal times."""
+    return f"""SELECT userId, movieId, max_by(rating, "timestamp" * 100 + rating) AS rating
+        FROM {source} GROUP BY userId, movieId"""
+
+
 def hybrid_lists(
-    source: str, top: int | None, n: int = 10, below: int | None = None, liked_source: str | None = None
+    source: str, users: str, top: int | None, n: int = 10, below: int | None = None
 ) -> dict[str, str]:
     """Brute-force lists for every user: each user is scored against each rated item. Last view: ``recs``."""
     cut = "" if top is None else f"WHERE place <= {top}"
     limit = "" if below is None else f"WHERE num_ratings < {below}"
     return {
         **popularity(source),
-        "sized": f"""SELECT * FROM (SELECT u.userId, coalesce(c.n, 0) AS num_ratings FROM users u
+        "latest": latest(source),
+        "sized": f"""SELECT * FROM (SELECT u.userId, coalesce(c.n, 0) AS num_ratings FROM {users} u
             LEFT JOIN (SELECT userId, count(*) AS n FROM {source} GROUP BY userId) c ON c.userId = u.userId) {limit}""",
-        "liked": f"""SELECT r.userId, b.genre, count(*) AS n FROM {liked_source or source} r
+        "liked": """SELECT r.userId, b.genre, count(*) AS n FROM latest r
             JOIN bridge b ON b.movieId = r.movieId WHERE r.rating >= 3.5 GROUP BY r.userId, b.genre""",
         "placed": """SELECT *, row_number() OVER (PARTITION BY userId ORDER BY n DESC, genre) AS place
             FROM liked""",
         "prefs": f"SELECT userId, list(genre) AS pref FROM placed {cut} GROUP BY userId",
-        "scored": """SELECT s.userId, s.num_ratings, p.movieId, p.title, p.genres,
+        "scored": """SELECT s.userId, p.movieId,
             CASE WHEN f.pref IS NULL THEN p.popularity_score
                  ELSE 0.6 * p.popularity_score / 5.0
                     + 0.4 * (len(list_intersect(f.pref, string_split(p.genres, '|'))) / len(f.pref))
             END AS score
             FROM sized s LEFT JOIN prefs f ON f.userId = s.userId CROSS JOIN pop p
             WHERE f.pref IS NULL OR p.genres IS NOT NULL""",
-        "recs": f"""SELECT * FROM (SELECT x.*, CAST(row_number() OVER (PARTITION BY x.userId
+        "ranked": f"""SELECT * FROM (SELECT x.*, CAST(row_number() OVER (PARTITION BY x.userId
             ORDER BY x.score DESC, x.movieId) AS INTEGER) AS rank FROM scored x
-            WHERE NOT EXISTS (SELECT 1 FROM {source} r WHERE r.userId = x.userId AND r.movieId = x.movieId))
+            WHERE NOT EXISTS (SELECT 1 FROM latest r WHERE r.userId = x.userId AND r.movieId = x.movieId))
             WHERE rank <= {n}""",
+        "recs": """SELECT k.userId, k.rank, k.movieId, p.title, p.genres, k.score, s.num_ratings
+            FROM ranked k JOIN pop p ON p.movieId = k.movieId JOIN sized s ON s.userId = k.userId""",
     }
 
 
@@ -92,7 +102,6 @@ def sql(body: str, *names: str, **views: str) -> str:
     """``body`` under a WITH clause of the named standard views and the given extra views."""
     needed: list[str] = []
     uses = {
-        "sparse": ["ratings"],
         "train": ["ratings"],
         "test": ["ratings"],
         "per_user": ["ratings"],

@@ -75,8 +75,12 @@ class Inputs:
         return tables.star_movies(self.spark, self.sf_dir)
 
     @property
-    def sparse(self) -> DataFrame:
-        return tables.star_sparse_ratings(self.spark, self.sf_dir)
+    def baskets(self) -> DataFrame:
+        return tables.star_baskets(self.spark, self.sf_dir)
+
+    @property
+    def basket_users(self) -> DataFrame:
+        return tables.star_basket_users(self.spark, self.sf_dir)
 
     @property
     def users(self) -> DataFrame:
@@ -228,8 +232,8 @@ def activity_summary(t: Inputs) -> DataFrame:
 
 CLASS_SQL = """CASE WHEN num_ratings = 0 THEN 'new_user' WHEN num_ratings < 5 THEN 'cold_start'
     WHEN num_ratings < 20 THEN 'moderate' ELSE 'active' END"""
-SIZED_SQL = """SELECT u.userId, coalesce(c.n, 0) AS num_ratings FROM users u LEFT JOIN
-    (SELECT userId, count(*) AS n FROM sparse GROUP BY userId) c ON c.userId = u.userId"""
+SIZED_SQL = """SELECT u.userId, coalesce(c.n, 0) AS num_ratings FROM basket_users u LEFT JOIN
+    (SELECT userId, count(*) AS n FROM baskets GROUP BY userId) c ON c.userId = u.userId"""
 
 
 @query(
@@ -249,25 +253,25 @@ def activity_classes(t: Inputs) -> DataFrame:
         f"""SELECT {CLASS_SQL} AS category, count(*) AS user_count,
         round(avg(num_ratings), 6) AS avg_ratings, min(num_ratings) AS min_ratings,
         max(num_ratings) AS max_ratings FROM sized GROUP BY 1""",
-        "sparse",
-        "users",
+        "baskets",
+        "basket_users",
         sized=SIZED_SQL,
     )
 )
 def cold_start_distribution(t: Inputs) -> DataFrame:
-    return profile.cold_start_distribution(t.sparse, t.users)
+    return profile.cold_start_distribution(t.baskets, t.basket_users)
 
 
 @query(
     sql(
         """SELECT count(*) AS total_users, CAST(count(*) FILTER (num_ratings < 5) AS BIGINT) AS cold_start_users,
         round(count(*) FILTER (num_ratings < 5) / count(*) * 100, 6) AS cold_start_percentage
-        FROM (SELECT userId, count(*) AS num_ratings FROM sparse GROUP BY userId)""",
-        "sparse",
+        FROM (SELECT userId, count(*) AS num_ratings FROM baskets GROUP BY userId)""",
+        "baskets",
     )
 )
 def cold_start_pct(t: Inputs) -> DataFrame:
-    return profile.cold_start_percentage(t.sparse)
+    return profile.cold_start_percentage(t.baskets)
 
 
 def _histogram_sql(view: str) -> str:
@@ -482,18 +486,16 @@ def data_quality(t: Inputs) -> DataFrame:
 
 @query(
     sql(
-        """SELECT CAST(coalesce((SELECT sum(n) FROM per WHERE movieId NOT IN (SELECT movieId FROM some_movies)), 0) AS BIGINT) AS orphan_ratings,
-        (SELECT count(*) FROM per WHERE movieId NOT IN (SELECT movieId FROM some_movies)) AS orphan_movies,
-        (SELECT count(*) FROM some_movies WHERE movieId NOT IN (SELECT movieId FROM per)) AS unrated_movies""",
+        """SELECT CAST(coalesce((SELECT sum(n) FROM per WHERE movieId NOT IN (SELECT movieId FROM movies)), 0) AS BIGINT) AS orphan_ratings,
+        (SELECT count(*) FROM per WHERE movieId NOT IN (SELECT movieId FROM movies)) AS orphan_movies,
+        (SELECT count(*) FROM movies WHERE movieId NOT IN (SELECT movieId FROM per)) AS unrated_movies""",
         "movies",
-        "sparse",
-        some_movies="SELECT * FROM movies WHERE NOT contains(genres, 'PROMO')",
-        per="SELECT movieId, count(*) AS n FROM sparse GROUP BY movieId",
+        "submissions",
+        per="SELECT movieId, count(*) AS n FROM submissions GROUP BY movieId",
     )
 )
 def referential_integrity(t: Inputs) -> DataFrame:
-    # A catalogue without one genre, so that orphans exist.
-    return profile.referential_integrity(t.sparse, t.movies.where(~F.contains("genres", F.lit("PROMO"))))
+    return profile.referential_integrity(t.submissions, t.movies)
 
 
 # ------------------------------------------------------------- filters, lookups
@@ -567,12 +569,13 @@ def rating_validity(t: Inputs) -> DataFrame:
 
 @query(
     sql(
-        """SELECT r.userId, r.movieId FROM sparse r WHERE r.rating >= 3.5""",
-        "sparse",
+        "SELECT userId, movieId FROM latest WHERE rating >= 3.5",
+        "ratings",
+        latest=O.latest("ratings"),
     )
 )
 def liked_pairs(t: Inputs) -> DataFrame:
-    latest = coldstart.latest_ratings(t.sparse)
+    latest = coldstart.latest_ratings(t.ratings)
     return latest.where(F.col("rating") >= 3.5).select("userId", "movieId")
 
 
@@ -616,24 +619,24 @@ def split_stratified(t: Inputs) -> DataFrame:
 
 @query(
     sql(
-        """SELECT * FROM sparse WHERE userId IN
-        (SELECT userId FROM sparse GROUP BY userId HAVING count(*) >= 5)""",
-        "sparse",
+        """SELECT * FROM baskets WHERE userId IN
+        (SELECT userId FROM baskets GROUP BY userId HAVING count(*) >= 5)""",
+        "baskets",
     )
 )
 def filter_cold_users(t: Inputs) -> DataFrame:
-    return prepare.filter_cold_users(t.sparse)
+    return prepare.filter_cold_users(t.baskets)
 
 
 @query(
     sql(
-        """SELECT * FROM sparse WHERE movieId IN
-        (SELECT movieId FROM sparse GROUP BY movieId HAVING count(*) >= 3)""",
-        "sparse",
+        """SELECT * FROM ratings WHERE movieId IN
+        (SELECT movieId FROM ratings GROUP BY movieId HAVING count(*) >= 30)""",
+        "ratings",
     )
 )
 def filter_cold_items(t: Inputs) -> DataFrame:
-    return prepare.filter_cold_items(t.sparse, 3)
+    return prepare.filter_cold_items(t.ratings, 30)
 
 
 @query(sql("SELECT userId, movieId, rating FROM ratings", "ratings"))
@@ -658,31 +661,34 @@ def predict_global(t: Inputs) -> DataFrame:
     return predict.AveragePredictor().fit(train).predict(test)
 
 
-def _key_average_sql(key: str) -> str:
-    return sql(
-        f"""SELECT {TEST_COLUMNS}, round(coalesce(a.m, (SELECT avg(rating) FROM kept)), 6) AS prediction
-        FROM test t LEFT JOIN (SELECT {key}, avg(rating) AS m FROM kept GROUP BY {key}) a
-        ON a.{key} = t.{key}""",
+@query(
+    sql(
+        f"""SELECT {TEST_COLUMNS}, round(coalesce(a.m, (SELECT avg(rating) FROM train)), 6) AS prediction
+        FROM test t LEFT JOIN (SELECT movieId, avg(rating) AS m FROM train GROUP BY movieId) a
+        ON a.movieId = t.movieId""",
         "train",
         "test",
-        # Every seventh key is left out of the training side, so that the fallback is used.
-        kept=f"SELECT * FROM train WHERE {key} % 7 <> 3",
     )
-
-
-def _key_average(t: Inputs, key: str) -> DataFrame:
-    train, test = t.split
-    return predict.AveragePredictor(key).fit(train.where(F.col(key) % 7 != 3)).predict(test)
-
-
-@query(_key_average_sql("movieId"))
+)
 def predict_item_avg(t: Inputs) -> DataFrame:
-    return _key_average(t, "movieId")
+    train, test = t.split
+    return predict.AveragePredictor("movieId").fit(train).predict(test)
 
 
-@query(_key_average_sql("userId"))
+@query(
+    sql(
+        f"""SELECT {TEST_COLUMNS}, round(coalesce(a.m, (SELECT avg(rating) FROM larger)), 6) AS prediction
+        FROM smaller t LEFT JOIN (SELECT userId, avg(rating) AS m FROM larger GROUP BY userId) a
+        ON a.userId = t.userId""",
+        "baskets",
+        larger=f"SELECT * FROM baskets WHERE {O.PAIR_HASH} % 1000 >= 200",
+        smaller=f"SELECT * FROM baskets WHERE {O.PAIR_HASH} % 1000 < 200",
+    )
+)
 def predict_user_avg(t: Inputs) -> DataFrame:
-    return _key_average(t, "userId")
+    # Short histories: some users of the test side are unknown and get the global mean.
+    train, test = prepare.hash_split(t.baskets)
+    return predict.AveragePredictor("userId").fit(train).predict(test)
 
 
 BIAS_VIEWS = {
@@ -807,19 +813,19 @@ def popular_for_users(t: Inputs) -> DataFrame:
             + 0.4 * (len(list_intersect(f.pref, string_split(p.genres, '|'))) / len(f.pref)) DESC, p.movieId)
             AS INTEGER) AS rank
             FROM prefs f CROSS JOIN pop p WHERE p.genres IS NOT NULL AND NOT EXISTS
-            (SELECT 1 FROM sparse r WHERE r.userId = f.userId AND r.movieId = p.movieId)) WHERE rank <= 10""",
+            (SELECT 1 FROM ratings r WHERE r.userId = f.userId AND r.movieId = p.movieId)) WHERE rank <= 10""",
         "ratings",
         "movies",
-        "sparse",
         "bridge",
         **O.popularity("ratings"),
-        prefs="""SELECT r.userId, list(DISTINCT b.genre) AS pref FROM sparse r
+        latest=O.latest("ratings"),
+        prefs="""SELECT r.userId, list(DISTINCT b.genre) AS pref FROM latest r
             JOIN bridge b ON b.movieId = r.movieId WHERE r.rating = 5.0 GROUP BY r.userId""",
     )
 )
 def genre_based_topn(t: Inputs) -> DataFrame:
-    table = coldstart.stored_popularity(t.ratings, t.movies)
-    history = materialize(t.sparse, "history")
+    history = materialize(t.ratings, "ratings")
+    table = coldstart.stored_popularity(history, t.movies)
     prefs = coldstart.preference_sets(history, t.movies, top=None, liked=5.0)
     prefs = prefs.withColumnRenamed("set_key", "genres")
     return coldstart.genre_based(prefs, table, 10, exclude=history).select(
@@ -835,30 +841,30 @@ REC_COLUMNS = "userId, rank, movieId, title, genres, round(score, 6) AS score, n
         f"""SELECT {REC_COLUMNS}, CASE WHEN num_ratings = 0 THEN 'cold_start_popular'
         WHEN num_ratings < 5 THEN 'cold_start_hybrid' ELSE 'collaborative_filtering_ready' END
         AS recommendation_type FROM recs""",
-        "sparse",
+        "baskets",
         "movies",
         "bridge",
-        "users",
-        **O.hybrid_lists("sparse", 3),
+        "basket_users",
+        **O.hybrid_lists("baskets", "basket_users", 3),
     )
 )
 def route_cold_start(t: Inputs) -> DataFrame:
-    return coldstart.route_cold_start(materialize(t.sparse, "history"), t.movies, t.users)
+    return coldstart.route_cold_start(t.baskets, t.movies, t.basket_users)
 
 
 @query(
     sql(
         f"""SELECT {REC_COLUMNS}, CASE WHEN num_ratings = 0 THEN 'cold_start' ELSE 'genre_based' END
         AS recommendation_type FROM recs""",
-        "sparse",
+        "baskets",
         "movies",
         "bridge",
-        "users",
-        **O.hybrid_lists("sparse", None, below=5),
+        "basket_users",
+        **O.hybrid_lists("baskets", "basket_users", None, below=5),
     )
 )
 def route_service_cold(t: Inputs) -> DataFrame:
-    return coldstart.route_service_cold(materialize(t.sparse, "history"), t.movies, t.users)
+    return coldstart.route_service_cold(t.baskets, t.movies, t.basket_users)
 
 
 @query(
@@ -869,9 +875,7 @@ def route_service_cold(t: Inputs) -> DataFrame:
         "movies",
         "bridge",
         "users",
-        latest="""SELECT userId, movieId, max_by(rating, "timestamp" * 100 + rating) AS rating
-            FROM ratings GROUP BY userId, movieId""",
-        **O.hybrid_lists("ratings", 3, liked_source="latest"),
+        **O.hybrid_lists("ratings", "users", 3),
     )
 )
 def hybrid_topn(t: Inputs) -> DataFrame:
@@ -946,18 +950,18 @@ def ranking_report(t: Inputs) -> DataFrame:
 
 
 def _hybrid_recs(t: Inputs) -> DataFrame:
-    history = materialize(t.sparse, "history")
+    history = materialize(t.ratings, "ratings")
     return materialize(coldstart.route_cold_start(history, t.movies, t.users), "lists")
 
 
 @query(
     sql(
         "SELECT round(count(DISTINCT movieId) / (SELECT count(*) FROM movies), 6) AS coverage FROM recs",
-        "sparse",
+        "ratings",
         "movies",
         "bridge",
         "users",
-        **O.hybrid_lists("sparse", 3),
+        **O.hybrid_lists("ratings", "users", 3),
     )
 )
 def coverage(t: Inputs) -> DataFrame:
@@ -968,11 +972,11 @@ def coverage(t: Inputs) -> DataFrame:
     sql(
         """SELECT round(1 - (SELECT sum(c / (20 - c)) FROM pairs)
             / ((SELECT count(*) FROM users) * ((SELECT count(*) FROM users) - 1) / 2), 6) AS diversity""",
-        "sparse",
+        "ratings",
         "movies",
         "bridge",
         "users",
-        **O.hybrid_lists("sparse", 3),
+        **O.hybrid_lists("ratings", "users", 3),
         pairs="""SELECT a.userId AS u, b.userId AS v, count(*) AS c FROM recs a
             JOIN recs b ON a.movieId = b.movieId AND a.userId < b.userId GROUP BY u, v""",
     )
@@ -1059,16 +1063,14 @@ def factor_similar(t: Inputs) -> DataFrame:
 
 @query()
 def route_service(t: Inputs) -> DataFrame:
-    history = materialize(t.sparse, "history")
-    model = factor.FactorModel(**SMALL_MODEL).fit(history)
-    return route.route_service(model, history, t.movies, t.users)
+    model = factor.FactorModel(**SMALL_MODEL).fit(t.baskets)
+    return route.route_service(model, t.baskets, t.movies, t.basket_users)
 
 
 @query()
 def route_integrated(t: Inputs) -> DataFrame:
-    history = materialize(t.sparse, "history")
-    model = factor.FactorModel(**SMALL_MODEL).fit(history)
-    return route.route_integrated(model, history, t.movies, t.users)
+    model = factor.FactorModel(**SMALL_MODEL).fit(t.baskets)
+    return route.route_integrated(model, t.baskets, t.movies, t.basket_users)
 
 
 @query()
@@ -1144,13 +1146,13 @@ def parameter_impact(t: Inputs) -> DataFrame:
     sql(
         """SELECT n.userId, n.n AS ratings_submitted, n.n + coalesce(o.n, 0) AS total_ratings
         FROM (SELECT userId, count(*) AS n FROM valid GROUP BY userId) n
-        LEFT JOIN (SELECT userId, count(*) AS n FROM sparse GROUP BY userId) o ON o.userId = n.userId""",
+        LEFT JOIN (SELECT userId, count(*) AS n FROM ratings GROUP BY userId) o ON o.userId = n.userId""",
         "valid",
-        "sparse",
+        "ratings",
     )
 )
 def rating_append(t: Inputs) -> DataFrame:
-    return sinks.append_ratings(t.sparse, t.submissions, min_movie_id=0)
+    return sinks.append_ratings(t.ratings, t.submissions, min_movie_id=0)
 
 
 INGEST_SQL = """SELECT event_id, userId, movieId, rating, "timestamp", coalesce(rating BETWEEN 0.5 AND 5.0
@@ -1222,14 +1224,36 @@ def tier_replay(t: Inputs) -> DataFrame:
     return stream.tier_changes(valid)
 
 
-@query()
+@query(
+    sql(
+        f"SELECT {REC_COLUMNS}, 'genre_based' AS recommendation_type FROM recs WHERE num_ratings > 0",
+        "baskets",
+        "movies",
+        "bridge",
+        "basket_users",
+        **O.hybrid_lists("baskets", "basket_users", None, below=5),
+    )
+)
 def tier_refresh_stream(t: Inputs) -> DataFrame:
-    history = materialize(t.sparse, "history")
+    """All order lines arrive as a stream; every touched user with a short history gets a list."""
+    ratings, lists, state = (work_folder(t.spark, n) for n in ("ratings", "lists", "state"))
+    table = coldstart.stored_popularity(t.baskets, t.movies)
+    nothing = t.spark.createDataFrame([], tables.RATINGS_SCHEMA)
+    source = tables.stream_baskets(t.spark, t.sf_dir)
+    stream.refresh_lists(
+        source, nothing, t.movies, ratings, lists, state, min_movie_id=0, popularity=table
+    ).awaitTermination()
+    return t.spark.read.parquet(lists).drop("batch")
+
+
+@query()
+def tier_refresh_personalized(t: Inputs) -> DataFrame:
+    """Event submissions refresh the factor-model lists of the users they touch."""
     ratings, lists, state = (work_folder(t.spark, n) for n in ("ratings", "lists", "state"))
-    source = tables.stream_submissions(t.spark, t.sf_dir)
+    history = materialize(t.ratings, "ratings")
     model = factor.FactorModel(**SMALL_MODEL).fit(history)
     stream.refresh_lists(
-        source,
+        tables.stream_submissions(t.spark, t.sf_dir),
         history,
         t.movies,
         ratings,

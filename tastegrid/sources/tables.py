@@ -85,16 +85,24 @@ def star_movies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def star_sparse_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tenth of the pairs of the ratings view, one row per pair: users with short histories."""
-    return (
-        star_ratings(spark, sf_dir)
-        .where(pair_bucket("userId", "movieId", 42, 10) == 3)
-        .groupBy("userId", "movieId")
-        .agg(F.max("rating").alias("rating"), F.max("timestamp").alias("timestamp"))
+def shape_baskets(lines: DataFrame) -> DataFrame:
+    """Order lines as ratings of parts by *orders*: most histories are shorter than five."""
+    return lines.select(
+        F.col("l_orderkey").alias("userId"),
+        F.col("l_partkey").alias("movieId"),
+        (F.ceil(F.col("l_quantity") / 5).cast("double") * 0.5).alias("rating"),
+        epoch_seconds("l_shipdate").alias("timestamp"),
     )
 
 
+def star_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape_baskets(_table(spark, sf_dir, "lineitem"))
+
+
+def star_basket_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("userId"))
+
+
 def star_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("userId"))
 
@@ -117,16 +125,23 @@ def star_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_submissions(_table(spark, sf_dir, "events"))
 
 
-def stream_submissions(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
-    """The same submissions as a stream over the events file."""
-    schema = _table(spark, sf_dir, "events").schema
-    events = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events*.parquet")
+def _stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int) -> DataFrame:
+    return (
+        spark.readStream.schema(_table(spark, sf_dir, name).schema)
+        .option("pathGlobFilter", f"{name}*.parquet")
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(sf_dir)
     )
-    return shape_submissions(events)
+
+
+def stream_submissions(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
+    """The same submissions as a stream over the events file."""
+    return shape_submissions(_stream(spark, sf_dir, "events", files_per_batch))
+
+
+def stream_baskets(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
+    """The basket ratings as a stream over the order lines."""
+    return shape_baskets(_stream(spark, sf_dir, "lineitem", files_per_batch))
 
 
 def star_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
