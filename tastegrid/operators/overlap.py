@@ -7,13 +7,15 @@ both depends on the genre vocabulary, not on the number of users or items.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegrid.functions import blend_score, genre_set
 from tastegrid.operators.popularity import popular_order
+from tastegrid.plans.indexing import dense_index
 from tastegrid.plans.ranking import top_n_per_key
 from tastegrid.plans.skew import spread_join
+from tastegrid.sources.session import materialize
 
 
 def with_classes(items: DataFrame) -> DataFrame:
@@ -21,21 +23,42 @@ def with_classes(items: DataFrame) -> DataFrame:
     return items.withColumn("class_key", genre_set("genres"))
 
 
+def numbered_sets(keys: DataFrame, key: str, number: str) -> DataFrame:
+    """Distinct arrays with a dense integer, written once: the joins below move integers, not arrays."""
+    return materialize(dense_index(keys, key).withColumnRenamed("idx", number), number)
+
+
 def class_overlaps(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(set_key, class_key, overlap) for sets and classes that share a genre, with the other class columns.
+    """(set_id, set_size, class_id, overlap) for sets and classes that share a genre, with the other class columns.
 
-    An inverted-index join on the genre, spread by set, because one genre may be in most sets.
+    ``sets`` has set_id and set_key, ``classes`` class_id and class_key. An inverted-index join
+    on the genre, spread by set, because one genre may be in most sets.
     """
-    extra = [c for c in classes.columns if c != "class_key"]
-    left = sets.select("set_key", F.explode("set_key").alias("genre"))
-    right = classes.select("class_key", *extra, F.explode("class_key").alias("genre"))
+    extra = [c for c in classes.columns if c not in ("class_id", "class_key")]
+    left = sets.select("set_id", F.size("set_key").alias("set_size"), F.explode("set_key").alias("genre"))
+    right = classes.select("class_id", *extra, F.explode("class_key").alias("genre"))
     return (
-        spread_join(left, right, ["genre"], "set_key")
-        .groupBy("set_key", "class_key")
-        .agg(F.count(F.lit(1)).alias("overlap"), *[F.max(c).alias(c) for c in extra])
+        spread_join(left, right, ["genre"], "set_id")
+        .groupBy("set_id", "class_id")
+        .agg(
+            F.count(F.lit(1)).alias("overlap"),
+            *[F.max(c).alias(c) for c in ("set_size", *extra)],
+        )
     )
 
 
+def best_classes(pairs: DataFrame, score: str, depth: int) -> DataFrame:
+    """The ``depth`` classes per set whose first item scores highest, with ``bound``.
+
+    With ``depth`` classes the lowest of these scores is reached by ``depth`` items, so no item
+    below it can be among the first ``depth``. With fewer classes there is no bound (null).
+    """
+    best = top_n_per_key(pairs, "set_id", [F.desc(score), F.asc("movieId")], depth, "place")
+    whole = Window.partitionBy("set_id")
+    full = F.count(F.lit(1)).over(whole) == depth
+    return best.withColumn("bound", F.when(full, F.min(score).over(whole)))
+
+
 def rank_for_sets(sets: DataFrame, items: DataFrame, depth: int) -> DataFrame:
     """First ``depth`` items per preference set by 0.6 * popularity / 5 + 0.4 * match.
 
@@ -45,35 +68,41 @@ def rank_for_sets(sets: DataFrame, items: DataFrame, depth: int) -> DataFrame:
     items without any preferred genre, those in the overall top ``depth``. Whatever is
     left out has ``depth`` better items before it.
     """
-    known = with_classes(items.where(F.col("genres").isNotNull()).select("movieId", "genres", "popularity_score"))
-    short = top_n_per_key(known, "class_key", popular_order(), depth, "class_rank").select(
-        "movieId", "class_key", "popularity_score", "class_rank"
+    known = with_classes(
+        items.where(F.col("genres").isNotNull()).select("movieId", "genres", "popularity_score")
     )
-    leaders = short.where(F.col("class_rank") == 1)
-    match = F.col("overlap") / F.size("set_key")
-    pairs = class_overlaps(sets, leaders.drop("class_rank")).withColumn(
-        "score", blend_score(F.col("popularity_score"), match)
+    keys = numbered_sets(sets, "set_key", "set_id")
+    class_keys = numbered_sets(known, "class_key", "class_id")
+    short = materialize(
+        top_n_per_key(known, "class_key", popular_order(), depth, "class_rank")
+        .join(class_keys, "class_key")
+        .select("class_id", "movieId", "popularity_score", "class_rank"),
+        "class-items",
     )
-    best = top_n_per_key(pairs, "set_key", [F.desc("score"), F.asc("movieId")], depth, "place").select(
-        "set_key", "class_key", "overlap"
+    leaders = short.where(F.col("class_rank") == 1).join(class_keys, "class_id")
+    match = F.col("overlap") / F.col("set_size")
+    pairs = class_overlaps(keys, leaders.drop("class_rank")).withColumn(
+        "score", blend_score(F.col("popularity_score"), match)
     )
-    matching = spread_join(best, short, ["class_key"], "set_key").select(
-        "set_key",
-        "movieId",
-        "popularity_score",
-        blend_score(F.col("popularity_score"), match).alias("score"),
+    best = best_classes(pairs, "score", depth).select("set_id", "set_size", "class_id", "overlap", "bound")
+    matching = (
+        spread_join(best, short, ["class_id"], "set_id")
+        .withColumn("score", blend_score(F.col("popularity_score"), match))
+        .where(F.col("bound").isNull() | (F.col("score") >= F.col("bound")))
+        .select("set_id", "movieId", "popularity_score", "score")
     )
     leading = known.orderBy(*popular_order()).limit(depth)
     other = (
-        spread_join(sets, leading, [], "set_key")
+        spread_join(keys, leading, [], "set_id")
         .where(~F.arrays_overlap("set_key", "class_key"))
         .select(
-            "set_key",
+            "set_id",
             "movieId",
             "popularity_score",
             blend_score(F.col("popularity_score"), F.lit(0.0)).alias("score"),
         )
     )
-    return top_n_per_key(
-        matching.unionByName(other), "set_key", [F.desc("score"), F.asc("movieId")], depth
+    ranked = top_n_per_key(
+        matching.unionByName(other), "set_id", [F.desc("score"), F.asc("movieId")], depth
     )
+    return ranked.join(keys, "set_id").select("set_key", "rank", "movieId", "popularity_score", "score")

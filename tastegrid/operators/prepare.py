@@ -9,6 +9,7 @@ from tastegrid.functions import day_index, genre_tokens, pair_bucket, utc_dateti
 from tastegrid.functions.columns import COLD_START_RATINGS, pair_hash
 from tastegrid.operators.profile import ratings_per
 from tastegrid.plans.skew import hot_keys, salted_join
+from tastegrid.sources.session import materialize
 
 _PRECISION = 1000
 
@@ -39,13 +40,11 @@ def stratified_split(ratings: DataFrame, test_size: float = 0.2, seed: int = 42,
 
     Each user gives ``floor(test_size * pairs + 0.5)`` pairs to the test side, lowest hash
     first. A hot user's pairs are cut into hash-ordered slices that are ranked separately
-    and then shifted by the sizes of the earlier slices, so no task ranks one whole user.
+    and then shifted by the sizes of the earlier slices, so no task ranks one whole user. The
+    pairs are written once, because sizes, slices and ranks all read them.
     """
-    pairs = (
-        ratings.groupBy("userId", "movieId")
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("h", pair_hash("userId", "movieId", seed))
-    )
+    counted = ratings.groupBy("userId", "movieId").agg(F.count(F.lit(1)).alias("copies"))
+    pairs = materialize(counted.withColumn("h", pair_hash("userId", "movieId", seed)), "pairs")
     sizes = pairs.groupBy("userId").agg(F.count(F.lit(1)).alias("n"))
     hot = hot_keys(sizes, "userId", "n").select("userId", F.lit(True).alias("hot"))
     width = (1 << 31) // slices

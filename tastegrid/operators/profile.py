@@ -373,8 +373,8 @@ def catalogue_facts(ratings: DataFrame, movies: DataFrame, top: int = 10) -> Dat
     rated = movies.join(per_item, "movieId", "left_semi").agg(rows())
     return (
         movies.agg(rows().alias("n"), F.avg(F.size(genre_tokens("genres"))).alias("mean_genres"))
-        .withColumn("share_rated", rated.scalar() / F.col("n"))
-        .withColumn("top_share", leading.scalar() / per_item.agg(F.sum("num_ratings")).scalar())
+        .withColumn("share_rated", F.try_divide(rated.scalar(), F.col("n")))
+        .withColumn("top_share", F.try_divide(leading.scalar(), per_item.agg(F.sum("num_ratings")).scalar()))
         .select("share_rated", "top_share", "mean_genres")
     )
 

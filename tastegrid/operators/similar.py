@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.operators.overlap import class_overlaps, with_classes
+from tastegrid.operators.overlap import best_classes, class_overlaps, numbered_sets, with_classes
 from tastegrid.plans.blocks import block_top_n
 from tastegrid.plans.ranking import check_n, top_n_per_key
 from tastegrid.plans.skew import row_counts, salted_join, spread_join
@@ -25,28 +25,38 @@ def similar_by_genre(movies: DataFrame, n: int = 10, targets: DataFrame | None =
     keyed = with_classes(movies.select("movieId", "genres")).select(
         "movieId", F.coalesce("class_key", F.lit([]).cast("array<string>")).alias("class_key")
     )
+    wanted = keyed if targets is None else keyed.join(targets.select("movieId"), "movieId", "left_semi")
+    class_keys = numbered_sets(keyed, "class_key", "class_id")
     short = materialize(
-        top_n_per_key(keyed, "class_key", [F.asc("movieId")], depth, "class_rank"), "genre-classes"
+        top_n_per_key(keyed, "class_key", [F.asc("movieId")], depth, "class_rank")
+        .join(class_keys, "class_key")
+        .select("class_id", "movieId", "class_rank"),
+        "class-items",
     )
-    leaders = short.where(F.col("class_rank") == 1).drop("class_rank")
-    wanted = keyed if targets is None else keyed.join(targets.select("movieId"), "movieId", "left_semi")
-    sets = wanted.select(F.col("class_key").alias("set_key")).distinct()
-    union = F.size("set_key") + F.size("class_key") - F.col("overlap")
-    pairs = class_overlaps(sets, leaders).withColumn("similarity", F.col("overlap") / union)
-    best = top_n_per_key(pairs, "set_key", [F.desc("similarity"), F.asc("movieId")], depth, "place")
-    matching = spread_join(
-        best.select("set_key", "class_key", "similarity"), short, ["class_key"], "set_key"
-    ).select("set_key", "movieId", "similarity")
+    leaders = short.where(F.col("class_rank") == 1).join(class_keys, "class_id")
+    sets = class_keys.select(F.col("class_id").alias("set_id"), F.col("class_key").alias("set_key"))
+    if targets is not None:
+        sets = sets.join(wanted.select(F.col("class_key").alias("set_key")), "set_key", "left_semi")
+    union = F.col("set_size") + F.size("class_key") - F.col("overlap")
+    pairs = (
+        class_overlaps(sets, leaders.select("class_id", "class_key", "movieId"))
+        .join(class_keys, "class_id")
+        .withColumn("similarity", F.col("overlap") / union)
+    )
+    best = best_classes(pairs, "similarity", depth).select("set_id", "class_id", "similarity")
+    matching = spread_join(best, short, ["class_id"], "set_id").select("set_id", "movieId", "similarity")
     lowest = keyed.orderBy("movieId").limit(depth)
     other = (
-        spread_join(sets, lowest, [], "set_key")
+        spread_join(sets, lowest, [], "set_id")
         .where(~F.arrays_overlap("set_key", "class_key"))
-        .select("set_key", "movieId", F.lit(0.0).alias("similarity"))
+        .select("set_id", "movieId", F.lit(0.0).alias("similarity"))
     )
-    lists = top_n_per_key(
-        matching.unionByName(other), "set_key", [F.desc("similarity"), F.asc("movieId")], depth, "list_rank"
-    ).select(
-        F.col("set_key").alias("class_key"), "list_rank", F.col("movieId").alias("similarId"), "similarity"
+    lists = (
+        top_n_per_key(
+            matching.unionByName(other), "set_id", [F.desc("similarity"), F.asc("movieId")], depth, "list_rank"
+        )
+        .join(class_keys, F.col("set_id") == class_keys.class_id)
+        .select("class_key", "list_rank", F.col("movieId").alias("similarId"), "similarity")
     )
     rows = salted_join(wanted, lists, "class_key", row_counts(keyed, "class_key"), "__rows", "inner")
     return top_n_per_key(

@@ -1139,6 +1139,23 @@ def parameter_impact(t: Inputs) -> DataFrame:
     return tuning.parameter_impact(_bias_grid(t), list(GRID))
 
 
+@query(
+    sql(
+        """SELECT 'rmse' AS measure, round(rmse, 6) AS score, config, item_damping, user_damping
+        FROM (SELECT * FROM per ORDER BY rmse, config LIMIT 1)
+        UNION ALL SELECT 'mae', round(mae, 6), config, item_damping, user_damping
+        FROM (SELECT * FROM per ORDER BY mae, config LIMIT 1)""",
+        "ratings",
+        folded=_FOLDED,
+        scores=_FOLD_SQL,
+        per="""SELECT config, CAST(item_damping AS DOUBLE) AS item_damping, CAST(user_damping AS DOUBLE) AS user_damping,
+            avg(rmse) AS rmse, avg(mae) AS mae FROM scores GROUP BY ALL""",
+    )
+)
+def tuning_best(t: Inputs) -> DataFrame:
+    return tuning.best_configs(_bias_grid(t), list(GRID))
+
+
 # ------------------------------------------------------- submissions, streams
 
 

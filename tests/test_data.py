@@ -92,6 +92,10 @@ def test_empty_tables(spark):
     assert profile.count_histogram(ratings, "userId").count() == 0
     assert profile.activity_classes(ratings).count() == 0
     assert prepare.filter_cold_users(ratings).count() == 0
+    assert profile.catalogue_facts(ratings, movies).first().share_rated is None
+    assert profile.rating_moments(ratings).first().mean_rating is None
+    assert profile.count_boxplot(ratings, "userId").first().q1 is None
+    assert {r.n for r in profile.data_quality(ratings, movies).collect()} == {0}
 
 
 def test_activity_classes(spark):
