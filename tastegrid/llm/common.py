@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -53,3 +53,20 @@ def to_batch(rows: Sequence[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def arrow_type(df: DataFrame, name: str) -> pa.DataType:
     return to_arrow_type(df.schema[name].dataType)
+
+
+def only_kept(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each document in ``kept`` (``id``, and ``h``: xxhash64 of the text), with all columns.
+
+    A document is an id with a text. Repeated rows are thinned before the shuffle, so they make no hot task.
+    The columns travel as one struct: none can clash with the names used here.
+    """
+    row = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(id_col).alias("id"),
+        F.xxhash64(text_of(text_col)).alias("h"),
+    )
+    order = Window.partitionBy("id", "h").orderBy("h")
+    single = row.withColumn("n", F.row_number().over(order)).where("n = 1").alias("d")
+    same = F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.h") == F.col("k.h"))
+    return single.join(kept.alias("k"), same, "left_semi").select("row.*")
