@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tastegrid.llm import bpe, simhash
+from tastegrid.llm import bpe, chunks, mixing, quality, simhash
 from tastegrid.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +42,51 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, radius=2)
+
+
+@query(
+    r"""
+    SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+        doc_id = min(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
+    FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+    WINDOW g AS (PARTITION BY norm)
+    """
+)
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal documents."""
+    return chunks.exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
+    return quality.quality_rules(read_table(spark, sf_dir, "documents")).select(columns)
+
+
+MIX = {"smoothing": 0.5, "epochs": 1.0, "seed": 1}
+
+
+@query(
+    r"""
+    WITH RECURSIVE sizes AS (SELECT source, sum(length(coalesce(text, '')) + 1)::DOUBLE AS size FROM documents GROUP BY source),
+    sums AS (SELECT sum(size) AS all_size, sum(pow(size, 0.5)) AS all_target FROM sizes),
+    rates AS (SELECT source, pow(size, 0.5) / all_target * all_size / size AS rate FROM sizes, sums),
+    parts AS (SELECT source, rate, greatest(1, ceil(rate / 16))::INT AS draws, rate / greatest(1, ceil(rate / 16)) AS part FROM rates),
+    cdf AS (
+        SELECT source, part, 0 AS k, exp(-part) AS p, exp(-part) AS total FROM parts
+        UNION ALL SELECT source, part, k + 1, p * part / (k + 1), total + p * part / (k + 1) FROM cdf WHERE k < 71),
+    tables AS (SELECT source, list(total) AS entries FROM cdf GROUP BY source),
+    drawn AS (
+        SELECT d.*, rate, list_sum(list_transform(range(1, draws + 1), lambda i: len(list_filter(entries,
+            lambda c: c <= ('0x' || substr(md5('1|' || d.doc_id || '|' || i), 1, 13))::BIGINT / 4503599627370496.0))))::INT AS copies
+        FROM documents d JOIN parts USING (source) JOIN tables USING (source))
+    SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, copies, round(rate, 6) AS rate,
+        ('0x' || substr(md5('1|order|' || doc_id || '|' || copy), 1, 13))::BIGINT / 4503599627370496.0 AS order_key
+    FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM drawn)
+    """
+)
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus mixed to the square roots of its sources' sizes, once over, in random order."""
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), **MIX)
+    return mixed.select("row.*", "copy", "copies", F.round("rate", 6).alias("rate"), "order_key")
