@@ -22,6 +22,8 @@ MOST_REPEATED_PERCENT = 50
 # Items a sketch keeps per level (rank error about 0.3 %); rows below which a group's own sketch isn't used.
 SKETCH_K = 1024
 FEWEST_ROWS = 100
+# Added to the number of lines: one repeated line of three says little about a text.
+FEW_LINES = 3
 # Middle halves that a measure may lie above the third quartile.
 SPREADS = 3.0
 # What a measure may always lie above the quartile, so that groups without any spread don't reject small changes.
@@ -104,15 +106,15 @@ def measured(docs: DataFrame, id_col: str, text_col: str, group_cols: tuple[str,
     few = F.col("n_words") < FEWEST_WORDS
     repeated = F.lit(100) * F.col("n_repeat_words") > F.lit(MOST_REPEATED_PERCENT) * F.col("n_words")
 
-    def rate(a: str, b: str) -> Column:
-        return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    def rate(a: str, b: str, few: int = 0) -> Column:
+        return F.when(F.col(b) > 0, F.col(a) / (F.col(b) + few)).otherwise(F.lit(0.0))
 
     return counted.select(
         "*",
         (few | repeated).alias("base_failed"),
         rate("n_symbols", "word_chars").alias("symbol_rate"),
-        rate("n_dup_lines", "n_lines").alias("dup_line_rate"),
-        rate("n_repeat_words", "n_words").alias("repeat_rate"),
+        rate("n_dup_lines", "n_lines", FEW_LINES).alias("dup_line_rate"),
+        rate("n_repeat_words", "n_words", FEWEST_WORDS).alias("repeat_rate"),
         rate("n_upper", "word_chars").alias("upper_rate"),
         rate("word_chars", "n_words").alias("word_length"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import bpe, chunks, mixing, quality, simhash
+from tastegrid.llm import bpe, chunks, mixing, quality, simhash, urls
 from tastegrid.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,30 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus mixed to the square roots of its sources' sizes, once over, in random order."""
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"), **MIX)
     return mixed.select("row.*", "copy", "copies", F.round("rate", 6).alias("rate"), "order_key")
+
+
+@query(
+    r"""
+    WITH places AS (
+        SELECT page_id, translate(regexp_extract(u, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(u, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+        FROM (SELECT page_id, coalesce(url, '') AS u FROM pages)),
+    ruled AS (
+        SELECT *, CASE
+            WHEN regexp_matches(host, '(^|\.)example\.org$') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+            WHEN regexp_matches(host, '(^|\.)example\.org$') AND starts_with(path, '/es/') THEN 'example.org/es/'
+            WHEN regexp_matches(host, '(^|\.)com$') AND starts_with(path, '/fr/') THEN 'com/fr/'
+            WHEN regexp_matches(host, '(^|\.)com$') AND starts_with(path, '/de/') THEN 'com/de/'
+            WHEN regexp_matches(host, '(^|\.)org$') AND starts_with(path, '/') THEN 'org/'
+            END AS rule,
+            regexp_matches(host || path, '^([^/]*[.-])?(adult|casino|poker|bets|betting|lottery|pills|viagra|pharmacy|porn|sex|xxx|escort|spam|seo|clickbait|ads|adserver|ads-track|track|tracker|doubleclick|banner)[.-]')
+            OR regexp_matches(host || path, '^[^/]*/(.*/)?(login|signin|signup|logout|cart|checkout)([/.]|$)') AS bad
+        FROM places)
+    SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR bad THEN 'block' ELSE 'allow' END AS verdict
+    FROM ruled
+    """
+)
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    judged = urls.judge(read_table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
