@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import bpe, chunks, mixing, quality, simhash, urls
+from tastegrid.llm import bpe, chunks, licenses, mixing, quality, simhash, urls
 from tastegrid.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,9 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     judged = urls.judge(read_table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and statements in every document."""
+    return licenses.license_report(read_table(spark, sf_dir, "documents"))

@@ -128,7 +128,7 @@ def judge(
     split = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     places = materialize(split.select("host", "path").distinct(), "places")
     worded = places.withColumn("token", F.explode(url_tokens(F.col("host"), F.col("path"))))
-    table = rule_table(spark, rules)
+    table = materialize(rule_table(spark, rules), "rule-list")  # read back, its size is known to the planner
     wanted = table.select(F.explode("tokens").alias("token")).distinct()
     seen = worded.join(wanted, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("urls"))
     index = materialize(index_rules(table, materialize(seen, "tokens")), "rules")
