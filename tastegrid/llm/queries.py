@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import bpe, chunks, licenses, mixing, quality, simhash, urls
+from tastegrid.llm import bpe, chunks, licenses, lines, mixing, quality, simhash, urls
 from tastegrid.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,36 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and statements in every document."""
     return licenses.license_report(read_table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+    WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    numbered AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS no FROM split),
+    worded AS (
+        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS pos
+        FROM numbered WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+    runs AS (
+        SELECT doc_id, pos, line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c
+        FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    firsts AS (
+        SELECT doc_id, pos, first_value(doc_id) OVER w AS first_doc, first_value(pos) OVER w AS first_at
+        FROM runs WHERE c IS NOT NULL WINDOW w AS (PARTITION BY a, b, c ORDER BY doc_id, pos)),
+    gone AS (
+        SELECT DISTINCT doc_id, pos + k AS pos FROM firsts, range(3) t(k) WHERE doc_id <> first_doc OR pos >= first_at + 3),
+    counts AS (
+        SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before < pos - 1) AS n_runs
+        FROM (SELECT *, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM gone) GROUP BY doc_id),
+    kept AS (
+        SELECT n.doc_id, string_agg(n.line, chr(10) ORDER BY n.no) AS text, count(w.pos) AS n_worded
+        FROM numbered n LEFT JOIN worded w USING (doc_id, no) LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.pos = w.pos
+        WHERE g.pos IS NULL GROUP BY n.doc_id)
+    SELECT doc_id, coalesce(n_worded, 0) + coalesce(n_removed, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+        coalesce(n_runs, 0) AS n_runs, sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM split LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+    """
+)
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later copies of runs of three lines."""
+    cleaned = lines.remove_repeated_lines(read_table(spark, sf_dir, "documents"), min_lines=3)
+    return cleaned.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
