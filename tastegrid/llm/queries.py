@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import bpe, chunks, licenses, lines, mixing, quality, simhash, urls
+from tastegrid.llm import bpe, chunks, cotraining, licenses, lines, mixing, quality, simhash, urls
 from tastegrid.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without later copies of runs of three lines."""
     cleaned = lines.remove_repeated_lines(read_table(spark, sf_dir, "documents"), min_lines=3)
     return cleaned.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query()
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document, learned from the labels."""
+    docs, labels, pages = (read_table(spark, sf_dir, t) for t in ("documents", "labels", "pages"))
+    return cotraining.quality_scores(docs, labels, pages)
