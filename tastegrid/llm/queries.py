@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import bpe, chunks, cotraining, licenses, lines, mixing, quality, simhash, urls
+from tastegrid.llm import bpe, chunks, cotraining, licenses, lines, mixing, quality, simhash, suffixes, urls
 from tastegrid.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every document, learned from the labels."""
     docs, labels, pages = (read_table(spark, sf_dir, t) for t in ("documents", "labels", "pages"))
     return cotraining.quality_scores(docs, labels, pages)
+
+
+@query()
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that an earlier document has in strings of 50."""
+    found = suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
