@@ -30,8 +30,8 @@ MAX_LABELLED = 8_000
 POOL = 8_000
 BUCKETS = 1 << 15
 ROUNDS = 4
-# Pseudo-labels that a view gives in a round, as a share of the labelled documents, and the least certainty.
-GIVEN = 0.1
+# Pseudo-labels that a view gives in a round, as a share of the unlabelled documents, and the least certainty.
+GIVEN = 0.15
 CERTAIN = 0.9
 # Share of the labelled documents that only calibrates.
 HELD_OUT = 0.25
@@ -146,7 +146,7 @@ def cotrain(views: list[Examples], labels: np.ndarray, held_out: np.ndarray, rou
     believed = [labels.copy(), labels.copy()]  # what each view learns from
     use = [learn.copy(), learn.copy()]
     bad_share = float((labels[learn] == 0).mean()) if learn.any() else 0.5
-    given = max(1, int(GIVEN * learn.sum()))
+    given = max(1, int(GIVEN * (~known).sum()))
     for _ in range(rounds):
         for view, other in ((TEXT, META), (META, TEXT)):
             weights = views[view].fit(believed[view], use[view])
@@ -231,6 +231,8 @@ def train(
     columns = ["id", "text", "y", "lang", "source", "size", "url", "title", "links"]
     model = sample.select(columns).repartition(1).mapInArrow(fit, "weights binary, slope double, shift double, prior double")
     found = model.collect()  # two rows of BUCKETS numbers
+    if not found:
+        return [(np.zeros(BUCKETS), 0.0, 0.0)] * 2, 0.0
     return [(np.frombuffer(r.weights, "<f8"), r.slope, r.shift) for r in found], found[0].prior
 
 

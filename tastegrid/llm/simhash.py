@@ -169,7 +169,8 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
         mates = before[len(old) : -1] - before[base][run_of]  # homes before each new row in its part
         rows = np.arange(len(fp)) + len(old)
         for left, right in _pairs(base[run_of], mates, rows):
-            near = np.bitwise_count(values[left] ^ values[right]) <= radius
+            # unsigned, as numpy counts the bits of absolute values
+            near = np.bitwise_count((values[left] ^ values[right]).view(np.uint64)) <= radius
             if near.any():
                 found.append((values[left[near]], values[right[near]]))
                 held += int(near.sum())
