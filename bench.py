@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -46,6 +48,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
+    shared = tempfile.mkdtemp(prefix="tastegrid-")  # one machine, so a local folder is shared
     spark = build_session(
         "bench",
         f"local[{cpus}]",
@@ -53,6 +56,7 @@ def main() -> None:
         spark__driver__memory="12g",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=shared,
     )
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["rating_stats"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
@@ -62,6 +66,8 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.monotonic() - start, 3)
         print(name, times[name], file=sys.stderr, flush=True)
+    spark.stop()
+    shutil.rmtree(shared, ignore_errors=True)
     print(
         json.dumps(
             {

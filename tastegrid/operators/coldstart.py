@@ -30,15 +30,15 @@ LIST_COLUMNS = ["userId", "rank", "movieId", "title", "genres", "score", "num_ra
 def latest_ratings(ratings: DataFrame) -> DataFrame:
     """One row per (user, item): the latest rating, the higher one at equal times.
 
-    Time and rating are packed into one integer, because the maximum of a number is a hash
-    aggregate and the maximum of a struct is a sort. Ratings are below 10, in steps of 0.01 or more.
+    A rating without a time comes before all others; rows without a rating are left out.
     """
-    stars = F.round(F.col("rating") * 100).cast("bigint")
-    packed = F.col("timestamp") * 1000 + stars if "timestamp" in ratings.columns else stars
+    order = [F.col("timestamp"), F.col("rating")] if "timestamp" in ratings.columns else [F.col("rating")]
+    last = F.max(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])).alias("last")
     return (
-        ratings.groupBy("userId", "movieId")
-        .agg(F.max(packed).alias("packed"))
-        .select("userId", "movieId", (F.pmod("packed", F.lit(1000)) / 100).alias("rating"))
+        ratings.where(F.col("rating").isNotNull())
+        .groupBy("userId", "movieId")
+        .agg(last)
+        .select("userId", "movieId", F.col(f"last.k{len(order) - 1}").alias("rating"))
     )
 
 
@@ -156,9 +156,16 @@ def with_item_text(recs: DataFrame, popularity: DataFrame, decimals: int = 2) ->
 def genre_based(preferences: DataFrame, popularity: DataFrame, n: int = 10, exclude: DataFrame | None = None) -> DataFrame:
     """Top items per preference list; ``preferences`` has a key ``userId`` and ``genres`` array.
 
-    ``exclude`` has (userId, movieId) rows to leave out. Repeated genres in a list count once.
+    Rows are (userId, rank, movieId, score, title, genres, popularity_score, num_ratings), the last four of the
+    item. ``exclude`` has (userId, movieId) rows to leave out. Repeated genres in a list count once.
     """
     check_n(n)
+    lists = _genre_lists(preferences, popularity, n, exclude)
+    named = with_item_text(lists.select("userId", "rank", "movieId", "score"), popularity)
+    return named.withColumnRenamed("item_ratings", "num_ratings")
+
+
+def _genre_lists(preferences: DataFrame, popularity: DataFrame, n: int, exclude: DataFrame | None) -> DataFrame:
     keyed = preferences.select(
         "userId", F.array_sort(F.array_distinct("genres")).alias("set_key")
     ).where(F.size("set_key") > 0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from math import ceil
 
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from tastegrid.plans.indexing import dense_index, fits_int
 from tastegrid.sources.session import ensure_checkpoints, materialize
 
 # Fixed default parameters of the model.
+# ALS keeps blocks x blocks routes, so their number follows the pairs and not the cores.
+MIN_BLOCKS, PAIRS_PER_BLOCK = 8, 2_000_000
 DEFAULTS = {"n_factors": 100, "n_epochs": 20, "lr_all": 0.005, "reg_all": 0.02, "random_state": 42}
 
 
@@ -70,18 +73,18 @@ class FactorModel:
     def fit(self, ratings: DataFrame) -> FactorModel:
         spark = ratings.sparkSession
         ensure_checkpoints(spark)
+        # The offsets are the same for all rows of a pair, so they are joined to its mean.
+        means = ratings.groupBy("userId", "movieId").agg(F.avg("rating").alias("rating"))
         if self.params["use_bias"]:
             bias = BiasPredictor().fit(ratings)
             self.mean = bias.mean
-            based = bias.offsets(ratings)
+            based = bias.offsets(means)
         else:
             bias = None
             self.mean = global_mean(ratings)
-            based = ratings.withColumn("base", F.lit(self.mean).cast("double"))
-        pairs = materialize(
-            based.groupBy("userId", "movieId").agg(F.avg(F.col("rating") - F.col("base")).alias("rest")),
-            "train-pairs",
-        )
+            based = means.withColumn("base", F.lit(self.mean).cast("double"))
+        rest = based.select("userId", "movieId", (F.col("rating") - F.col("base")).alias("rest"))
+        pairs = materialize(rest, "train-pairs")
         self.train_pairs = pairs.select("userId", "movieId")
         indexed = pairs
         user_ids = item_ids = None
@@ -93,7 +96,7 @@ class FactorModel:
                 .join(item_ids.withColumnRenamed("idx", "i"), "movieId")
                 .select(F.col("u").alias("userId"), F.col("i").alias("movieId"), "rest")
             )
-        blocks = self.blocks or max(10, spark.sparkContext.defaultParallelism)
+        blocks = self.blocks or max(MIN_BLOCKS, ceil(pairs.count() / PAIRS_PER_BLOCK))
         self.als = ALS(
             rank=self.params["n_factors"],
             maxIter=self.params["n_epochs"],
@@ -172,7 +175,7 @@ class FactorModel:
         n: int = 10,
         exclude_rated: bool = True,
         exclude: DataFrame | None = None,
-        rows_per_block: int = 2048,
+        rows_per_block: int | None = None,
     ) -> DataFrame:
         """(userId, rank, movieId, title, genres, predicted_rating) for a table of users.
 
@@ -211,7 +214,7 @@ class FactorModel:
         )
 
     def similar(
-        self, movies: DataFrame, n: int = 10, targets: DataFrame | None = None, rows_per_block: int = 2048
+        self, movies: DataFrame, n: int = 10, targets: DataFrame | None = None, rows_per_block: int | None = None
     ) -> DataFrame:
         """Nearest items by factor cosine, with the title and genres of the neighbour."""
         self._require()

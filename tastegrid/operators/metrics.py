@@ -5,9 +5,11 @@ Recommendation tables have the columns userId, rank (from 1) and movieId.
 
 from __future__ import annotations
 
-from math import comb
+from math import ceil, comb
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegrid.functions.columns import RELEVANT_RATING
@@ -103,40 +105,123 @@ def coverage(recs: DataFrame, movies: DataFrame) -> DataFrame:
     )
 
 
+# Lists up to this length are compared by their shared subsets, longer ones block by block.
 SUBSET_LIMIT = 12
+# Distinct lists per block of the block-wise comparison.
+LISTS_PER_BLOCK = 4096
 
 
-def diversity(recs: DataFrame, users: DataFrame | None = None, max_length: int = 10) -> DataFrame:
-    """1 - mean Jaccard similarity over all pairs of lists, without forming the pairs.
+def diversity(recs: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """1 - mean Jaccard similarity over all pairs of lists, for lists of any length.
 
-    With list lengths a and b and overlap c the similarity c / (a + b - c) is a fixed
-    function of c, and every function of c is a weighted sum of the binomials C(c, j).
-    Summed over all pairs, C(c, j) counts the j-subsets that two lists share. So each list
-    emits its subsets, equal subsets are counted (map-side combined, so an item in every
-    list costs nothing extra), and the counts give the exact sum of similarities. The
-    work is linear in the number of distinct lists; ``max_length`` bounds the subsets
-    per list at ``2**max_length``. An item found in only one distinct list is shared by
-    no pair of them and is left out of the subsets.
+    Equal lists are collapsed first and counted by their number. Both ways to sum the similarities of
+    different lists are exact: see :func:`_overlap_by_subsets` (lists of up to ``SUBSET_LIMIT`` items, work linear
+    in the number of lists) and :func:`_overlap_by_blocks` (longer lists, no row per pair). The longest list
+    decides, one number for the driver.
 
     ``users`` adds lists of users without recommendations: two empty lists count as equal.
     Fewer than two lists give 1.
     """
-    if not 1 <= max_length <= SUBSET_LIMIT:
-        raise ValueError(f"max_length must lie between 1 and {SUBSET_LIMIT}")
-    lists = (
-        recs.groupBy("userId")
-        .agg(F.array_sort(F.collect_set("movieId")).alias("items"))
-        .withColumn(
-            "items",
-            F.when(F.size("items") <= max_length, F.col("items")).otherwise(
-                F.raise_error(F.lit(f"a list is longer than {max_length}"))
-            ),
-        )
-    )
+    lists = recs.groupBy("userId").agg(F.array_sort(F.collect_set("movieId")).alias("items"))
     distinct = materialize(
         lists.groupBy("items").agg(F.count(F.lit(1)).alias("mult")).withColumn("len", F.size("items")),
         "distinct-lists",
     )
+    longest = distinct.agg(F.max("len")).first()[0] or 0
+    overlap = _overlap_by_subsets(distinct, longest) if longest <= SUBSET_LIMIT else _overlap_by_blocks(distinct)
+    equal = distinct.agg(F.sum(F.col("mult") * (F.col("mult") - 1) / 2)).scalar()
+    listed = distinct.agg(F.coalesce(F.sum("mult"), F.lit(0)).alias("u"))
+    if users is None:
+        counted = listed.withColumn("e", F.lit(0))
+    else:
+        empty = users.select("userId").distinct().join(lists, "userId", "left_anti").agg(F.count(F.lit(1)))
+        counted = listed.withColumn("e", empty.scalar()).withColumn("u", F.col("u") + F.col("e"))
+    u, e = F.col("u"), F.col("e")
+    similar = F.coalesce(overlap, F.lit(0.0)) + F.coalesce(equal, F.lit(0.0)) + e * (e - 1) / 2
+    return counted.select(
+        F.when(u < 2, 1.0).otherwise(1 - similar / (u * (u - 1) / 2)).alias("diversity")
+    )
+
+
+def _shared_entries(distinct: DataFrame) -> DataFrame:
+    """(items, len, mult, movieId) of the items that more than one distinct list has."""
+    entries = distinct.select("items", "len", "mult", F.explode("items").alias("movieId"))
+    per_item = row_counts(entries, "movieId", "lists")
+    shared = per_item.where(F.col("lists") > 1).select("movieId")
+    return salted_join(entries, shared, "movieId", per_item, "lists", "left_semi")
+
+
+def _overlap_by_blocks(distinct: DataFrame) -> Column:
+    """Sum of c / (a + b - c) over the pairs of different lists, weighted by their numbers.
+
+    Lists are hashed into blocks and each pair of blocks meets in one task, as a product of 0/1 matrices over
+    the items of the two blocks; a task returns one number. The arithmetic grows with the square of the
+    distinct lists, the rows with lists times blocks. Items that only one list has play no part in it.
+    """
+    lists = _shared_entries(distinct).groupBy("items", "len", "mult").agg(F.collect_set("movieId").alias("core"))
+    lists = materialize(lists.select("len", "mult", "core", F.xxhash64("items").alias("h")), "long-lists")
+    blocks = max(1, ceil(lists.count() / LISTS_PER_BLOCK))
+    own = F.pmod("h", F.lit(blocks)).cast("int")
+    placed = lists.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    placed = placed.select(
+        F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "len", "mult", "core", "h"
+    )
+    sums = placed.groupBy("x", "y").applyInPandas(_block_overlap, "overlap double")
+    return sums.agg(F.sum("overlap")).scalar()
+
+
+def _block_overlap(rows: pd.DataFrame) -> pd.DataFrame:
+    """The weighted sum over one pair of blocks; ``own`` tells which block a list is from."""
+    rows = rows.sort_values("h", kind="stable")
+    first = min(rows["own"])
+    left = rows[rows["own"] == first]
+    same = rows["x"].iloc[0] == rows["y"].iloc[0]
+    right = left if same else rows[rows["own"] != first]
+    total = 0.0
+    if len(left) and len(right):
+        _, codes = np.unique(np.concatenate(rows["core"].to_list()), return_inverse=True)
+        sizes = rows["core"].map(len).to_numpy()
+        parts = np.split(codes, np.cumsum(sizes)[:-1])
+        width = codes.max() + 1
+        place = {h: i for i, h in enumerate(rows.index)}
+
+        def dense(part: pd.DataFrame) -> np.ndarray:
+            out = np.zeros((len(part), width), np.float32)
+            for r, key in enumerate(part.index):
+                out[r, parts[place[key]]] = 1
+            return out
+
+        step = max(1, (1 << 24) // width)
+        b_len, b_mult = right["len"].to_numpy(), right["mult"].to_numpy().astype(float)
+        for j in range(0, len(right), step):
+            b = dense(right.iloc[j : j + step])
+            for i in range(0, len(left), step):
+                part = left.iloc[i : i + step]
+                c = (dense(part) @ b.T).astype(float)
+                share = c / (part["len"].to_numpy()[:, None] + b_len[None, j : j + step] - c)
+                if same:
+                    rows_at, cols_at = np.arange(i, i + len(part)), np.arange(j, j + len(b))
+                    share[rows_at[:, None] >= cols_at[None, :]] = 0.0
+                total += float(part["mult"].to_numpy() @ share @ b_mult[j : j + step])
+    return pd.DataFrame({"overlap": [total]})
+
+
+def _overlap_by_subsets(distinct: DataFrame, longest: int) -> Column:
+    """The same sum without meeting any pair.
+
+    With list lengths a and b and overlap c the similarity c / (a + b - c) is a fixed
+    function of c, and every function of c is a weighted sum of the binomials C(c, j).
+    Summed over all pairs, C(c, j) counts the j-subsets that two lists share. So each list
+    emits its subsets, equal subsets are counted (map-side combined, so an item in every
+    list costs nothing extra), and the counts give the exact sum of similarities. The
+    work is linear in the number of distinct lists, with ``2**longest`` subsets per list at most.
+    """
+    max_length = max(1, longest)
+    kept = (
+        _shared_entries(distinct)
+        .groupBy("items", "len", "mult")
+        .agg(F.array_sort(F.collect_set(F.col("movieId").cast("string"))).alias("core"))
+    )
     # At most max_length different lengths; each gets its own column of counts.
     lengths = sorted(r.len for r in distinct.select("len").distinct().collect())
     entries = distinct.select("items", "len", "mult", F.explode("items").alias("movieId"))
@@ -182,25 +267,10 @@ def diversity(recs: DataFrame, users: DataFrame | None = None, max_length: int =
         return F.col(f"p{a}_{b}") * F.element_at(weight, F.col("j"))
 
     terms = [weighted(a, b) for a in lengths for b in lengths if a <= b]
-    overlap = by_size.agg(F.sum(sum(terms[1:], terms[0]) if terms else F.lit(0.0))).scalar()
-    equal = distinct.agg(F.sum(F.col("mult") * (F.col("mult") - 1) / 2)).scalar()
-    listed = lists.agg(F.count(F.lit(1)).alias("u"))
-    if users is None:
-        counted = listed.withColumn("e", F.lit(0))
-    else:
-        empty = users.select("userId").distinct().join(lists, "userId", "left_anti").agg(F.count(F.lit(1)))
-        counted = listed.withColumn("e", empty.scalar()).withColumn("u", F.col("u") + F.col("e"))
-    u, e = F.col("u"), F.col("e")
-    similar = F.coalesce(overlap, F.lit(0.0)) + F.coalesce(equal, F.lit(0.0)) + e * (e - 1) / 2
-    return counted.select(
-        F.when(u < 2, 1.0).otherwise(1 - similar / (u * (u - 1) / 2)).alias("diversity")
-    )
+    return by_size.agg(F.sum(sum(terms[1:], terms[0]) if terms else F.lit(0.0))).scalar()
 
 
 def _newton_weight(total: int, j: int) -> float:
-    """j-th difference at 0 of c -> c / (total - c)."""
-
-    def value(c: int) -> float:
-        return c / (total - c) if total > c else 0.0
-
-    return float(sum((-1) ** (j - c) * comb(j, c) * value(c) for c in range(j + 1)))
+    """j-th difference at 0 of c -> c / (total - c), which is 1 / C(total - 1, j)."""
+    ways = comb(total - 1, j)
+    return 1.0 / ways if ways else 0.0

@@ -7,6 +7,11 @@ both depends on the genre vocabulary, not on the number of users or items.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import ceil
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +19,26 @@ from tastegrid.functions import blend_score, genre_set
 from tastegrid.operators.popularity import popular_order
 from tastegrid.plans.indexing import dense_index
 from tastegrid.plans.ranking import top_n_per_key
-from tastegrid.plans.skew import spread_join
 from tastegrid.sources.session import materialize
 
 
+# Rows of a block of sets and of classes, and scores that a task holds at a time.
+SETS_PER_BLOCK, CLASSES_PER_BLOCK = 1024, 16384
+SCORES_AT_ONCE = 1 << 22
+# A list of leading items up to this length is broadcast (some 10 MB); it has no more rows than a list is deep.
+BROADCAST_ITEMS = 100_000
+
+
+def leading_items(items: DataFrame, depth: int) -> DataFrame:
+    """``items``, which are ``depth`` rows at most, for a join with every set."""
+    return F.broadcast(items) if depth <= BROADCAST_ITEMS else items
+
+
+def blend_in_numpy(overlap, set_size, class_size, popularity):
+    """The arithmetic of ``blend_score`` in the same order, so that both round alike."""
+    return 0.6 * popularity / 5.0 + 0.4 * (overlap / set_size)
+
+
 def with_classes(items: DataFrame) -> DataFrame:
     """Adds ``class_key``, the sorted distinct genres; null genres have none."""
     return items.withColumn("class_key", genre_set("genres"))
@@ -28,23 +49,81 @@ def numbered_sets(keys: DataFrame, key: str, number: str) -> DataFrame:
     return materialize(dense_index(keys, key).withColumnRenamed("idx", number), number)
 
 
-def class_overlaps(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(set_id, set_size, class_id, overlap) for sets and classes that share a genre, with the other class columns.
-
-    ``sets`` has set_id and set_key, ``classes`` class_id and class_key. An inverted-index join
-    on the genre, spread by set, because one genre may be in most sets.
+def _best_in_block(score: Callable, depth: int):
+    """Overlaps of a block of sets and a block of classes as a product of 0/1 matrices over their genres."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("set_id", "set_size", "class_id", "overlap")})
+        if left.empty or right.empty:
+            return empty
+        right = right.sort_values("movieId")  # columns in the order that breaks ties
+        keys = [*left["set_key"], *right["class_key"]]
+        sizes = np.array([len(k) for k in keys])
+        words, codes = np.unique(np.concatenate(keys).astype(str), return_inverse=True)
+        if not len(words):
+            return empty
+        flags = np.zeros((len(keys), len(words)), np.float32)
+        flags[np.repeat(np.arange(len(keys)), sizes), codes] = 1
+        sets, classes = flags[: len(left)], flags[len(left) :]
+        set_sizes, class_sizes = sizes[: len(left)], sizes[len(left) :]
+        popularity = right["popularity_score"].to_numpy(float)
+        step = max(1, SCORES_AT_ONCE // len(right))
+        parts = [empty]
+        for i in range(0, len(left), step):
+            overlap = (sets[i : i + step] @ classes.T).astype(float)
+            value = score(overlap, set_sizes[i : i + step, None], class_sizes[None, :], popularity[None, :])
+            value[overlap == 0] = -np.inf
+            width = min(depth, value.shape[1])
+            bound = -np.partition(-value, width - 1, axis=1)[:, width - 1 : width]
+            at, col = np.nonzero((value >= bound) & (value > -np.inf))
+            order = np.lexsort((col, -value[at, col], at))
+            at, col = at[order], col[order]
+            keep = np.arange(len(at)) - np.searchsorted(at, at) < depth
+            at, col = at[keep], col[keep]
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "set_id": left["set_id"].to_numpy()[at + i],
+                        "set_size": set_sizes[at + i],
+                        "class_id": right["class_id"].to_numpy()[col],
+                        "overlap": overlap[at, col].astype("int64"),
+                    }
+                )
+            )
+        return pd.concat(parts)
+
+    return run
+
+
+def class_overlaps(sets: DataFrame, classes: DataFrame, score: Callable, depth: int) -> DataFrame:
+    """(set_id, set_size, class_id, overlap) and the other class columns: classes that share a genre with a set.
+
+    ``sets`` has set_id and set_key; ``classes`` class_id, class_key, movieId and popularity_score. Of each set at
+    least the ``depth`` classes of the highest ``score`` (overlap, set size, class size, popularity; ties by movieId)
+    are there. Sets and classes meet block by block as matrix products: no row per shared genre is formed,
+    and a task returns ``depth`` rows per set.
     """
-    extra = [c for c in classes.columns if c not in ("class_id", "class_key")]
-    left = sets.select("set_id", F.size("set_key").alias("set_size"), F.explode("set_key").alias("genre"))
-    right = classes.select("class_id", *extra, F.explode("class_key").alias("genre"))
-    return (
-        spread_join(left, right, ["genre"], "set_id")
-        .groupBy("set_id", "class_id")
-        .agg(
-            F.count(F.lit(1)).alias("overlap"),
-            *[F.max(c).alias(c) for c in ("set_size", *extra)],
-        )
+    set_blocks = max(1, ceil(sets.count() / SETS_PER_BLOCK))
+    class_blocks = max(1, ceil(classes.count() / CLASSES_PER_BLOCK))
+
+    def block(column: str, blocks: int):
+        return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
+
+    def every(blocks: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    left = sets.select(block("set_id", set_blocks).alias("x"), every(class_blocks).alias("y"), "set_id", "set_key")
+    right = classes.select(
+        every(set_blocks).alias("x"),
+        block("class_id", class_blocks).alias("y"),
+        "class_id",
+        "class_key",
+        "movieId",
+        F.col("popularity_score").cast("double").alias("popularity_score"),
     )
+    kind = "set_id bigint, set_size bigint, class_id bigint, overlap bigint"
+    best = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(_best_in_block(score, depth), kind)
+    return best.join(classes, "class_id")
 
 
 def best_classes(pairs: DataFrame, score: str, depth: int) -> DataFrame:
@@ -81,19 +160,20 @@ def rank_for_sets(sets: DataFrame, items: DataFrame, depth: int) -> DataFrame:
     )
     leaders = short.where(F.col("class_rank") == 1).join(class_keys, "class_id")
     match = F.col("overlap") / F.col("set_size")
-    pairs = class_overlaps(keys, leaders.drop("class_rank")).withColumn(
-        "score", blend_score(F.col("popularity_score"), match)
-    )
+    pairs = class_overlaps(keys, materialize(leaders.drop("class_rank"), "leaders"), blend_in_numpy, depth)
+    pairs = pairs.withColumn("score", blend_score(F.col("popularity_score"), match))
     best = best_classes(pairs, "score", depth).select("set_id", "set_size", "class_id", "overlap", "bound")
+    # Both sides are written tables: a class that most sets want is split by AQE.
     matching = (
-        spread_join(best, short, ["class_id"], "set_id")
+        materialize(best, "best-classes")
+        .join(short, "class_id")
         .withColumn("score", blend_score(F.col("popularity_score"), match))
         .where(F.col("bound").isNull() | (F.col("score") >= F.col("bound")))
         .select("set_id", "movieId", "popularity_score", "score")
     )
     leading = known.orderBy(*popular_order()).limit(depth)
     other = (
-        spread_join(keys, leading, [], "set_id")
+        keys.crossJoin(leading_items(leading, depth))
         .where(~F.arrays_overlap("set_key", "class_key"))
         .select(
             "set_id",

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.functions import bayesian_average
-from tastegrid.operators.profile import item_stats
 from tastegrid.operators.search import genre_filter
 from tastegrid.plans.ranking import check_n, exact_percentile
+from tastegrid.sources.session import materialize
 
 
 def popular_order():
@@ -16,13 +16,21 @@ def popular_order():
     return [F.desc("popularity_score"), F.asc("movieId")]
 
 
+def _item_sums(ratings: DataFrame) -> tuple[DataFrame, Column]:
+    """Count and mean per item, and the mean of all ratings from the same table: one pass over the ratings."""
+    sums = ratings.groupBy("movieId").agg(F.count("rating").alias("num_ratings"), F.sum("rating").alias("stars"))
+    sums = materialize(sums, "item-sums")
+    prior = sums.agg(F.sum("stars") / F.nullif(F.sum("num_ratings"), F.lit(0))).scalar()
+    mean = F.col("stars") / F.nullif(F.col("num_ratings"), F.lit(0))
+    return sums.select("movieId", "num_ratings", mean.alias("avg_rating")), prior
+
+
 def popularity_fixed(ratings: DataFrame, movies: DataFrame, min_ratings: int = 10) -> DataFrame:
     """Catalogue items with at least ``min_ratings`` ratings, scored with m = ``min_ratings``."""
-    prior = ratings.agg(F.avg("rating")).scalar()
+    stats, prior = _item_sums(ratings)
     n = F.col("num_ratings")
     return (
-        item_stats(ratings)
-        .where(n >= min_ratings)
+        stats.where(n >= min_ratings)
         .withColumn(
             "popularity_score", bayesian_average(n, F.col("avg_rating"), F.lit(min_ratings), prior)
         )
@@ -36,8 +44,7 @@ def popularity_quantile(ratings: DataFrame, movies: DataFrame, quantile: float =
 
     Items missing from the catalogue stay, with null title and genres.
     """
-    stats = item_stats(ratings)
-    prior = ratings.agg(F.avg("rating")).scalar()
+    stats, prior = _item_sums(ratings)
     m = exact_percentile(stats, "num_ratings", quantile).scalar()
     score = bayesian_average(F.col("num_ratings"), F.col("avg_rating"), m, prior)
     return (

@@ -79,7 +79,8 @@ def stratified_split(ratings: DataFrame, test_size: float = 0.2, seed: int = 42,
 
 
 def _keep_supported(ratings: DataFrame, key: str, min_ratings: int) -> DataFrame:
-    counts = ratings_per(ratings, key)
+    # Written once: the total, the hot keys and the qualified keys all read it.
+    counts = materialize(ratings_per(ratings, key), "support")
     qualified = counts.where(F.col("num_ratings") >= min_ratings).select(key)
     return salted_join(ratings, qualified, key, counts, "num_ratings", "left_semi")
 

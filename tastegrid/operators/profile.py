@@ -32,14 +32,26 @@ def item_stats(ratings: DataFrame) -> DataFrame:
 
 
 def rating_stats(ratings: DataFrame) -> DataFrame:
-    """Totals, distinct users and items, mean and range."""
-    return ratings.agg(
-        rows().alias("total_ratings"),
-        F.countDistinct("userId").alias("num_users"),
-        F.countDistinct("movieId").alias("num_movies"),
-        F.avg("rating").alias("avg_rating"),
-        F.min("rating").alias("min_rating"),
-        F.max("rating").alias("max_rating"),
+    """Totals, distinct users and items, mean and range.
+
+    Users are counted as the rows of a grouped table: two distinct counts in one aggregate would
+    copy every rating. The table also carries the other figures.
+    """
+    per_user = ratings.groupBy("userId").agg(
+        rows().alias("n"),
+        F.sum("rating").alias("s"),
+        F.count("rating").alias("c"),
+        F.min("rating").alias("low"),
+        F.max("rating").alias("high"),
+    )
+    items = ratings.select("movieId").distinct().agg(F.count("movieId")).scalar()
+    return per_user.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_ratings"),
+        F.count("userId").alias("num_users"),
+        items.alias("num_movies"),
+        (F.sum("s") / F.nullif(F.sum("c"), F.lit(0))).alias("avg_rating"),
+        F.min("low").alias("min_rating"),
+        F.max("high").alias("max_rating"),
     )
 
 

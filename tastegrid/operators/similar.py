@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.operators.overlap import best_classes, class_overlaps, numbered_sets, with_classes
+from tastegrid.operators.overlap import best_classes, class_overlaps, leading_items, numbered_sets, with_classes
 from tastegrid.plans.blocks import block_top_n
 from tastegrid.plans.ranking import check_n, top_n_per_key
-from tastegrid.plans.skew import row_counts, salted_join, spread_join
+from tastegrid.plans.skew import row_counts, salted_join
 from tastegrid.sources.session import materialize
 
 
+def _jaccard(overlap, set_size, class_size, popularity):
+    return overlap / (set_size + class_size - overlap)
+
+
 def similar_by_genre(movies: DataFrame, n: int = 10, targets: DataFrame | None = None) -> DataFrame:
     """(movieId, rank, similarId, similarity): top ``n`` other items by genre Jaccard, lower id first.
 
+    With a ``title`` in ``movies``, the title and genres of the similar item follow.
+
     Items with equal genre sets have equal similarities to everything, so lists of n + 1 are
     ranked per distinct genre set and an item drops itself from its set's list. Each set
     needs the n + 1 lowest ids of n + 1 sets, plus the n + 1 lowest ids overall for
@@ -38,16 +44,15 @@ def similar_by_genre(movies: DataFrame, n: int = 10, targets: DataFrame | None =
     if targets is not None:
         sets = sets.join(wanted.select(F.col("class_key").alias("set_key")), "set_key", "left_semi")
     union = F.col("set_size") + F.size("class_key") - F.col("overlap")
-    pairs = (
-        class_overlaps(sets, leaders.select("class_id", "class_key", "movieId"))
-        .join(class_keys, "class_id")
-        .withColumn("similarity", F.col("overlap") / union)
+    scored = materialize(
+        leaders.select("class_id", "class_key", "movieId", F.lit(0.0).alias("popularity_score")), "leaders"
     )
+    pairs = class_overlaps(sets, scored, _jaccard, depth).withColumn("similarity", F.col("overlap") / union)
     best = best_classes(pairs, "similarity", depth).select("set_id", "class_id", "similarity")
-    matching = spread_join(best, short, ["class_id"], "set_id").select("set_id", "movieId", "similarity")
+    matching = materialize(best, "best-classes").join(short, "class_id").select("set_id", "movieId", "similarity")
     lowest = keyed.orderBy("movieId").limit(depth)
     other = (
-        spread_join(sets, lowest, [], "set_id")
+        sets.crossJoin(leading_items(lowest, depth))
         .where(~F.arrays_overlap("set_key", "class_key"))
         .select("set_id", "movieId", F.lit(0.0).alias("similarity"))
     )
@@ -59,9 +64,11 @@ def similar_by_genre(movies: DataFrame, n: int = 10, targets: DataFrame | None =
         .select("class_key", "list_rank", F.col("movieId").alias("similarId"), "similarity")
     )
     rows = salted_join(wanted, lists, "class_key", row_counts(keyed, "class_key"), "__rows", "inner")
-    return top_n_per_key(
-        rows.where(F.col("movieId") != F.col("similarId")), "movieId", [F.asc("list_rank")], n
-    ).select("movieId", "rank", "similarId", "similarity")
+    best = top_n_per_key(rows.where(F.col("movieId") != F.col("similarId")), "movieId", [F.asc("list_rank")], n)
+    if "title" not in movies.columns:
+        return best.select("movieId", "rank", "similarId", "similarity")
+    text = movies.select(F.col("movieId").alias("similarId"), "title", "genres")
+    return best.join(text, "similarId", "left").select("movieId", "rank", "similarId", "similarity", "title", "genres")
 
 
 def similar_by_vector(
@@ -70,7 +77,7 @@ def similar_by_vector(
     id_column: str = "movieId",
     vector_column: str = "features",
     targets: DataFrame | None = None,
-    rows_per_block: int = 2048,
+    rows_per_block: int | None = None,
 ) -> DataFrame:
     """(id, rank, similarId, similarity): top ``n`` other rows by cosine; zero vectors take no part.
 

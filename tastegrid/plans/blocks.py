@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 from tastegrid.plans.ranking import check_n, top_n_per_key
 
-ROWS_PER_BLOCK = 2048
+# Bytes of single-precision vectors in a block, and the fewest left rows that are worth a task of their own.
+BLOCK_BYTES = 32 << 20
+SMALLEST_BLOCK = 512
+# Scores that a task holds at a time.
+SCORES_AT_ONCE = 1 << 24
 
 
 def _best_in_block(n: int, cosine: bool, skip_self: bool, decimals: int):
@@ -27,20 +31,30 @@ def _best_in_block(n: int, cosine: bool, skip_self: bool, decimals: int):
         if rows.empty or right.empty:
             return empty
         right = right.sort_values("right_id")
-        a = np.stack(rows["vec"].to_numpy()).astype("float64")
         b = np.stack(right["right_vec"].to_numpy()).astype("float64")
         if cosine:
-            a, b = unit(a), unit(b)
-        scores = np.round(a @ b.T, decimals)
+            b = unit(b)
         left_ids, right_ids = rows["id"].to_numpy(), right["right_id"].to_numpy()
+        gone = left[left["other_id"].notna()]
+        at = pd.Index(left_ids).get_indexer(gone["id"])
+        other = pd.Index(right_ids).get_indexer(gone["other_id"].astype("int64"))
+        known = (at >= 0) & (other >= 0)
+        at, other = at[known], other[known]
+        order = np.argsort(at, kind="stable")
+        at, other = at[order], other[order]
+        step = max(1, SCORES_AT_ONCE // len(right))
+        parts = []
+        for i in range(0, len(rows), step):
+            lo, hi = np.searchsorted(at, [i, i + step])
+            a = np.stack(rows["vec"].iloc[i : i + step].to_numpy()).astype("float64")
+            parts.append(best(a, b, left_ids[i : i + step], right_ids, at[lo:hi] - i, other[lo:hi]))
+        return pd.concat(parts)
+
+    def best(a, b, left_ids, right_ids, gone_at, gone_other) -> pd.DataFrame:
+        scores = np.round((unit(a) if cosine else a) @ b.T, decimals)
         if skip_self:
             scores[left_ids[:, None] == right_ids[None, :]] = -np.inf
-        gone = left[left["other_id"].notna()]
-        if not gone.empty:
-            at = pd.Index(left_ids).get_indexer(gone["id"])
-            other = pd.Index(right_ids).get_indexer(gone["other_id"].astype("int64"))
-            known = (at >= 0) & (other >= 0)
-            scores[at[known], other[known]] = -np.inf
+        scores[gone_at, gone_other] = -np.inf
         # Everything that reaches a row's n-th best score, ties included, then the exact cut.
         width = min(n, scores.shape[1])
         bound = -np.partition(-scores, width - 1, axis=1)[:, width - 1 : width]
@@ -64,21 +78,30 @@ def block_top_n(
     exclude: DataFrame | None = None,
     cosine: bool = False,
     skip_self: bool = False,
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int | None = None,
     decimals: int = 9,
 ) -> DataFrame:
     """(left_id, right_id, score, rank): the ``n`` best right rows per left row by dot product.
 
-    Both sides have ``id`` (bigint) and ``vec`` (array). Rows are hashed into blocks of about
-    ``rows_per_block``; a task multiplies one pair of blocks and returns n rows per left row, so
-    no task holds more than two blocks and scores never leave it. ``exclude`` (left_id, right_id)
-    is hashed to the same blocks and masked there, however many pairs a row has. Score order,
-    then lower id; ``decimals`` absorbs the summation order.
+    Both sides have ``id`` (bigint) and ``vec`` (array). Rows are hashed into blocks of ``BLOCK_BYTES`` in single
+    precision (or of ``rows_per_block``); a task multiplies one pair of blocks, some left rows at a time, and
+    returns n rows per left row, so no task holds more than two blocks and scores never leave it. A row travels
+    once per block of the other side: large blocks keep that rare, and where one right block is enough, left rows
+    travel once. The left side has at least a block per core, as long as ``SMALLEST_BLOCK`` rows are in it.
+    ``exclude`` (left_id, right_id) is hashed to the same blocks and masked there, however many pairs a row has.
+    Score order, then lower id; ``decimals`` absorbs the summation order.
     """
     check_n(n)
-    ids = left.select("id")
-    left_blocks = max(1, ceil(ids.count() / rows_per_block))
-    right_blocks = max(1, ceil(right.select("id").count() / rows_per_block))
+    left_rows_n, right_rows_n = left.select("id").count(), right.select("id").count()
+    width = right.agg(F.max(F.size("vec"))).first()[0] or 1
+    fit = rows_per_block or max(1, BLOCK_BYTES // (4 * width))
+    left_blocks = max(1, ceil(left_rows_n / fit))
+    right_blocks = max(1, ceil(right_rows_n / fit))
+    if rows_per_block is None:
+        cores = left.sparkSession.sparkContext.defaultParallelism
+        left_blocks = max(left_blocks, min(2 * cores, ceil(left_rows_n / SMALLEST_BLOCK)))
+    left = left.select("id", F.col("vec").cast("array<float>").alias("vec"))
+    right = right.select("id", F.col("vec").cast("array<float>").alias("vec"))
 
     def block(column: str, blocks: int):
         return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")

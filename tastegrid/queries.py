@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tastegrid import jobs
 from tastegrid import oracle as O
 from tastegrid.functions import is_valid_rating
 from tastegrid.operators import (
@@ -809,7 +810,7 @@ def popular_for_users(t: Inputs) -> DataFrame:
     sql(
         """SELECT * FROM (SELECT f.userId, p.movieId, round(0.6 * p.popularity_score / 5.0
             + 0.4 * (len(list_intersect(f.pref, string_split(p.genres, '|'))) / len(f.pref)), 6) AS score,
-            CAST(row_number() OVER (PARTITION BY f.userId ORDER BY 0.6 * p.popularity_score / 5.0
+            p.title, p.genres, round(p.popularity_score, 2) AS popularity_score, p.num_ratings, CAST(row_number() OVER (PARTITION BY f.userId ORDER BY 0.6 * p.popularity_score / 5.0
             + 0.4 * (len(list_intersect(f.pref, string_split(p.genres, '|'))) / len(f.pref)) DESC, p.movieId)
             AS INTEGER) AS rank
             FROM prefs f CROSS JOIN pop p WHERE p.genres IS NOT NULL AND NOT EXISTS
@@ -820,17 +821,15 @@ def popular_for_users(t: Inputs) -> DataFrame:
         **O.popularity("ratings"),
         latest=O.latest("ratings"),
         prefs="""SELECT r.userId, list(DISTINCT b.genre) AS pref FROM latest r
-            JOIN bridge b ON b.movieId = r.movieId WHERE r.rating = 5.0 GROUP BY r.userId""",
+            JOIN bridge b ON b.movieId = r.movieId WHERE r.rating >= 3.5 GROUP BY r.userId""",
     )
 )
 def genre_based_topn(t: Inputs) -> DataFrame:
     history = materialize(t.ratings, "ratings")
     table = coldstart.stored_popularity(history, t.movies)
-    prefs = coldstart.preference_sets(history, t.movies, top=None, liked=5.0)
+    prefs = coldstart.preference_sets(history, t.movies, top=None)
     prefs = prefs.withColumnRenamed("set_key", "genres")
-    return coldstart.genre_based(prefs, table, 10, exclude=history).select(
-        "userId", "movieId", "score", "rank"
-    )
+    return coldstart.genre_based(prefs, table, 10, exclude=history)
 
 
 REC_COLUMNS = "userId, rank, movieId, title, genres, round(score, 6) AS score, num_ratings"
@@ -1004,11 +1003,12 @@ def prediction_errors(t: Inputs) -> DataFrame:
 
 @query(
     sql(
-        """SELECT movieId, CAST(rank AS INTEGER) AS rank, similarId, round(similarity, 6) AS similarity
+        """SELECT r.movieId, CAST(rank AS INTEGER) AS rank, similarId, round(similarity, 6) AS similarity, m.title, m.genres
         FROM (SELECT *, row_number() OVER (PARTITION BY movieId ORDER BY similarity DESC, similarId) AS rank
             FROM (SELECT a.movieId, b.movieId AS similarId, len(list_intersect(a.s, b.s))
                 / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS similarity
-                FROM sets a JOIN sets b ON a.movieId <> b.movieId)) WHERE rank <= 10""",
+                FROM sets a JOIN sets b ON a.movieId <> b.movieId)) r JOIN movies m ON m.movieId = similarId
+        WHERE rank <= 10""",
         "movies",
         sets="SELECT movieId, list_distinct(string_split(genres, '|')) AS s FROM movies",
     )
@@ -1033,51 +1033,317 @@ def similar_by_vector(t: Inputs) -> DataFrame:
 
 # --------------------------------------------------------------- factor model
 
-# Small ranks keep the check short; the defaults are 100 factors and 20 epochs.
-SMALL_MODEL = {"n_factors": 8, "n_epochs": 4, "reg_all": 0.1}
+# Models with the default parameters (100 factors, 20 epochs), one per session, folder and training set: queries
+# that ask different things of the same model share its fit.
+_MODELS: dict[tuple[str, str, str], factor.FactorModel] = {}
+
+
+def _model(t: Inputs, rows: str) -> factor.FactorModel:
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, rows)
+    if key not in _MODELS:
+        ratings = t.split[0] if rows == "train" else getattr(t, rows)
+        _MODELS[key] = factor.FactorModel().fit(ratings)
+    return _MODELS[key]
 
 
 @query()
 def factor_metrics(t: Inputs) -> DataFrame:
-    train, test = t.split
-    return factor.FactorModel(**SMALL_MODEL).fit(train).evaluate(test)
+    return _model(t, "train").evaluate(t.split[1])
 
 
 @query()
 def factor_predict(t: Inputs) -> DataFrame:
-    train, test = t.split
-    return factor.FactorModel(**SMALL_MODEL).fit(train).predict(test)
+    return _model(t, "train").predict(t.split[1])
 
 
 @query()
 def factor_recommend(t: Inputs) -> DataFrame:
-    model = factor.FactorModel(**SMALL_MODEL).fit(materialize(t.ratings, "ratings"))
-    return model.recommend(t.users, t.movies, 10)
+    return _model(t, "ratings").recommend(t.users, t.movies, 10)
 
 
 @query()
 def factor_similar(t: Inputs) -> DataFrame:
-    model = factor.FactorModel(**SMALL_MODEL).fit(materialize(t.ratings, "ratings"))
-    return model.similar(t.movies, 10)
+    return _model(t, "ratings").similar(t.movies, 10)
 
 
 @query()
 def route_service(t: Inputs) -> DataFrame:
-    model = factor.FactorModel(**SMALL_MODEL).fit(t.baskets)
-    return route.route_service(model, t.baskets, t.movies, t.basket_users)
+    return route.route_service(_model(t, "baskets"), t.baskets, t.movies, t.basket_users)
 
 
 @query()
 def route_integrated(t: Inputs) -> DataFrame:
-    model = factor.FactorModel(**SMALL_MODEL).fit(t.baskets)
-    return route.route_integrated(model, t.baskets, t.movies, t.basket_users)
+    return route.route_integrated(_model(t, "baskets"), t.baskets, t.movies, t.basket_users)
+
+
+# The reference grids have 81 configurations and 5 folds, 405 fits; this one is the query's own, of 4 fits.
+CV_GRID = {"n_factors": [50, 100], "n_epochs": [10], "reg_all": [0.05]}
 
 
 @query()
 def cv_report(t: Inputs) -> DataFrame:
     ratings = materialize(prepare.filter_cold_users(t.ratings), "ratings")
-    grid = {"n_factors": [4, 8], "n_epochs": [3], "reg_all": [0.1]}
-    return tuning.cv_summary(tuning.grid_search(ratings, grid, folds=2), list(grid))
+    return tuning.cv_summary(tuning.grid_search(ratings, CV_GRID, folds=2), list(CV_GRID))
+
+
+# What is exact about the model's answers: which rows there are, and the rules that they keep.
+
+
+@query(sql("SELECT count(*) AS n_test, true AS errors_positive, true AS mae_below_rmse FROM test", "train", "test"))
+def factor_metrics_rules(t: Inputs) -> DataFrame:
+    return factor_metrics(t).select(
+        "n_test",
+        ((F.col("rmse") > 0) & (F.col("mae") > 0)).alias("errors_positive"),
+        (F.col("mae") <= F.col("rmse")).alias("mae_below_rmse"),
+    )
+
+
+@query(
+    sql(
+        "SELECT userId, movieId, count(*) AS n, true AS in_scale FROM test GROUP BY userId, movieId",
+        "train",
+        "test",
+    )
+)
+def factor_predict_rules(t: Inputs) -> DataFrame:
+    scored = factor_predict(t)
+    return scored.groupBy("userId", "movieId").agg(
+        F.count(F.lit(1)).alias("n"), F.every(F.col("prediction").between(0.5, 5.0)).alias("in_scale")
+    )
+
+
+def _list_rules(lists: DataFrame, score: str, rated: DataFrame, *keys: str) -> DataFrame:
+    """Per list: its length, its last rank, rated items in it, and whether scores fall with the rank."""
+    order = Window.partitionBy("userId").orderBy("rank")
+    rises = F.col(score) > F.lag(score).over(order)
+    rated = rated.select("userId", "movieId").distinct().withColumn("rated", F.lit(1))
+    marked = lists.withColumn("rises", F.coalesce(rises, F.lit(False))).join(rated, ["userId", "movieId"], "left")
+    return marked.groupBy("userId", *keys).agg(
+        F.count(F.lit(1)).alias("n_items"),
+        F.max("rank").cast("bigint").alias("last_rank"),
+        F.count("rated").alias("rated_items"),
+        (~F.some("rises")).alias("falling"),
+    )
+
+
+_RATED_KNOWN = """SELECT userId, count(DISTINCT movieId) AS k FROM {source}
+    WHERE movieId IN (SELECT movieId FROM movies) GROUP BY userId"""
+_RULES = "{n} AS n_items, {n} AS last_rank, CAST(0 AS BIGINT) AS rated_items, true AS falling"
+_LENGTH = "least(10, (SELECT count(*) FROM movies) - coalesce(k, 0))"
+
+
+@query(
+    sql(
+        f"SELECT u.userId, {_RULES.format(n=_LENGTH)} FROM users u LEFT JOIN known r ON r.userId = u.userId",
+        "ratings",
+        "movies",
+        "users",
+        known=_RATED_KNOWN.format(source="ratings"),
+    )
+)
+def factor_recommend_rules(t: Inputs) -> DataFrame:
+    return _list_rules(factor_recommend(t), "predicted_rating", t.ratings)
+
+
+@query(
+    sql(
+        """SELECT DISTINCT movieId, least(10, (SELECT count(DISTINCT movieId) FROM ratings) - 1) AS n_items,
+        CAST(0 AS BIGINT) AS own, true AS in_range FROM ratings""",
+        "ratings",
+    )
+)
+def factor_similar_rules(t: Inputs) -> DataFrame:
+    return factor_similar(t).groupBy("movieId").agg(
+        F.count(F.lit(1)).alias("n_items"),
+        F.count_if(F.col("movieId") == F.col("similarId")).alias("own"),
+        F.every(F.col("similarity_score").between(-1.0, 1.0)).alias("in_range"),
+    )
+
+
+def _route_rules(label: str) -> str:
+    return sql(
+        f"""SELECT u.userId, coalesce(c.n, 0) AS num_ratings, {label} AS recommendation_type,
+        {_RULES.format(n=_LENGTH)} FROM basket_users u LEFT JOIN known r ON r.userId = u.userId
+        LEFT JOIN (SELECT userId, count(*) AS n FROM baskets GROUP BY userId) c ON c.userId = u.userId""",
+        "baskets",
+        "movies",
+        "basket_users",
+        known=_RATED_KNOWN.format(source="baskets"),
+    )
+
+
+@query(
+    _route_rules(
+        """CASE WHEN c.n IS NULL THEN 'cold_start' WHEN c.n < 5 THEN 'genre_based' ELSE 'personalized' END"""
+    )
+)
+def route_service_rules(t: Inputs) -> DataFrame:
+    return _list_rules(route_service(t), "score", t.baskets, "num_ratings", "recommendation_type")
+
+
+@query(
+    _route_rules(
+        """CASE WHEN c.n IS NULL THEN 'cold_start_popular' WHEN c.n < 5 THEN 'cold_start_hybrid'
+        ELSE 'personalized' END"""
+    )
+)
+def route_integrated_rules(t: Inputs) -> DataFrame:
+    return _list_rules(route_integrated(t), "score", t.baskets, "num_ratings", "recommendation_type")
+
+
+@query(
+    sql(
+        """SELECT config, n_factors, n_test, true AS errors_positive FROM
+        (SELECT count(*) AS n_test FROM ratings JOIN per_user USING (userId) WHERE num_ratings >= 5)
+        CROSS JOIN (VALUES (0, 50.0::DOUBLE), (1, 100.0::DOUBLE)) g(config, n_factors)""",
+        "ratings",
+        "per_user",
+    )
+)
+def cv_report_rules(t: Inputs) -> DataFrame:
+    return cv_report(t).select(
+        "config", "n_factors", "n_test", ((F.col("rmse") > 0) & (F.col("mae") > 0)).alias("errors_positive")
+    )
+
+
+@query(
+    sql(
+        "SELECT count(*) AS pairs, true AS same FROM (SELECT DISTINCT userId, movieId FROM test)",
+        "train",
+        "test",
+    )
+)
+def model_save_load(t: Inputs) -> DataFrame:
+    """A saved and loaded model gives the same predictions."""
+    model, path = _model(t, "train"), work_folder(t.spark, "model")
+    model.save(path)
+    pairs = t.split[1].select("userId", "movieId").distinct()
+    before = model.predict(pairs)
+    after = factor.FactorModel.load(t.spark, path).predict(pairs).withColumnRenamed("prediction", "again")
+    both = before.join(after, ["userId", "movieId"])
+    close = F.abs(F.col("prediction") - F.col("again")) < 1e-3
+    return both.agg(F.count(F.lit(1)).alias("pairs"), F.every(close).alias("same"))
+
+
+@query(
+    sql(
+        """SELECT CAST(run AS BIGINT) AS run, count(*) AS total_ratings, count(DISTINCT userId) AS num_users
+        FROM ratings CROSS JOIN (VALUES (1), (2)) r(run) GROUP BY run""",
+        "ratings",
+    )
+)
+def run_metrics_sink(t: Inputs) -> DataFrame:
+    """Two runs' metrics, appended and read back."""
+    path = work_folder(t.spark, "run-metrics")
+    facts = profile.rating_stats(t.ratings).first()
+    for run in (1, 2):
+        row = {"run": run, "data": {"total_ratings": facts.total_ratings, "num_users": facts.num_users}}
+        sinks.append_metrics(t.spark, row, path)
+    return t.spark.read.json(path).select("run", "data.total_ratings", "data.num_users")
+
+
+@query(
+    sql(
+        """SELECT 'n_factors' AS name, CAST(count(DISTINCT movieId) AS DOUBLE) AS value FROM ratings
+        UNION ALL SELECT 'n_epochs', 20.0 UNION ALL SELECT 'lr_all', 0.006 UNION ALL SELECT 'reg_all', 0.025""",
+        "ratings",
+    )
+)
+def tuned_parameters(t: Inputs) -> DataFrame:
+    """The latest row of a parameter table wins, defaults fill what it lacks."""
+    path = work_folder(t.spark, "tuned")
+    for n in (1, profile.rating_stats(t.ratings).first().num_movies):
+        sinks.append_metrics(t.spark, {"n_factors": n, "performance": {"rmse": 1.0}}, path)
+    found = sinks.read_tuned(t.spark, path)
+    return t.spark.createDataFrame([(k, float(v)) for k, v in found.items()], "name string, value double")
+
+
+@query(
+    sql(
+        """SELECT CASE WHEN num_ratings = 0 THEN 'cold_start_popular' WHEN num_ratings < 5 THEN 'cold_start_hybrid'
+        ELSE 'collaborative_filtering_ready' END AS recommendation_type, count(*) AS n, count(DISTINCT userId) AS users
+        FROM recs GROUP BY 1""",
+        "ratings",
+        "movies",
+        "bridge",
+        "users",
+        **O.hybrid_lists("ratings", "users", 3),
+    )
+)
+def recommendation_sink(t: Inputs) -> DataFrame:
+    """Lists written by type and read back, nested and flat."""
+    path = work_folder(t.spark, "recommendations")
+    sinks.write_recommendations(_hybrid_recs(t), path)
+    stored = t.spark.read.parquet(path)
+    nested = sinks.nested_lists(stored)
+    return nested.groupBy("recommendation_type").agg(
+        F.sum(F.size("recommendations")).alias("n"), F.count(F.lit(1)).alias("users")
+    )
+
+
+_KEPT = "SELECT r.* FROM ratings r JOIN per_user USING (userId) WHERE num_ratings >= 5"
+
+
+@query(
+    sql(
+        f"""SELECT count(*) FILTER (WHERE {O.PAIR_HASH} % 1000 >= 200) AS n_train,
+        count(*) FILTER (WHERE {O.PAIR_HASH} % 1000 < 200) AS n_test, true AS errors_positive,
+        CAST(5 AS BIGINT) AS n_items FROM kept""",
+        "ratings",
+        "per_user",
+        kept=_KEPT,
+    )
+)
+def training_job(t: Inputs) -> DataFrame:
+    """The whole training job: filter, fit with the default parameters, save, metrics row, sample list."""
+    folder = work_folder(t.spark, "training")
+    _, measured, sample = jobs.train_job(materialize(t.ratings, "ratings"), t.movies, folder)
+    stored = t.spark.read.json(f"{folder}/metrics")
+    return stored.select(
+        "n_train",
+        "n_test",
+        ((F.col("rmse") > 0) & (F.col("mae") > 0)).alias("errors_positive"),
+        F.lit(sample.count()).cast("bigint").alias("n_items"),
+    )
+
+
+@query(
+    sql(
+        f"""SELECT (SELECT count(*) FROM ratings) AS total_ratings, count(*) AS filtered_ratings,
+        (SELECT count(*) FROM per_user) AS total_users,
+        (SELECT count(*) FROM per_user WHERE num_ratings < 5) AS cold_start_users,
+        (SELECT count(*) FROM movies) AS num_movies,
+        count(*) FILTER (WHERE {O.PAIR_HASH} % 1000 >= 200) AS train_size,
+        count(*) FILTER (WHERE {O.PAIR_HASH} % 1000 < 200) AS test_size, true AS errors_positive FROM kept""",
+        "ratings",
+        "per_user",
+        "movies",
+        kept=_KEPT,
+    )
+)
+def evaluation_job(t: Inputs) -> DataFrame:
+    """The whole evaluation job, read back from its results table."""
+    path = work_folder(t.spark, "evaluation")
+    jobs.evaluation_job(materialize(t.ratings, "ratings"), t.movies, path)
+    data = [f"dataset.{c}" for c in ("total_ratings", "filtered_ratings", "total_users", "cold_start_users", "num_movies")]
+    positive = (F.col("performance.test_rmse") > 0) & (F.col("performance.test_mae") > 0)
+    return t.spark.read.json(path).select(
+        *data, "training.train_size", "training.test_size", positive.alias("errors_positive")
+    )
+
+
+@query()
+def model_comparison(t: Inputs) -> DataFrame:
+    """The predictors of ``baseline_comparison`` and the factor model on one test table."""
+    train, test = t.split
+    models = {
+        "global": predict.AveragePredictor().fit(train),
+        "item": predict.AveragePredictor("movieId").fit(train),
+        "user": predict.AveragePredictor("userId").fit(train),
+        "bias": predict.BiasPredictor().fit(train),
+        "factor": _model(t, "train"),
+    }
+    return predict.compare_predictors(models, test)
 
 
 GRID = {"item_damping": [2.0, 10.0], "user_damping": [5.0]}
@@ -1256,11 +1522,14 @@ def tier_refresh_stream(t: Inputs) -> DataFrame:
     ratings, lists, state = (work_folder(t.spark, n) for n in ("ratings", "lists", "state"))
     table = coldstart.stored_popularity(t.baskets, t.movies)
     nothing = t.spark.createDataFrame([], tables.RATINGS_SCHEMA)
-    source = tables.stream_baskets(t.spark, t.sf_dir)
+    # The one file of order lines is laid out as four, so that users are touched by several micro-batches.
+    files = work_folder(t.spark, "baskets")
+    t.baskets.repartition(4, "movieId").write.option("maxRecordsPerFile", 0).parquet(files)
+    source = t.spark.readStream.schema(t.baskets.schema).option("maxFilesPerTrigger", 1).parquet(files)
     stream.refresh_lists(
         source, nothing, t.movies, ratings, lists, state, min_movie_id=0, popularity=table
     ).awaitTermination()
-    return t.spark.read.parquet(lists).drop("batch")
+    return stream.current_lists(t.spark, lists).where("recommendation_type = 'genre_based'")
 
 
 @query()
@@ -1268,7 +1537,7 @@ def tier_refresh_personalized(t: Inputs) -> DataFrame:
     """Event submissions refresh the factor-model lists of the users they touch."""
     ratings, lists, state = (work_folder(t.spark, n) for n in ("ratings", "lists", "state"))
     history = materialize(t.ratings, "ratings")
-    model = factor.FactorModel(**SMALL_MODEL).fit(history)
+    model = _model(t, "ratings")
     stream.refresh_lists(
         tables.stream_submissions(t.spark, t.sf_dir),
         history,
@@ -1279,4 +1548,42 @@ def tier_refresh_personalized(t: Inputs) -> DataFrame:
         min_movie_id=0,
         personalized=lambda rows, users: route.personalized_lists(model, rows, t.movies, users),
     ).awaitTermination()
-    return t.spark.read.parquet(lists).drop("batch")
+    return stream.current_lists(t.spark, lists)
+
+
+@query(
+    sql(
+        f"""SELECT t.userId, c.n AS num_ratings, CASE WHEN c.n < 5 THEN 'genre_based' ELSE 'personalized' END
+        AS recommendation_type, {_RULES.format(n=_LENGTH)}
+        FROM (SELECT DISTINCT userId FROM valid) t JOIN (SELECT userId, count(*) AS n FROM every GROUP BY userId) c
+        ON c.userId = t.userId LEFT JOIN known r ON r.userId = t.userId""",
+        "ratings",
+        "movies",
+        "valid",
+        every="""SELECT userId, movieId FROM ratings UNION ALL SELECT userId, movieId FROM valid""",
+        known=_RATED_KNOWN.format(source="every"),
+    )
+)
+def tier_refresh_personalized_rules(t: Inputs) -> DataFrame:
+    valid, _ = search.split_valid(t.submissions, min_movie_id=0)
+    rated = t.ratings.select("userId", "movieId").unionByName(valid.select("userId", "movieId"))
+    return _list_rules(tier_refresh_personalized(t), "score", rated, "num_ratings", "recommendation_type")
+
+
+@query(
+    sql(
+        """SELECT round(1 - coalesce((SELECT sum(c / (100 - c)) FROM pairs), 0)
+            / ((SELECT count(*) FROM users) * ((SELECT count(*) FROM users) - 1) / 2), 6) AS diversity""",
+        "ratings",
+        "movies",
+        "users",
+        **O.popular_lists("ratings", 50),
+        pairs="""SELECT a.userId AS u, b.userId AS v, count(*) AS c FROM recs a
+            JOIN recs b ON a.movieId = b.movieId AND a.userId < b.userId GROUP BY u, v""",
+    )
+)
+def diversity_long(t: Inputs) -> DataFrame:
+    """Diversity of lists of 50."""
+    history = materialize(t.ratings, "ratings")
+    table = coldstart.stored_popularity(history, t.movies)
+    return metrics.diversity(materialize(coldstart.popular_for_users(history, table, t.users, 50), "lists"), t.users)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +36,7 @@ def build_session(app: str = "tastegrid", master: str | None = None, **options:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Without that setting a local session gets a temporary folder; a cluster session
+    Without that setting a session inside one process (``local[...]``) gets a temporary folder; any other
     gets an error, because executors cannot share a machine-local folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
@@ -40,7 +44,7 @@ def shared_folder(spark: SparkSession) -> str:
     )
     if folder:
         return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         folder = tempfile.mkdtemp(prefix="tastegrid-")
         spark.conf.set("spark.checkpoint.dir", folder)
         return folder
@@ -59,6 +63,25 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(shared_folder(spark))
 
 
+_scratch = threading.local()
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread materializes inside the block are deleted at its end.
+
+    For jobs whose results have left Spark by then, such as the metrics of a fit.
+    """
+    outer, _scratch.paths = getattr(_scratch, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _scratch.paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _scratch.paths = outer
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
@@ -67,5 +90,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the other side because a scan (not an aggregate) feeds the join.
     """
     path = work_folder(df.sparkSession, name)
+    if getattr(_scratch, "paths", None) is not None:
+        _scratch.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

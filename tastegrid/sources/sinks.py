@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,20 +46,29 @@ def append_metrics(spark: SparkSession, metrics: Mapping, path: str, fmt: str =
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there; a path that can't be read, for instance for want of rights, raises."""
     try:
-        spark.read.text(path).schema  # noqa: B018 - resolves the path
-        return True
-    except Exception:  # noqa: BLE001 - any unreadable path means "no file"
-        return False
+        spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def read_tuned(spark: SparkSession, path: str | None) -> dict:
-    """The tuned parameters of the latest row at ``path``; defaults fill what is missing."""
+    """The tuned parameters of the latest row at ``path``; defaults fill what is missing.
+
+    ``path`` is a table of JSON lines, as :func:`append_metrics` writes it, or a file with one JSON object over
+    several lines. The content tells which: a line that is no object of its own means the latter.
+    """
     if not path or not _exists(spark, path):
         return dict(TUNED_DEFAULTS)
     fields = [T.StructField(k, T.DoubleType()) for k in TUNED_DEFAULTS]
     schema = T.StructType([*fields, T.StructField("timestamp", T.StringType())])
-    rows = spark.read.schema(schema).json(path, multiLine=not os.path.isdir(path)).orderBy(F.desc("timestamp"))
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    broken = lines.where(~F.trim("value").rlike(r"^\{.*\}$")).limit(1).count() > 0
+    rows = spark.read.schema(schema).json(path, multiLine=broken).orderBy(F.desc_nulls_last("timestamp"))
     row = rows.select(*[F.coalesce(k, F.lit(float(v))).alias(k) for k, v in TUNED_DEFAULTS.items()]).first()
     if row is None:
         return dict(TUNED_DEFAULTS)

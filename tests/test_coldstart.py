@@ -80,43 +80,43 @@ def test_popular_list_filter_and_exclusion(spark, cold):
     top = popularity.top_popular(table, 5).collect()
     scores = [r.popularity_score for r in top]
     assert len(top) == 5 and scores == sorted(scores, reverse=True)
-    assert all("Action" in r.genres for r in popularity.top_popular(table, 5, "Action").collect())
-    gone = spark.createDataFrame([(1,), (2,)], "movieId long")
+    assert all("Noir" in r.genres for r in popularity.top_popular(table, 5, "Noir").collect())
+    gone = spark.createDataFrame([(101,), (102,)], "movieId long")
     left = {r.movieId for r in popularity.top_popular(table, 20, exclude=gone).collect()}
-    assert left == set(range(3, 11))
+    assert left == set(range(103, 113))
 
 
 def test_fixed_popularity_drops_rare_and_unknown_items(spark, cold):
     ratings, movies = cold
-    rows = popularity.popularity_fixed(ratings, movies.where("movieId <> 1"), min_ratings=3).collect()
-    assert {r.movieId for r in rows} == {2, 3, 5}
+    rows = popularity.popularity_fixed(ratings, movies.where("movieId <> 104"), min_ratings=3).collect()
+    assert {r.movieId for r in rows} == {102, 109}
     mean = ratings.agg(F.avg("rating")).first()[0]
-    two = next(r for r in rows if r.movieId == 2)
-    assert two.popularity_score == pytest.approx(3 / 6 * 4.0 + 3 / 6 * mean)
+    one = next(r for r in rows if r.movieId == 109)
+    assert one.popularity_score == pytest.approx(3 / 6 * 3.5 + 3 / 6 * mean)
 
 
 def test_unknown_items_stay_in_the_quantile_table(spark, cold):
     ratings, movies = cold
-    rows = popularity.popularity_quantile(ratings, movies.where("movieId <> 1")).collect()
-    assert len(rows) == 10
-    assert next(r for r in rows if r.movieId == 1).title is None
+    rows = popularity.popularity_quantile(ratings, movies.where("movieId <> 101")).collect()
+    assert len(rows) == 12
+    assert next(r for r in rows if r.movieId == 101).title is None
 
 
 def test_tiers(spark, cold):
     ratings, movies = cold
-    users = spark.createDataFrame([(1,), (2,), (3,), (4,), (999,)], "userId long")
+    users = spark.createDataFrame([(11,), (12,), (13,), (14,), (999,)], "userId long")
     rows = coldstart.route_cold_start(ratings, movies, users, 5).collect()
     kind = {r.userId: (r.num_ratings, r.recommendation_type) for r in rows}
     assert kind[999] == (0, "cold_start_popular")
-    assert kind[4] == (2, "cold_start_hybrid")
-    assert kind[1] == (5, "collaborative_filtering_ready")
-    assert 3 not in kind  # ten of ten items rated: nothing is left
+    assert kind[14] == (2, "cold_start_hybrid")
+    assert kind[11] == (6, "collaborative_filtering_ready")
+    assert 13 not in kind  # all items rated: nothing is left
     seen = {(r.userId, r.movieId) for r in ratings.collect()}
     assert not any((r.userId, r.movieId) in seen for r in rows)
     service = coldstart.route_service_cold(ratings, movies, users, 5).collect()
     assert {r.userId: r.recommendation_type for r in service} == {
-        2: "genre_based",
-        4: "genre_based",
+        12: "genre_based",
+        14: "genre_based",
         999: "cold_start",
     }
 
@@ -124,31 +124,46 @@ def test_tiers(spark, cold):
 def test_genre_based_prefers_the_genre(spark, cold):
     ratings, movies = cold
     table = popularity.popularity_quantile(ratings, movies)
-    wanted = spark.createDataFrame([(1, ["Action"]), (2, ["Romance", "Romance"])], "userId long, genres array<string>")
+    wanted = spark.createDataFrame([(1, ["Noir"]), (2, ["Musical", "Musical"])], "userId long, genres array<string>")
     rows = coldstart.genre_based(wanted, table, 3).collect()
     assert {r.rank for r in rows if r.userId == 1} == {1, 2, 3}
-    action = {1, 4, 7, 9}
-    assert all(r.movieId in action for r in rows if r.userId == 1)
+    noir = {102, 104, 106, 109, 112}
+    assert all(r.movieId in noir for r in rows if r.userId == 1)
+    counts = {r.movieId: r.num_ratings for r in table.collect()}
+    assert all(r.title == f"Reel {r.movieId}" and r.num_ratings == counts[r.movieId] for r in rows)
 
 
 def test_last_rating_of_an_item_counts(spark, cold):
     _, movies = cold
     twice = spark.createDataFrame(
-        [(1, 2, 5.0, 10), (1, 2, 1.0, 20), (2, 2, 1.0, 10), (2, 2, 5.0, 20)],
+        [(1, 104, 5.0, 10), (1, 104, 1.0, 20), (2, 104, 1.0, 10), (2, 104, 5.0, 20)],
         "userId long, movieId long, rating double, timestamp long",
     )
     sets = {r.userId: r.set_key for r in coldstart.preference_sets(twice, movies).collect()}
-    assert sets == {2: ["Comedy"]}
+    assert sets == {2: ["Noir"]}
+
+
+def test_ratings_without_time_and_on_wider_scales(spark, cold):
+    _, movies = cold
+    rows = spark.createDataFrame(
+        [(1, 104, 4.5, None), (2, 104, 10.0, 5), (3, 104, 5.0, None), (3, 104, 1.0, -7), (4, 104, None, 9), (4, 104, 4.0, 1),
+         (5, 104, 3.75, None), (5, 104, 3.25, None)],
+        "userId long, movieId long, rating double, timestamp long",
+    )
+    last = {r.userId: r.rating for r in coldstart.latest_ratings(rows).collect()}
+    assert last == {1: 4.5, 2: 10.0, 3: 1.0, 4: 4.0, 5: 3.75}
+    liked = {r.userId for r in coldstart.preference_sets(rows, movies).collect()}
+    assert liked == {1, 2, 4, 5}
 
 
 def test_null_genres_and_missing_items(spark, cold):
     ratings, _ = cold
     movies = spark.createDataFrame(
-        [(1, "x", None), (2, None, "Comedy"), (3, "z", "")], "movieId long, title string, genres string"
+        [(101, "x", None), (102, None, "Noir"), (103, "z", "")], "movieId long, title string, genres string"
     )
-    users = spark.createDataFrame([(1,), (999,)], "userId long")
+    users = spark.createDataFrame([(11,), (999,)], "userId long")
     rows = coldstart.route_cold_start(ratings, movies, users, 20).collect()
-    assert len([r for r in rows if r.userId == 999]) == 10
+    assert len([r for r in rows if r.userId == 999]) == 12
 
 
 def test_bad_n(spark, cold):

@@ -78,9 +78,9 @@ def test_quality(spark, odd):
 
 def test_repeated_catalogue_rows_multiply_counts(spark, cold):
     ratings, movies = cold
-    twice = movies.union(movies.where("movieId = 4"))
+    twice = movies.union(movies.where("movieId = 105"))
     top = profile.popular_items(ratings, twice, 1, 2).collect()
-    assert [(r.movieId, r.num_ratings) for r in top] == [(1, 4), (4, 4)]
+    assert [(r.movieId, r.num_ratings) for r in top] == [(105, 4), (102, 3)]
 
 
 def test_empty_tables(spark):
@@ -153,10 +153,10 @@ def test_scans(spark, cold, tmp_path, fmt):
     ratings.write.format(fmt).option("header", True).save(str(tmp_path / "r"))
     movies.write.format(fmt).option("header", True).save(str(tmp_path / "m"))
     r = tables.load_ratings(spark, str(tmp_path / "r"), fmt=fmt)
-    assert r.schema == tables.RATINGS_SCHEMA and r.count() == 20
-    assert tables.load_ratings(spark, str(tmp_path / "r"), limit=0, fmt=fmt).count() == 20
+    assert r.schema == tables.RATINGS_SCHEMA and r.count() == 23
+    assert tables.load_ratings(spark, str(tmp_path / "r"), limit=0, fmt=fmt).count() == 23
     first = tables.load_movies(spark, str(tmp_path / "m"), limit=3, fmt=fmt)
-    assert ids(first) == [1, 2, 3]
+    assert ids(first) == [101, 102, 103]
 
 
 def test_scan_checks_columns(spark, tmp_path):
@@ -175,11 +175,11 @@ def test_predicates_and_columns_reach_the_scan(spark, cold, tmp_path):
 def test_append_ratings(spark, cold, tmp_path):
     ratings, _ = cold
     new = spark.createDataFrame(
-        [(1, 8, 5.0, 1), (1, 9, 4.0, 2), (1, 9, 6.0, 3), (77, 1, 3.7, 4), (78, 2, 0.5, 5)],
+        [(11, 101, 1.5, 1), (11, 103, 2.0, 2), (11, 103, 6.5, 3), (77, 101, 3.7, 4), (78, 102, 0.5, 5)],
         "userId long, movieId long, rating double, timestamp long",
     )
     got = {r.userId: (r.ratings_submitted, r.total_ratings) for r in sinks.append_ratings(ratings, new, str(tmp_path / "h")).collect()}
-    assert got == {1: (2, 7), 78: (1, 1)}
+    assert got == {11: (2, 8), 78: (1, 1)}
     assert spark.read.parquet(str(tmp_path / "h")).count() == 3
 
 

@@ -18,27 +18,27 @@ def relevant(spark, sets):
 
 
 def test_errors(spark):
-    df = spark.createDataFrame([(3.0, 3.0), (4.0, 4.0), (5.0, 5.0)], "prediction double, rating double")
+    df = spark.createDataFrame([(2.0, 2.0), (3.5, 3.5), (4.5, 4.5), (1.0, 1.0)], "prediction double, rating double")
     row = metrics.error_metrics(df).first()
-    assert (row.rmse, row.mae, row.n_test) == (0.0, 0.0, 3)
-    row = metrics.error_metrics(df.withColumn("rating", F.col("rating") + 0.5)).first()
-    assert (row.rmse, row.mae) == (0.5, 0.5)
+    assert (row.rmse, row.mae, row.n_test) == (0.0, 0.0, 4)
+    row = metrics.error_metrics(df.withColumn("rating", F.col("rating") + 0.25)).first()
+    assert (row.rmse, row.mae) == (0.25, 0.25)
 
 
 def test_precision_recall_fixture(spark):
-    row = metrics.ranking_metrics(recs(spark, {1: [1, 2, 3, 4, 5]}), relevant(spark, {1: {2: 4, 4: 4, 6: 4}}), 5).first()
-    assert row.precision == pytest.approx(0.4)
-    assert row.recall == pytest.approx(2 / 3)
+    row = metrics.ranking_metrics(recs(spark, {1: [10, 20, 30, 40]}), relevant(spark, {1: {20: 4, 40: 4, 50: 4, 60: 4, 70: 4}}), 4).first()
+    assert row.precision == pytest.approx(0.5)
+    assert row.recall == pytest.approx(0.4)
 
 
 def test_hand_computed_average_precision_and_ndcg(spark):
-    lists = recs(spark, {1: list(range(1, 11))})
-    row = metrics.ranking_metrics(lists, relevant(spark, {1: {i: 1 for i in (2, 4, 6, 8, 10)}}), 5).first()
-    ideal = sum(1 / log2(i + 1) for i in range(1, 6))
+    lists = recs(spark, {1: list(range(11, 19))})
+    row = metrics.ranking_metrics(lists, relevant(spark, {1: {i: 1 for i in (11, 14, 17)}}), 5).first()
+    ideal = sum(1 / log2(i + 1) for i in range(1, 4))
     assert row.precision == pytest.approx(0.4)
-    assert row.recall == pytest.approx(0.4)
-    assert row.average_precision == pytest.approx(0.2)
-    assert row.ndcg == pytest.approx((1 / log2(3) + 1 / log2(5)) / ideal)
+    assert row.recall == pytest.approx(2 / 3)
+    assert row.average_precision == pytest.approx((1 + 2 / 4) / 3)
+    assert row.ndcg == pytest.approx((1 + 1 / log2(5)) / ideal)
     assert row.ndcg_graded == pytest.approx(row.ndcg)
 
 
@@ -61,9 +61,9 @@ def test_edges(spark):
 
 
 def test_coverage(spark):
-    lists = recs(spark, {1: [1, 2, 3], 2: [2, 3, 4], 3: [5, 6, 7]})
-    catalogue = spark.range(1, 11).withColumnRenamed("id", "movieId")
-    assert metrics.coverage(lists, catalogue).first()[0] == pytest.approx(0.7)
+    lists = recs(spark, {1: [1, 2], 2: [2, 8], 3: [5]})
+    catalogue = spark.range(1, 9).withColumnRenamed("id", "movieId")
+    assert metrics.coverage(lists, catalogue).first()[0] == pytest.approx(0.5)
     assert metrics.coverage(lists, catalogue.limit(0)).first()[0] == 0.0
 
 
@@ -80,9 +80,12 @@ def brute_diversity(lists):
 @pytest.mark.parametrize(
     "lists",
     [
-        {1: [1, 2, 3], 2: [1, 2, 3]},
-        {1: [1, 2, 3], 2: [4, 5, 6]},
-        {1: [1, 2, 3]},
+        {1: [4, 9], 2: [9, 4]},
+        {1: [4, 9], 2: [7]},
+        {1: [6, 5, 4, 3]},
+        {u: [(u * k * 7) % 97 for k in range(1, 40)] for u in range(1, 12)},
+        {u: list(range(u, u + 5 + u % 4 * 15)) for u in range(40)},
+        {u: list(range(30)) if u % 2 else [u] for u in range(12)},
         {1: [1], 2: [1, 2], 3: [2, 1, 3], 4: [1, 2, 3, 4, 5], 5: [9], 6: [1], 7: [5, 4, 3, 2, 1]},
         {u: [(u * k) % 13 for k in range(1, 2 + u % 7)] for u in range(1, 30)},
         {u: [1, 2, 3, 4, 5, 6, 7, 8, 9, 10 + u] for u in range(25)},
@@ -100,17 +103,19 @@ def test_diversity_counts_empty_lists(spark):
     assert got == pytest.approx(brute_diversity(list(lists.values())))
 
 
-def test_diversity_rejects_longer_lists(spark):
-    with pytest.raises(Exception, match="longer than"):
-        metrics.diversity(recs(spark, {1: [1, 2, 3], 2: [1]}), max_length=2).collect()
-    with pytest.raises(ValueError):
-        metrics.diversity(recs(spark, {1: [1]}), max_length=40)
+@pytest.mark.parametrize("size", [3, 4096])
+def test_long_lists_in_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(metrics, "LISTS_PER_BLOCK", size)
+    lists = {u: [(u * k + k * k) % 61 for k in range(20)] for u in range(25)} | {u: [1, 2] for u in range(100, 104)}
+    users = spark.createDataFrame([(u,) for u in [*lists, 500, 501]], "userId long")
+    got = metrics.diversity(recs(spark, lists), users).first()[0]
+    assert got == pytest.approx(brute_diversity([list(dict.fromkeys(v)) for v in lists.values()] + [[], []]), abs=1e-9)
 
 
 def test_newton_weights_give_jaccard():
     from math import comb
 
-    for total in range(2, 21):
+    for total in range(2, 61):
         for c in range(total // 2 + 1):
             value = sum(metrics._newton_weight(total, j) * comb(c, j) for j in range(1, c + 1))
             assert value == pytest.approx(c / (total - c) if total > c else 0.0, abs=1e-9)

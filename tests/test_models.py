@@ -10,15 +10,13 @@ from tastegrid.sources import sinks
 
 @pytest.fixture(scope="module")
 def small(spark):
-    users, items = [1, 1, 1, 2, 2, 2, 3, 3, 3], [1, 2, 3, 1, 4, 5, 2, 3, 6]
-    stars = [5.0, 4.0, 3.5, 4.5, 5.0, 2.0, 3.0, 4.0, 5.0]
-    ratings = spark.createDataFrame(
-        [(u, i, s, 0) for u, i, s in zip(users, items, stars)] * 10,
-        "userId long, movieId long, rating double, timestamp long",
-    )
-    genres = ["Action|Drama", "Comedy", "Drama", "Action", "Comedy|Romance", "Drama"]
+    """Three users, seven items, nine pairs of eight ratings each."""
+    stars = {21: {1: 4.0, 2: 2.5, 5: 3.0}, 22: {2: 1.5, 3: 4.5}, 23: {1: 5.0, 4: 3.5, 6: 2.0, 7: 4.0}}
+    rows = [(u, i, s, 0) for u, mine in stars.items() for i, s in mine.items()] * 8
+    ratings = spark.createDataFrame(rows, "userId long, movieId long, rating double, timestamp long")
+    genres = ["Noir", "Heist|Noir", "Musical", "Western", "Heist", "Noir|Western", "Musical|Heist"]
     movies = spark.createDataFrame(
-        [(i + 1, f"Movie {i + 1}", g) for i, g in enumerate(genres)], "movieId long, title string, genres string"
+        [(i + 1, f"Reel {i + 1}", g) for i, g in enumerate(genres)], "movieId long, title string, genres string"
     )
     return ratings, movies
 
@@ -58,7 +56,7 @@ def test_untrained_use_raises(spark, small):
 
 def test_averages_and_fallback(spark, small):
     ratings, _ = small
-    pairs = spark.createDataFrame([(1, 1), (1, 99), (77, 1)], "userId long, movieId long")
+    pairs = spark.createDataFrame([(21, 1), (21, 99), (77, 1)], "userId long, movieId long")
     mean = ratings.agg(F.avg("rating")).first()[0]
 
     def scores(key):
@@ -66,15 +64,15 @@ def test_averages_and_fallback(spark, small):
         return {(r.userId, r.movieId): r.prediction for r in out}
 
     assert set(scores(None).values()) == {mean}
-    assert scores("movieId") == {(1, 1): 4.75, (1, 99): mean, (77, 1): 4.75}
+    assert scores("movieId") == {(21, 1): 4.5, (21, 99): mean, (77, 1): 4.5}
     by_user = scores("userId")
-    assert by_user[(1, 99)] == pytest.approx(12.5 / 3) and by_user[(77, 1)] == mean
+    assert by_user[(21, 99)] == pytest.approx(9.5 / 3) and by_user[(77, 1)] == mean
 
 
 def test_predictions_in_scale_and_unknown_ids(spark, small, fitted):
     ratings, _ = small
     pairs = ratings.select("userId", "movieId").distinct().union(
-        spark.createDataFrame([(999, 1), (1, 999), (999, 999)], "userId long, movieId long")
+        spark.createDataFrame([(999, 1), (21, 999), (999, 999)], "userId long, movieId long")
     )
     rows = fitted.predict(pairs).collect()
     assert len(rows) == 12 and all(0.5 <= r.prediction <= 5.0 for r in rows)
@@ -84,17 +82,17 @@ def test_predictions_in_scale_and_unknown_ids(spark, small, fitted):
 
 def test_recommendations_leave_out_training_items(spark, small, fitted):
     ratings, movies = small
-    users = spark.createDataFrame([(1,), (2,), (999,)], "userId long")
-    rows = fitted.recommend(users, movies, 3).collect()
+    users = spark.createDataFrame([(21,), (22,), (999,)], "userId long")
+    rows = fitted.recommend(users, movies, 5).collect()
     per = {}
     for r in rows:
         per.setdefault(r.userId, []).append(r.movieId)
         assert 0.5 <= r.predicted_rating <= 5.0 and r.title is not None
-    assert set(per[1]) == {4, 5, 6} and set(per[2]) == {2, 3, 6} and len(per[999]) == 3
+    assert set(per[21]) == {3, 4, 6, 7} and set(per[22]) == {1, 4, 5, 6, 7} and len(per[999]) == 5
     everything = fitted.recommend(users, movies, 50, exclude_rated=False)
-    assert everything.where("userId = 1").count() == 6
-    more = spark.createDataFrame([(1, 4)], "userId long, movieId long")
-    assert {r.movieId for r in fitted.recommend(users, movies, 9, exclude=more).where("userId = 1").collect()} == {5, 6}
+    assert everything.where("userId = 21").count() == 7
+    more = spark.createDataFrame([(21, 4)], "userId long, movieId long")
+    assert {r.movieId for r in fitted.recommend(users, movies, 9, exclude=more).where("userId = 21").collect()} == {3, 6, 7}
 
 
 def test_ranking_agrees_with_predictions(spark, planted):
@@ -116,7 +114,7 @@ def test_ranking_agrees_with_predictions(spark, planted):
 def test_similar_items(spark, small, fitted):
     _, movies = small
     rows = fitted.similar(movies, 3).collect()
-    assert len(rows) == 18 and all(r.movieId != r.similarId for r in rows)
+    assert len(rows) == 21 and all(r.movieId != r.similarId for r in rows)
     assert all(-1.0 <= r.similarity_score <= 1.0 for r in rows)
     assert fitted.similar(movies, 3, spark.createDataFrame([(999,)], "movieId long")).count() == 0
 
@@ -142,7 +140,7 @@ def test_train_save_load(spark, small, tmp_path):
     model = FactorModel(n_factors=4, n_epochs=3, reg_all=0.1)
     measured = model.train(ratings, 0.3, save_path=str(tmp_path / "m"))
     assert measured["rmse"] >= 0 and measured["mae"] >= 0
-    assert measured["n_train"] > 0 and measured["n_train"] + measured["n_test"] == 90
+    assert measured["n_train"] > 0 and measured["n_train"] + measured["n_test"] == 72
     loaded = FactorModel.load(spark, str(tmp_path / "m"))
     assert loaded.params == model.params and loaded.metrics["n_train"] == measured["n_train"]
     pairs = ratings.select("userId", "movieId").distinct()
@@ -152,7 +150,7 @@ def test_train_save_load(spark, small, tmp_path):
 
     before, after = scores(model), scores(loaded)
     assert all(abs(before[k] - after[k]) < 1e-3 for k in before)
-    users = spark.createDataFrame([(1,)], "userId long")
+    users = spark.createDataFrame([(21,)], "userId long")
     assert loaded.recommend(users, movies, 3).count() == model.recommend(users, movies, 3).count()
 
 
@@ -162,8 +160,8 @@ def test_ids_beyond_int_range(spark, small):
     wide = ratings.withColumn("userId", F.col("userId") + shift).withColumn("movieId", F.col("movieId") + shift)
     model = FactorModel(n_factors=4, n_epochs=2, reg_all=0.1).fit(wide)
     assert model.items.where("features is null").count() == 0
-    assert {r.movieId - shift for r in model.items.collect()} == {1, 2, 3, 4, 5, 6}
-    assert model.evaluate(wide).first().n_test == 90
+    assert {r.movieId - shift for r in model.items.collect()} == {1, 2, 3, 4, 5, 6, 7}
+    assert model.evaluate(wide).first().n_test == 72
 
 
 def test_routes(spark, small, fitted):
@@ -172,15 +170,15 @@ def test_routes(spark, small, fitted):
         [(50, 1, 5.0, 1), (50, 3, 4.0, 2)], "userId long, movieId long, rating double, timestamp long"
     )
     history = ratings.unionByName(few)
-    users = spark.createDataFrame([(1,), (50,), (51,)], "userId long")
+    users = spark.createDataFrame([(21,), (50,), (51,)], "userId long")
     kinds = {
         r.userId: r.recommendation_type
-        for r in route.route_integrated(fitted, history, movies, users, 3).collect()
+        for r in route.route_integrated(fitted, history, movies, users, 4).collect()
     }
-    assert kinds == {1: "personalized", 50: "cold_start_hybrid", 51: "cold_start_popular"}
-    rows = route.route_service(fitted, history, movies, users, 3).collect()
-    assert {r.userId: r.recommendation_type for r in rows} == {1: "personalized", 50: "genre_based", 51: "cold_start"}
-    assert {r.movieId for r in rows if r.userId == 1} == {4, 5, 6}
+    assert kinds == {21: "personalized", 50: "cold_start_hybrid", 51: "cold_start_popular"}
+    rows = route.route_service(fitted, history, movies, users, 4).collect()
+    assert {r.userId: r.recommendation_type for r in rows} == {21: "personalized", 50: "genre_based", 51: "cold_start"}
+    assert {r.movieId for r in rows if r.userId == 21} == {3, 4, 6, 7}
     assert {r.movieId for r in rows if r.userId == 50}.isdisjoint({1, 3})
 
 
@@ -223,6 +221,12 @@ def test_tuned_parameters(spark, tmp_path):
     path = str(tmp_path / "tuned")
     sinks.append_metrics(spark, {"n_factors": 50, "performance": {"rmse": 0.9}}, path)
     assert sinks.read_tuned(spark, path) == {**sinks.TUNED_DEFAULTS, "n_factors": 50}
+    assert sinks.read_tuned(spark, f"file://{path}") == sinks.read_tuned(spark, path)
+    sinks.append_metrics(spark, {"n_factors": 70}, path)  # the later row wins, by any form of the path
+    assert sinks.read_tuned(spark, path)["n_factors"] == sinks.read_tuned(spark, f"file://{path}")["n_factors"] == 70
+    with pytest.raises(Exception):  # a path that can't be read is no missing file
+        sinks.read_tuned(spark, "nosuchscheme://x/y")
     single = tmp_path / "one.json"
     single.write_text('{\n "n_epochs": 7,\n "reg_all": 0.5\n}')
+    assert sinks.read_tuned(spark, f"file://{single}") == sinks.read_tuned(spark, str(single))
     assert sinks.read_tuned(spark, str(single)) == {**sinks.TUNED_DEFAULTS, "n_epochs": 7, "reg_all": 0.5}

@@ -35,10 +35,27 @@ def test_salted_join_equals_plain_join(spark, skewed, how):
 def test_hot_rows_spread_over_tasks(spark, skewed):
     hot = hot_keys(row_counts(skewed, "k"), "k", "__rows")
     assert hot.count() < 1000
-    salts = (
-        skewed.where("k = 0").select(F.pmod(F.spark_partition_id(), F.lit(32)).alias("s")).distinct().count()
-    )
-    assert salts >= 4
+    shuffled = skewed.withColumn("v", F.col("v") + F.col("k")).repartition(6, "k")  # all rows of the key in one task
+    for facts in (skewed, shuffled):
+        spread = salted_join(facts, facts.select("k").distinct(), "k", row_counts(facts, "k"), "__rows", "left_semi")
+        plan = spread._jdf.queryExecution().analyzed().toString()
+        assert "xxhash64" in plan and "SPARK_PARTITION_ID" in plan.upper()
+    salt = F.pmod(F.xxhash64("k", "v", F.spark_partition_id()), F.lit(16))
+    for facts in (skewed, shuffled):
+        sizes = [r["count"] for r in facts.where("k = 0").groupBy(salt).count().collect()]
+        assert len(sizes) == 16 or facts is skewed and len(sizes) >= 4
+        assert max(sizes) < 6000
+
+
+def test_more_keys_are_hot_on_more_partitions(spark):
+    counts = spark.range(3000).select(F.col("id").alias("k"), F.lit(1).alias("n"))
+    assert hot_keys(counts, "k", "n").count() == 0  # each holds a 3000th; the least share is a 1000th
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2000")
+        assert hot_keys(counts, "k", "n").count() == 3000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_salted_join_with_condition(spark, skewed):
@@ -61,9 +78,9 @@ def test_salted_join_with_condition(spark, skewed):
 def test_activity_filter_keeps_whole_users(spark, cold):
     ratings, _ = cold
     kept = prepare.filter_cold_users(ratings, 5)
-    assert {r.userId: r["count"] for r in kept.groupBy("userId").count().collect()} == {1: 5, 3: 10}
+    assert {r.userId: r["count"] for r in kept.groupBy("userId").count().collect()} == {11: 6, 13: 12}
     items = prepare.filter_cold_items(ratings, 3)
-    assert {r.movieId for r in items.select("movieId").collect()} == {1, 2, 3, 5}
+    assert {r.movieId for r in items.select("movieId").collect()} == {102, 104, 109}
 
 
 @pytest.mark.parametrize("p", [0.0, 0.25, 0.5, 0.9])
@@ -109,7 +126,7 @@ def test_dense_index(spark):
     assert sorted(r.idx for r in rows) == list(range(50))
 
 
-@pytest.mark.parametrize("size", [7, 1000])
+@pytest.mark.parametrize("size", [7, 1000, None])
 def test_block_products_equal_brute_force(spark, size):
     rng = np.random.default_rng(3)
     a, b = rng.integers(-3, 4, (40, 5)).astype(float), rng.integers(-3, 4, (55, 5)).astype(float)

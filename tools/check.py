@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -45,12 +47,14 @@ def differences(left: pd.DataFrame, right: pd.DataFrame) -> list[str]:
 def main() -> int:
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
+    shared = tempfile.mkdtemp(prefix="tastegrid-")  # one machine, so a local folder is shared
     spark = build_session(
         master="local[8]",
         spark__sql__shuffle__partitions="8",
         spark__ui__enabled="false",
         spark__driver__memory="12g",
         spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=shared,
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
@@ -78,6 +82,8 @@ def main() -> int:
         except Exception as e:  # noqa: BLE001 - report and go on with the next query
             bad += 1
             print(f"FAIL  {name:28s} {str(e)[:1200]}", flush=True)
+    spark.stop()
+    shutil.rmtree(shared, ignore_errors=True)
     print("not equal:", bad)
     return bad
 
