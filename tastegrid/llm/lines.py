@@ -92,7 +92,8 @@ def remove_repeated_lines(
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).alias("d")
     same = F.col("d.id").eqNullSafe(F.col("r.id")) & (F.col("d.h") == F.col("r.h"))
-    joined = rows.join(removed, same, "left").select("d.*", "r.ats")
+    # Merged at every size: texts move once, whether the removed lines would fit a broadcast or not.
+    joined = rows.join(removed.hint("merge"), same, "left").select("d.*", "r.ats")
     split = joined.withColumn("lines", _lines(F.col("text")))
     numbers = F.sequence(F.lit(0), F.size("lines") - 1)
     worded = F.filter(numbers, lambda i: F.get("lines", i).rlike(rf"[^{BLANK}]"))
