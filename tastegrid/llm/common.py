@@ -58,15 +58,16 @@ def arrow_type(df: DataFrame, name: str) -> pa.DataType:
 def only_kept(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of each document in ``kept`` (``id``, and ``h``: xxhash64 of the text), with all columns.
 
-    A document is an id with a text. Repeated rows are thinned before the shuffle, so they make no hot task.
-    The columns travel as one struct: none can clash with the names used here.
+    A document is an id with a text, told from others by 64-bit hashes of both. Repeated rows are thinned before
+    the shuffle, so they make no hot task, and the join reuses the window's partitions at every size: texts move
+    once. The columns travel as one struct: none can clash with the names used here.
     """
     row = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(id_col).alias("id"),
+        F.xxhash64(F.col(id_col)).alias("i"),
         F.xxhash64(text_of(text_col)).alias("h"),
     )
-    order = Window.partitionBy("id", "h").orderBy("h")
-    single = row.withColumn("n", F.row_number().over(order)).where("n = 1").alias("d")
-    same = F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.h") == F.col("k.h"))
-    return single.join(kept.alias("k"), same, "left_semi").select("row.*")
+    order = Window.partitionBy("i", "h").orderBy("h")
+    single = row.withColumn("n", F.row_number().over(order)).where("n = 1")
+    wanted = kept.select(F.xxhash64("id").alias("i"), "h")
+    return single.join(wanted.hint("merge"), ["i", "h"], "left_semi").select("row.*")
