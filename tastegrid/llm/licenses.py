@@ -121,6 +121,7 @@ def spans(votes: DataFrame) -> DataFrame:
     diagonals = votes.groupBy(*key, (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.collect_set("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last")
     )
+    diagonals = materialize(diagonals, "diagonals")
     whole = diagonals.where(F.col("exact") & (F.size("places") == F.col("n_grams")))
     whole = whole.withColumn("coverage", F.lit(1.0))
     loose = diagonals.where(~F.col("exact"))
