@@ -206,7 +206,7 @@ def test_steps_with_small_blocks(small_blocks, monkeypatch):
 
     monkeypatch.setattr(suffixes, "BLOCK_BYTES", 300)
     rows = periodic_rows(8)
-    n = 3
+    n = np.arange(3)
 
     def dealt(*streams):
         blocks = [r for s in streams for b in s for r in b.to_pylist()]
