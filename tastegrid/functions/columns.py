@@ -15,6 +15,8 @@ RATING_STEP = 0.5
 LIKED_RATING = 3.5
 RELEVANT_RATING = 4.0
 COLD_START_RATINGS = 5
+# Fixed upper bound of a served list.
+LONGEST_LIST = 50
 ACTIVE_RATINGS = 20
 POPULARITY_WEIGHT = 0.6
 GENRE_WEIGHT = 0.4

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.functions import genre_tokens
-from tastegrid.functions.columns import COLD_START_RATINGS, LIKED_RATING
+from tastegrid.functions.columns import COLD_START_RATINGS, LIKED_RATING, LONGEST_LIST
 from tastegrid.operators.overlap import rank_for_sets
 from tastegrid.operators.popularity import popular_order, popularity_quantile
 from tastegrid.operators.profile import with_history_size
@@ -276,7 +276,8 @@ def route_service_cold(
     min_ratings: int = COLD_START_RATINGS,
     popularity: DataFrame | None = None,
 ) -> DataFrame:
-    """Service routing for users below ``min_ratings``: popular, or all liked genres."""
+    """Service routing for users below ``min_ratings``: popular, or all liked genres; ``n`` is at most 50."""
+    check_n(n, LONGEST_LIST)
     popularity = popularity or stored_popularity(ratings, movies)
     sized = with_history_size(ratings, users).where(F.col("num_ratings") < min_ratings)
     short = materialize(short_histories(ratings, min_ratings), "short-histories")

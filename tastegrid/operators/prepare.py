@@ -12,6 +12,8 @@ from tastegrid.plans.skew import hot_keys, salted_join
 from tastegrid.sources.session import materialize
 
 _PRECISION = 1000
+# Genre columns that a plan can carry; free text would make as many as there are texts.
+MOST_COLUMNS = 2000
 
 
 def model_types(ratings: DataFrame) -> DataFrame:
@@ -103,7 +105,10 @@ def genre_onehot(movies: DataFrame, exact: bool = False, genres: list[str] | Non
     items) are read first unless they are given.
     """
     if genres is None:
-        rows = movies.select(F.explode(genre_tokens("genres")).alias("g")).distinct().collect()
+        names = movies.select(F.explode(genre_tokens("genres")).alias("g")).distinct()
+        rows = names.limit(MOST_COLUMNS + 1).collect()
+        if len(rows) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} genres: pass the ones to make columns of")
         genres = sorted(r.g for r in rows)
     tokens = genre_tokens("genres")
 

@@ -171,6 +171,8 @@ def test_bad_n(spark, cold):
     table = popularity.popularity_quantile(ratings, movies)
     with pytest.raises(ValueError):
         popularity.top_popular(table, 0)
+    with pytest.raises(ValueError, match="at most 50"):
+        coldstart.route_service_cold(ratings, movies, ratings.select("userId").distinct(), 51)
 
 
 def test_similar_by_genre_equals_brute_force(spark, world):
