@@ -27,7 +27,7 @@ FEW_LINES = 3
 # Middle halves that a measure may lie above the third quartile.
 SPREADS = 3.0
 # What a measure may always lie above the quartile, so that groups without any spread don't reject small changes.
-SLACK = {"symbol_rate": 0.03, "dup_line_rate": 0.3, "repeat_rate": 0.2, "upper_rate": 0.15, "word_length": 4.0}
+SLACK = {"symbol_rate": 0.03, "dup_line_rate": 0.3, "repeat_rate": 0.35, "upper_rate": 0.15, "word_length": 4.0}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
