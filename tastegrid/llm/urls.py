@@ -135,7 +135,8 @@ def judge(
     hits = worded.join(index, "token").where(F.expr("concat(host, path) rlike pattern"))
     first = F.max(F.struct("weight", F.col("name").alias("name"), "verdict", "is_base")).alias("first")
     decided = materialize(hits.groupBy("host", "path").agg(first), "decided")
-    return split.join(decided, ["host", "path"], "left").select(
+    # Merged: what was decided grows with the pages, and packed strings look small to the planner.
+    return split.join(decided.hint("merge"), ["host", "path"], "left").select(
         F.col("id").alias(id_col),
         "host",
         "path",
