@@ -165,7 +165,29 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.quality_scores(docs, labels, pages)
 
 
-@query()
+@query(
+    r"""
+    WITH d AS (
+        SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    places AS (SELECT doc_id, x, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50),
+    windows AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM places),
+    firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s HAVING min(doc_id) < max(doc_id)),
+    gone AS (
+        SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before
+        FROM windows JOIN firsts USING (s) WHERE doc_id > first),
+    runs AS (
+        SELECT doc_id, i, sum(CASE WHEN before + 50 >= i THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM gone),
+    spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, run),
+    ends AS (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, n, n FROM d),
+    pieces AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS before FROM ends),
+    kept AS (
+        SELECT doc_id, any_value(n) AS n_bytes, sum(b - a) AS n_removed, count(*) - 1 AS n_spans,
+            string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a, b) AS x
+        FROM pieces JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, n_bytes::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans,
+        sha256(unhex(x)) AS kept_sha256 FROM kept
+    """
+)
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that an earlier document has in strings of 50."""
     found = suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
