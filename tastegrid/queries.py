@@ -1076,7 +1076,7 @@ def route_integrated(t: Inputs) -> DataFrame:
     return route.route_integrated(_model(t, "baskets"), t.baskets, t.movies, t.basket_users)
 
 
-# The reference grids have 81 configurations and 5 folds, 405 fits; this one is the query's own, of 4 fits.
+# The search grids have 81 configurations and 5 folds, 405 fits; this one is the query's own, of 4 fits.
 CV_GRID = {"n_factors": [50, 100], "n_epochs": [10], "reg_all": [0.05]}
 
 

@@ -70,19 +70,20 @@ _scratch = threading.local()
 def scratch_tables(spark: SparkSession) -> Iterator[None]:
     """Tables that this thread materializes inside the block are deleted at its end.
 
-    For jobs whose results have left Spark by then, such as the metrics of a fit.
+    For steps whose results have left Spark by then, such as the metrics of a fit, or are written with
+    ``keep``: such a table outlives the block and belongs to the one around it, if there is one.
     """
-    outer, _scratch.paths = getattr(_scratch, "paths", None), []
+    blocks = _scratch.__dict__.setdefault("blocks", [])
+    blocks.append([])
     try:
         yield
     finally:
-        for path in _scratch.paths:
+        for path in blocks.pop():
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        _scratch.paths = outer
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     The table survives lost executors, cuts the lineage, and gives the planner real file
@@ -90,7 +91,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the other side because a scan (not an aggregate) feeds the join.
     """
     path = work_folder(df.sparkSession, name)
-    if getattr(_scratch, "paths", None) is not None:
-        _scratch.paths.append(path)
+    owners = getattr(_scratch, "blocks", [])[: -1 if keep else None]
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

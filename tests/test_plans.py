@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from tastegrid.plans.blocks import block_top_n
 from tastegrid.plans.indexing import dense_index, fits_int
 from tastegrid.plans.ranking import exact_percentile
 from tastegrid.plans.skew import hot_keys, row_counts, salted_join
+from tastegrid.sources.session import materialize, scratch_tables
 
 
 @pytest.fixture(scope="module")
@@ -148,3 +151,16 @@ def test_histogram_of_equal_counts(spark):
     heights, edges = np.histogram([3, 3, 3, 3], bins=10)
     assert [r.num_keys for r in rows] == list(heights)
     assert rows[0].lower == pytest.approx(edges[0]) and rows[-1].upper == pytest.approx(edges[-1])
+
+
+def test_scratch_tables_are_deleted(spark):
+    folder = lambda df: os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+    with scratch_tables(spark):
+        outer = folder(materialize(spark.range(3), "t"))
+        with scratch_tables(spark):
+            inner = folder(materialize(spark.range(4), "t"))
+            kept = folder(materialize(spark.range(5), "t", keep=True))
+            assert os.path.isdir(inner)
+        assert os.path.isdir(outer) and os.path.isdir(kept) and not os.path.isdir(inner)
+    free = folder(materialize(spark.range(6), "t", keep=True))
+    assert os.path.isdir(free) and not os.path.isdir(outer) and not os.path.isdir(kept)
