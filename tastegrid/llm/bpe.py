@@ -14,6 +14,7 @@ place, because a word's prefix has one tokenization. Decoding emits the labels o
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -177,6 +178,7 @@ class WordTokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.automaton.labels.update({i: t for t, i in self.special.items()})
         strings = sorted(self.special, key=len, reverse=True)
+        self.mark = os.path.commonprefix(strings)  # texts without it have no special token
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, strings)) + ")") if strings else None
         # white space is already one kind of space, so the class of the file needs no \s here
         self.words = regex.compile(SPLIT.replace(r"\s", " ")).findall
@@ -208,7 +210,7 @@ class WordTokenizer:
         """(ids as little-endian 32-bit integers, decoded text) of a whole text."""
         ids: list[bytes] = []
         labels: list[str] = []
-        parts = self.special_pattern.split(text) if self.special_pattern and "<|" in text else [text]
+        parts = self.special_pattern.split(text) if self.special_pattern and self.mark in text else [text]
         get, slow = self.memory.get, self.word
         for part in parts:
             if part in self.special:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.llm.common import BLANK, text_of
-from tastegrid.sources.session import materialize
+from tastegrid.sources.session import materialize, scratch_tables
 
 MIN_LINES = 3
 
@@ -67,13 +67,14 @@ def repeated_places(docs: DataFrame, min_lines: int, id_col: str, text_col: str)
 
 def _removed(docs: DataFrame, min_lines: int, id_col: str, text_col: str) -> DataFrame:
     """(id, h, ats): the sorted numbers of the lines to remove, counted among the lines with a word."""
-    places = repeated_places(docs, min_lines, id_col, text_col)
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h", "at")).alias("first")
-    firsts = materialize(places.groupBy("a").agg(first), "firsts")
-    own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))
-    copies = places.join(firsts, "a").where(~own | (F.col("at") >= F.col("first.at") + min_lines))
-    covered = copies.select("id", "h", F.explode(F.sequence("at", F.col("at") + min_lines - 1)).alias("at"))
-    return materialize(covered.groupBy("id", "h").agg(F.array_sort(F.collect_set("at")).alias("ats")), "removed")
+    with scratch_tables(docs.sparkSession):
+        places = repeated_places(docs, min_lines, id_col, text_col)
+        first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h", "at")).alias("first")
+        firsts = materialize(places.groupBy("a").agg(first), "firsts")
+        own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))
+        copies = places.join(firsts, "a").where(~own | (F.col("at") >= F.col("first.at") + min_lines))
+        covered = copies.select("id", "h", F.explode(F.sequence("at", F.col("at") + min_lines - 1)).alias("at"))
+        return materialize(covered.groupBy("id", "h").agg(F.array_sort(F.collect_set("at")).alias("ats")), "removed", keep=True)
 
 
 def remove_repeated_lines(

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.llm.common import column_values, only_kept, text_of
 from tastegrid.llm.components import connected, forest
-from tastegrid.sources.session import materialize
+from tastegrid.sources.session import materialize, scratch_tables
 
 SEED = 42
 WORDS = 3
@@ -208,14 +208,15 @@ def _link_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 def _groups(table: DataFrame, radius: int) -> DataFrame:
     """(fp, least): for each distinct fingerprint the first (id, h) of its component, null ids last."""
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("least")
-    own = materialize(table.groupBy("fp").agg(first), "fingerprints")
-    roots = materialize(connected(links(own.select("fp"), radius), "a", "b"), "components")
-    linked = roots.join(own, roots["node"] == own["fp"]).select("root", "least")
-    least = linked.groupBy("root").agg(F.min("least").alias("least"))
-    moved = roots.join(materialize(least, "least"), "root").select(F.col("node").alias("fp"), F.col("least").alias("moved"))
-    grouped = own.join(materialize(moved, "moved"), "fp", "left")
-    return materialize(grouped.select("fp", F.coalesce("moved", "least").alias("least")), "groups")
+    with scratch_tables(table.sparkSession):
+        first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("least")
+        own = materialize(table.groupBy("fp").agg(first), "fingerprints")
+        roots = connected(links(own.select("fp"), radius), "a", "b")
+        linked = roots.join(own, roots["node"] == own["fp"]).select("root", "least")
+        least = linked.groupBy("root").agg(F.min("least").alias("least"))
+        moved = roots.join(materialize(least, "least"), "root").select(F.col("node").alias("fp"), F.col("least").alias("moved"))
+        grouped = own.join(materialize(moved, "moved"), "fp", "left")
+        return materialize(grouped.select("fp", F.coalesce("moved", "least").alias("least")), "groups", keep=True)
 
 
 def near_duplicates(
