@@ -1,9 +1,9 @@
 """Quality rules with adaptive limits, in DataFrame operations only.
 
 Measures of every whole text are summarised by mergeable quantile sketches (KLL) per language and source. The
-limits follow from the quartiles of a document's own group: no measure may lie far outside its middle half. A
-group too small to say takes the merged sketch of its language, or of all documents. Filtering is a join of
-the measured documents with the limits.
+limits follow from the upper quantiles of a document's own group: no measure may lie far above them. A group too
+small to say takes the limits of its language, or of all documents; a little larger ones are between. Filtering
+is a join of the measured documents with the limits.
 """
 
 from __future__ import annotations
@@ -19,15 +19,28 @@ from tastegrid.sources.session import materialize
 # Fixed by the contract: shortest text in words, and the share of repeated words that fails a text.
 FEWEST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
-# Items a sketch keeps per level (rank error about 0.3 %); rows below which a group's own sketch isn't used.
+# Items a sketch keeps per level (rank error about 0.3 %); rows up to which a group's own sketch isn't used, and
+# from which it alone is.
 SKETCH_K = 1024
 FEWEST_ROWS = 100
+ENOUGH_ROWS = 150
 # Added to the number of lines: one repeated line of three says little about a text.
 FEW_LINES = 3
-# Middle halves that a measure may lie above the third quartile.
+# A limit is the group's upper quantile and so many times its distance from the median.
+UPPER = 0.85
 SPREADS = 3.0
-# What a measure may always lie above the quartile, so that groups without any spread don't reject small changes.
-SLACK = {"symbol_rate": 0.03, "dup_line_rate": 0.3, "repeat_rate": 0.35, "upper_rate": 0.15, "word_length": 4.0}
+# Only keeps rounding from deciding where a group has no spread.
+EPSILON = 0.005
+# Standard errors by which a count may exceed its limit by chance: few symbols or repeated lines prove nothing.
+ERRORS = 2.0
+# A measure's count and what it is divided by; a mean has no count.
+MEASURES = {
+    "symbol_rate": ("n_symbols", "word_chars", 0),
+    "dup_line_rate": ("n_dup_lines", "n_lines", FEW_LINES),
+    "repeat_rate": ("n_repeat_words", "n_words", FEWEST_WORDS),
+    "upper_rate": ("n_upper", "word_chars", 0),
+    "word_length": ("word_chars", "n_words", 0),
+}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -106,39 +119,38 @@ def measured(docs: DataFrame, id_col: str, text_col: str, group_cols: tuple[str,
     few = F.col("n_words") < FEWEST_WORDS
     repeated = F.lit(100) * F.col("n_repeat_words") > F.lit(MOST_REPEATED_PERCENT) * F.col("n_words")
 
-    def rate(a: str, b: str, few: int = 0) -> Column:
-        return F.when(F.col(b) > 0, F.col(a) / (F.col(b) + few)).otherwise(F.lit(0.0))
-
-    return counted.select(
-        "*",
-        (few | repeated).alias("base_failed"),
-        rate("n_symbols", "word_chars").alias("symbol_rate"),
-        rate("n_dup_lines", "n_lines", FEW_LINES).alias("dup_line_rate"),
-        rate("n_repeat_words", "n_words", FEWEST_WORDS).alias("repeat_rate"),
-        rate("n_upper", "word_chars").alias("upper_rate"),
-        rate("word_chars", "n_words").alias("word_length"),
-    )
+    return counted.select("*", (few | repeated).alias("base_failed"), *[_rate(m).alias(m) for m in MEASURES])
+
+
+def _rate(m: str, errors: float = 0.0) -> Column:
+    """The measure, or its lower bound by that many standard errors of its count."""
+    count, size, few = MEASURES[m]
+    low = F.col(count) - F.lit(errors) * F.sqrt(count) if errors and m != "word_length" else F.col(count)
+    return F.when(F.col(size) > 0, low / (F.col(size) + few)).otherwise(F.lit(0.0))
 
 
 def limits(rows: DataFrame) -> DataFrame:
     """(g0, g1, a limit per measure) for every group of the measured ``rows``."""
-    sketch = [F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in SLACK]
-    merge = [F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in SLACK]
+    sketch = [F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES]
+    merge = [F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES]
     own = materialize(rows.groupBy("g0", "g1").agg(F.count(F.lit(1)).alias("n"), *sketch), "sketches").alias("own")
     language = own.groupBy("g0").agg(F.sum("n").alias("n"), *merge).alias("language")
     everything = own.agg(F.sum("n").alias("n"), *merge).alias("everything")
     levels = own.join(language, F.col("own.g0").eqNullSafe(F.col("language.g0")), "left").crossJoin(F.broadcast(everything))
 
+    def share(level: str) -> Column:
+        part = (F.col(f"{level}.n") - FEWEST_ROWS) / F.lit(float(ENOUGH_ROWS - FEWEST_ROWS))
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), part))
+
     def limit(m: str) -> Column:
-        chosen = (
-            F.when(F.col("own.n") >= FEWEST_ROWS, F.col(f"own.{m}"))
-            .when(F.col("language.n") >= FEWEST_ROWS, F.col(f"language.{m}"))
-            .otherwise(F.col(f"everything.{m}"))
-        )
-        low, high = (F.kll_sketch_get_quantile_double(chosen, F.lit(q)) for q in (0.25, 0.75))
-        return (high + F.greatest(SPREADS * (high - low), F.lit(SLACK[m]))).alias(f"{m}_limit")
+        def of(level: str) -> Column:
+            middle, upper = (F.kll_sketch_get_quantile_double(F.col(f"{level}.{m}"), F.lit(q)) for q in (0.5, UPPER))
+            return upper + SPREADS * (upper - middle) + EPSILON
+
+        wider = share("language") * of("language") + (1 - share("language")) * of("everything")
+        return (share("own") * of("own") + (1 - share("own")) * wider).alias(f"{m}_limit")
 
-    return levels.select("own.g0", "own.g1", *[limit(m) for m in SLACK])
+    return levels.select("own.g0", "own.g1", *[limit(m) for m in MEASURES])
 
 
 def judged(
@@ -148,10 +160,10 @@ def judged(
     bounds = materialize(limits(rows), "limits").alias("b")
     same = F.col("r.g0").eqNullSafe(F.col("b.g0")) & F.col("r.g1").eqNullSafe(F.col("b.g1"))
     inside = F.lit(True)
-    for m in SLACK:
-        inside = inside & (F.col(f"r.{m}") <= F.col(f"b.{m}_limit"))
+    for m in MEASURES:
+        inside = inside & (_rate(m, ERRORS) <= F.col(f"b.{m}_limit"))
     kept = ~F.col("r.base_failed") & F.coalesce(inside, F.lit(True))
-    return rows.join(bounds, same, "left").select("r.*", *[f"b.{m}_limit" for m in SLACK], kept.alias("kept"))
+    return rows.join(bounds, same, "left").select("r.*", *[f"b.{m}_limit" for m in MEASURES], kept.alias("kept"))
 
 
 def quality_rules(
@@ -160,9 +172,10 @@ def quality_rules(
     """The counts of every row, ``base_failed``, each measure with its limit, and ``kept``.
 
     ``kept`` is false where ``base_failed`` (fewer than 50 words, or over half of them in repeated windows) or
-    where a measure lies above its limit: the third quartile of the group plus three middle halves, or plus
-    a fixed slack if that is more. Null and empty texts have no words and fail. Null languages and sources are
-    groups of their own. Repeated rows each get a row and count each. Sketches are exact up to about
+    where a measure lies above its limit by more than two standard errors of its count. The limit is the 85 % quantile
+    of the group and three times its distance from the median. Groups of up to 100 rows take the limit of their
+    language, or of all; up to 150 rows the two are mixed. Null and empty texts have no words and fail. Null languages
+    and sources are groups of their own. Repeated rows each get a row and count each. Sketches are exact up to about
     a thousand rows of a group; beyond, a limit may move by a rank of 0.3 % between runs. Other columns
     are not read.
     """

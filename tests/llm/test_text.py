@@ -123,6 +123,56 @@ def test_small_groups_use_the_merged_sketch(make, corpus):
     assert limits[0].upper_rate_limit >= values[3 * len(values) // 4 - 1]
 
 
+def brute_kept(rows):
+    """doc_id -> kept, from exact quantiles; rows are (id, text, lang, source)."""
+
+    def pairs(text):
+        n_words, chars, symbols, dups, repeated, _ = brute.counts(text)
+        n_lines = sum(1 for x in text.split("\n") if x.strip(" \t\n\v\f\r"))
+        upper = sum("A" <= c <= "Z" for c in text)
+        return [(symbols, chars), (dups, n_lines + 3), (repeated, n_words + 50), (upper, chars), (chars, n_words)]
+
+    found = {d: pairs(t) for d, t, _, _ in rows}
+
+    def limit(ids, k):
+        values = sorted(found[d][k][0] / found[d][k][1] for d in ids)
+        middle, upper = (values[-(-len(values) * q // 100) - 1] for q in (50, 85))
+        return upper + 3 * (upper - middle) + 0.005
+
+    kept = {}
+    for d, t, lang, source in rows:
+        levels = [[r[0] for r in rows], [r[0] for r in rows if r[2] == lang], [r[0] for r in rows if r[2:] == (lang, source)]]
+        kept[d] = not brute.counts(t)[5]
+        for k, (n, size) in enumerate(found[d]):
+            at = 0
+            for ids in levels:
+                share = 1 if ids is levels[0] else min(1, max(0, (len(ids) - 100) / 50))
+                at = share * limit(ids, k) + (1 - share) * at
+            kept[d] &= (n if k == 4 else n - 2 * n**0.5) / size <= at
+    return kept
+
+
+def test_kept_against_brute_force(spark):
+    """Every measure rejects an outlier of its own source, far below a fixed cutoff; few symbols reject nothing."""
+    rng = random.Random(4)
+
+    def text(n=120, symbols=0, upper=0.02, again=0, dups=0, size=6):
+        words = [f"w{rng.randrange(10 ** (size - 1), 10**size)}" for _ in range(n)]
+        words = [w.upper() if rng.random() < upper * (size + 1) else w for w in words] + words[: again * 6]
+        return " ".join(words + ["#"] * symbols) + "\nx y" * (dups + 1 if dups else 0)
+
+    rows = [(i, text(rng.randint(90, 150)), "en", "a") for i in range(200)]
+    rows += [(1000 + i, text(again=rng.randint(0, 2)), "en", "b") for i in range(120)]
+    rows += [(2000 + i, text(size=rng.choice([3, 4])), "de", rng.choice("abc")) for i in range(90)]
+    odd = {"symbols": 25, "upper": 0.15, "again": 5, "dups": 30, "size": 9}
+    rows += [(3000 + i, text(**{k: v}), "en", "a") for i, (k, v) in enumerate(odd.items())]
+    rows += [(4000, text(symbols=2), "en", "a"), (4001, text(dups=1), "en", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(df).collect()}
+    assert kept == brute_kept(rows)
+    assert not any(kept[3000 + i] for i in range(len(odd))) and kept[4000] and kept[4001]
+
+
 def test_quality_of_nothing(make):
     assert quality.quality_rules(make([])).collect() == []
     assert quality.keep_good(make([])).collect() == []
