@@ -341,6 +341,33 @@ def test_a_strong_view_teaches_a_weak_one():
     assert right > ((meta.scores(alone) > 0) == (y == 1))[24:].mean() + 0.1
 
 
+def test_every_unlabelled_document_may_teach(spark, monkeypatch):
+    """All but the few labelled documents give pseudo-labels, as in one process, however the rows are dealt out."""
+    docs, labels, web, truth = labelled(spark, 600)
+    seen = {}
+    real = cotraining.OnSpark.levels
+
+    def levels(self, steps):
+        out = real(self, steps)
+        seen.setdefault("first", (self.size, out.sum() / cotraining.PARTS))
+        return out
+
+    monkeypatch.setattr(cotraining.OnSpark, "levels", levels)
+    monkeypatch.setattr(cotraining, "ENTRIES", 500)
+    got = cotraining.quality_scores(docs.union(docs).repartition(5), labels, web, max_labelled=60).collect()
+    assert len(got) == 2 * len(truth)
+    assert seen["first"][0] == 400 and seen["first"][1] > 300  # repeated rows are one document
+    rows = cotraining.features(docs, labels, web, "doc_id", "text", 60).where("y < 2").orderBy("order", "id").collect()
+    views = [cotraining.Examples.packed([r[a] for r in rows], [r[b] for r in rows]) for a, b in (cotraining.PACKED[:2], cotraining.PACKED[2:])]
+    y, held = np.array([r.y for r in rows]), np.array([r.held for r in rows])
+    source = cotraining.InMemory(views, y, held)
+    source.block = source.block._replace(order=np.array([r.order for r in rows]))
+    made, prior = cotraining.cotrain_on(source)
+    scores = {r.doc_id: r.score for r in got}
+    odds = sum(a * v.scores(w) + c for v, (w, a, c) in zip(views, made)) - prior
+    assert np.allclose([scores[r.id] for r in rows], 1 / (1 + np.exp(-odds)))
+
+
 def test_classifier_odd_rows(spark, make, odd):
     docs = make(odd)
     labels = spark.createDataFrame([(5, 1), (5, 0), (2, 0), (9, None), (None, 1), (77, 1), (1, 3)], "doc_id long, quality int")
