@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import bpe, chunks, cotraining, licenses, lines, mixing, quality, simhash, suffixes, urls
-from tastegrid.llm.common import read_table
+from tastegrid.llm import (
+    alignment,
+    bpe,
+    byte_bpe,
+    chunks,
+    cotraining,
+    licenses,
+    lines,
+    mixing,
+    periods,
+    quality,
+    simhash,
+    suffixes,
+    urls,
+)
+from tastegrid.llm.common import BLANK, read_table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,10 +40,17 @@ def query(twin: str | None = None):
     return register
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def split_pattern() -> str:
+    """The pattern that cuts texts into pieces for the byte-level vocabularies."""
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.PATTERN
 
 
 @query()
@@ -192,3 +213,82 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that an earlier document has in strings of 50."""
     found = suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts of a tenth of the ids with a periodic end, in words joined by one space.
+
+    Of the ids whose CRC-32 h (of the decimal digits) is divisible by ten, word i from a on becomes word a + (i - a) mod p.
+    Null ids and texts without words stay as they are.
+    """
+    words = F.filter(F.split(text_of(), f"[{BLANK}]+"), lambda w: w != "")
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    planted = F.transform(
+        "words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    )
+    rows = docs.select("doc_id", text_of().alias("text"), code.alias("h"), F.when(code % 10 == 0, words).alias("words"))
+    rows = rows.withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query(
+    r"""
+    WITH bits AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+            list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+                lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))) AS steps
+        FROM documents),
+    coded AS (
+        SELECT doc_id, w, len(w) AS n, xor(4294967295::BIGINT, list_reduce(steps, lambda c, x:
+            xor(xor(c, x) >> 1, CASE WHEN xor(c, x) & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))) AS h FROM bits),
+    places AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, 3 + (h // 10) % 8 AS parts FROM coded),
+    planted AS (
+        SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n),
+            lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END]) END AS w FROM places),
+    words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM planted),
+    grams AS (
+        SELECT doc_id, i, concat_ws(' ', word, lead(word, 1) OVER d, lead(word, 2) OVER d, lead(word, 3) OVER d) AS gram,
+            lead(word, 3) OVER d IS NOT NULL AS whole
+        FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+    repeats AS (
+        SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y
+        ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i AND x.whole AND y.whole),
+    stretches AS (
+        SELECT doc_id, q, min(i) AS start, count(*) + 3 + q AS length
+        FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM repeats) GROUP BY doc_id, q, part),
+    runs AS (
+        SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(12, 2 * q) GROUP BY ALL),
+    kept AS (
+        SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words WHERE NOT EXISTS (
+            SELECT 1 FROM runs WHERE runs.doc_id = words.doc_id AND i >= start + period AND i < start + length) GROUP BY doc_id),
+    listed AS (
+        SELECT doc_id, count(*) AS n_runs, max({'length': length, 's': -start, 'p': -period}) AS best,
+            string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs
+        FROM runs GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, -best.s AS start, best.length AS length, -best.p AS period,
+        1000 * best.length // -best.p AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+    FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """
+)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, and its text without the repeats."""
+    found = periods.periodic_runs(with_planted_runs(read_table(spark, sf_dir, "documents")), min_length=12)
+    return periods.digests(found)
+
+
+@query()
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level tokens of every document, as digests."""
+    ranks = tokenizer_file("byte_bpe_50k.tiktoken")
+    return byte_bpe.digests(byte_bpe.encode_decode(read_table(spark, sf_dir, "documents"), ranks, split_pattern()))
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers' tokens in every document."""
+    files = tokenizer_file("byte_bpe_50k.json"), split_pattern(), tokenizer_file("piece_bpe_32k.model")
+    found = alignment.align(read_table(spark, sf_dir, "documents"), *files, digest=True)
+    columns = "doc_id n_a n_b n_groups n_links n_best count_sum".split()
+    return found.select(*columns, F.col("groups").alias("groups_sha256"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import zlib
 from collections import Counter
 
 import xxhash
@@ -132,3 +133,73 @@ def licenses(text):
     hits = [(i, x) for p, x in PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     starts = [i for i, _ in hits]
     return len(w), len(hits), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in hits}))
+
+
+def planted(doc_id, text):
+    """The words of a text, with the periodic end that a tenth of the ids get."""
+    w = re.findall(WORD, text or "")
+    n, h = len(w), None if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h is None or h % 10 or not n:
+        return w
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def word_runs(w, min_length=12):
+    """Sorted (start, length, period) of all runs: every period is tried."""
+    found = {}
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(min_length, 2 * q):
+                found.setdefault((i, j + q - i), q)
+            i = max(j, i + 1)
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def collapsed(w, runs):
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def alignments(texts, encode_a, encode_b, bytes_a, bytes_b):
+    """Per text (n_a, n_b, n_groups, n_links, groups, n_best, count_sum), from sets of bytes."""
+    done = []
+    for text in texts:
+        a, b = (encode_a(" " + text), encode_b(text)) if text else ([], [])
+        sides = []
+        for ids, spell in ((a, bytes_a), (b, bytes_b)):
+            at, spans = 0, []
+            for i in ids:
+                spans.append((at, at + len(spell(i)), i))
+                at += len(spell(i))
+            sides.append(spans)
+        spelt = [b"".join(spell(i) for i in ids) for ids, spell in ((a, bytes_a), (b, bytes_b))]
+        if not text or any(s != (" " + text).encode() for s in spelt):
+            done.append(([], [], [], []))
+            continue
+        links, first = [], 0
+        for s, e, i in sides[0]:
+            while sides[1][first][1] <= s:
+                first += 1
+            k = first
+            while k < len(sides[1]) and sides[1][k][0] < e:
+                links.append((i, sides[1][k][2]))
+                k += 1
+        cuts = sorted({e for _, e, _ in sides[0]} & {e for _, e, _ in sides[1]})
+        inside = lambda spans, lo, hi: ",".join(str(i) for s, e, i in spans if lo < e <= hi)
+        groups = ["|".join(inside(spans, lo, hi) for spans in sides) for lo, hi in zip([0, *cuts], cuts)]
+        done.append((a, b, groups, links))
+    count = Counter(p for *_, links in done for p in set(links))
+    most = {}
+    for (a, _), n in count.items():
+        most[a] = max(most.get(a, 0), n)
+    return [
+        (len(a), len(b), len(g), len(k), ";".join(g), sum(count[p] == most[p[0]] for p in k), sum(count[p] for p in k))
+        for a, b, g, k in done
+    ]
