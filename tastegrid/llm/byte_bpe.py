@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from tastegrid.llm.common import BATCH_BYTES, arrow_type, column_values, text_of
 
-# Pieces kept with their tokens by a Python worker; beyond that the memory starts anew.
-PIECE_MEMORY = 300_000
+# Pieces of a generation that a Python worker keeps with their tokens. A full generation becomes the old one, and what
+# is used of that moves on, so frequent pieces stay.
+PIECE_MEMORY = 400_000
 # Longer pieces are encoded without being remembered.
 LONGEST_KEPT = 48
 # White space as the Unicode property has it: ``\s`` of Python's engines has other control characters in it.
@@ -48,14 +49,18 @@ class ByteTokenizer(dict):
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.ranks = ranks
         self.labels = {r: t for t, r in ranks.items()}
         self.pieces = piece_pattern(pattern).findall
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.merge(piece.encode()), "<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = np.array(self.merge(piece.encode()), "<u4").tobytes()
         if len(piece) <= LONGEST_KEPT:
             if len(self) >= PIECE_MEMORY:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -71,39 +76,38 @@ class ByteTokenizer(dict):
         tokens = [ranks[piece[i : i + 1]] for i in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         tree = [NONE] * (2 * size)
-
-        def pair(i: int, j: int) -> int:
-            rank = ranks.get(labels[tokens[i]] + labels[tokens[j]])
-            return NONE if rank is None else rank << 32 | i
-
-        def put(i: int, value: int) -> None:
-            k = size + i
-            tree[k] = value
-            while k > 1:
-                k >>= 1
-                low, high = tree[2 * k], tree[2 * k + 1]
-                value = low if low < high else high
-                if tree[k] == value:
-                    return
-                tree[k] = value
-
+        rank_of = ranks.get
         for i in range(n - 1):
-            tree[size + i] = pair(i, i + 1)
+            rank = rank_of(piece[i : i + 2])
+            if rank is not None:
+                tree[size + i] = rank << 32 | i
         for k in range(size - 1, 0, -1):
-            tree[k] = min(tree[2 * k], tree[2 * k + 1])
+            low, high = tree[2 * k], tree[2 * k + 1]
+            tree[k] = low if low < high else high
         while (best := tree[1]) != NONE:
             i = best & PLACE
             j, p = after[i], before[i]
             k = after[j]
             tokens[i], tokens[j], after[i] = best >> 32, -1, k
-            put(j, NONE)
+            merged = labels[tokens[i]]
+            rank = None
             if k < n:
                 before[k] = i
-                put(i, pair(i, k))
-            else:
-                put(i, NONE)
+                rank = rank_of(merged + labels[tokens[k]])
+            changed = [(size + j, NONE), (size + i, NONE if rank is None else rank << 32 | i)]
             if p >= 0:
-                put(p, pair(p, i))
+                rank = rank_of(labels[tokens[p]] + merged)
+                changed.append((size + p, NONE if rank is None else rank << 32 | p))
+            for at, value in changed:
+                tree[at] = value
+                while at > 1:
+                    other = tree[at ^ 1]
+                    at >>= 1
+                    if other < value:
+                        value = other
+                    if tree[at] == value:
+                        break
+                    tree[at] = value
         return [t for t in tokens if t >= 0]
 
     def encode(self, text: str) -> bytes:
