@@ -32,6 +32,8 @@ from tastegrid.sources.session import materialize, scratch_tables
 
 # Bytes of whole texts that a task aligns together: a block; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
+# Longer texts are cut into pieces here: the library's pattern engine has too little stack for long runs of white space.
+LONGEST_DIRECT = 200_000
 # A text's index in its block and a token's end in the text share a 64-bit key; so do the two ids of a pair.
 END_BITS, ID_BITS = 40, 24
 
@@ -40,6 +42,8 @@ class ByteLevel:
     """A byte-level tokenizer file: ids of space and text, and the bytes of each id."""
 
     def __init__(self, spec: str, pattern: str):
+        from tiktoken import Encoding
+
         spec = json.loads(spec)
         model, added = spec["model"], {t["content"] for t in spec["added_tokens"]}
         if model["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"]:
@@ -51,10 +55,17 @@ class ByteLevel:
         if made != sorted(made):
             raise ValueError("the ids of the file are not in the order of its merges")
         self.labels = [labels.get(i, b"") for i in range(max(model["vocab"].values()) + 1)]
-        self.tokenizer = ByteTokenizer({t: i for i, t in labels.items()}, pattern)
+        ranks = {t: i for i, t in labels.items()}
+        self.library = Encoding("byte level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.tokenizer = ByteTokenizer(ranks, pattern)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(self.tokenizer.encode(f" {t}"), "<i4") for t in texts]
+        return [self._ids(f" {t}") for t in texts]
+
+    def _ids(self, text: str) -> np.ndarray:
+        if len(text) > LONGEST_DIRECT:
+            return np.frombuffer(self.tokenizer.encode(text), "<i4")
+        return np.array(self.library.encode_ordinary(text), np.int32)
 
 
 class Pieces:

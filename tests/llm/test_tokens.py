@@ -207,6 +207,14 @@ def test_alignment(make, corpus, odd, sides, monkeypatch):
     assert sum(r[1] == 0 for r in have) > sum(not t for _, t in rows)  # texts that the tokens do not spell
 
 
+def test_long_texts_are_cut_here(corpus, sides, monkeypatch):
+    side = alignment.ByteLevel(open(FILES[0], encoding="utf-8").read(), FILES[1])
+    texts = [t for _, t in corpus if t] + STRANGE
+    for limit in (alignment.LONGEST_DIRECT, 100, 0):
+        monkeypatch.setattr(alignment, "LONGEST_DIRECT", limit)
+        assert [x.tolist() for x in side.encode(texts)] == [sides[0](" " + t) for t in texts]
+
+
 def test_alignment_digest_and_empty_tables(make, sides):
     rows = [(1, "one two  three"), (None, None), (2, "▁"), (2, "▁")]
     want = brute.alignments([t or "" for _, t in rows], *sides)
