@@ -1,39 +1,39 @@
-"""Biased matrix factorisation on Spark's ALS."""
+"""Biased matrix factorisation, by alternating least squares or by stochastic gradient descent."""
 
 from __future__ import annotations
 
 import time
-from math import ceil
+import uuid
 
-from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastegrid.functions import clip_rating, dot
+from tastegrid.operators.als import fit_als
 from tastegrid.operators.metrics import error_metrics
 from tastegrid.operators.predict import NOT_TRAINED, BiasPredictor, global_mean
 from tastegrid.operators.prepare import hash_split
+from tastegrid.operators.sgd import Descent, Fit
 from tastegrid.operators.similar import similar_by_vector
 from tastegrid.plans.blocks import block_top_n
-from tastegrid.plans.indexing import dense_index, fits_int
-from tastegrid.sources.session import ensure_checkpoints, materialize
+from tastegrid.sources.session import materialize, scratch_tables
 
 # Fixed default parameters of the model.
-# ALS keeps blocks x blocks routes, so their number follows the pairs and not the cores.
-MIN_BLOCKS, PAIRS_PER_BLOCK = 8, 2_000_000
+SOLVERS = ("als", "sgd")
 DEFAULTS = {"n_factors": 100, "n_epochs": 20, "lr_all": 0.005, "reg_all": 0.02, "random_state": 42}
 
 
 class FactorModel:
     """mean + user offset + item offset + user factors . item factors, clipped to the scale.
 
-    The offsets are damped means (see ``BiasPredictor``); the factors are fitted by ALS on what
-    the offsets leave. Unknown users or items contribute 0. ``lr_all`` is accepted for
-    parameter files and has no effect: ALS has no learning rate. With ``use_bias`` False
-    plain ALS is fitted around the mean.
+    With ``solver`` "sgd" offsets and factors are learned together by stochastic gradient descent over every
+    rating, with learning rate ``lr_all`` (see ``sgd.py``). With "als" the offsets are damped means (see
+    ``BiasPredictor``) and the factors are fitted by alternating least squares on what the offsets leave (see
+    ``als.py``); ``lr_all`` has no effect then. Unknown users or items contribute 0. With ``use_bias`` False the
+    factors are fitted around the mean.
 
-    Repeated ratings of a pair enter the factors once, with their mean; the offsets use
-    every row. So one pair with very many rows costs ALS nothing.
+    Repeated ratings of a pair enter the factors of "als" once, with their mean; the offsets and "sgd" use every
+    row. So one pair with very many rows costs "als" nothing.
     """
 
     def __init__(
@@ -45,23 +45,33 @@ class FactorModel:
         random_state: int = DEFAULTS["random_state"],
         use_bias: bool = True,
         blocks: int | None = None,
+        solver: str = "als",
     ):
+        if solver not in SOLVERS:
+            raise ValueError(f"unknown solver {solver}")
         self.params = {
-            "n_factors": n_factors,
-            "n_epochs": n_epochs,
+            "n_factors": int(n_factors),
+            "n_epochs": int(n_epochs),
             "lr_all": lr_all,
             "reg_all": reg_all,
             "random_state": random_state,
             "use_bias": use_bias,
+            "solver": solver,
         }
         self.blocks = blocks
         self.mean: float | None = None
         self.users: DataFrame | None = None
         self.items: DataFrame | None = None
         self.train_pairs: DataFrame | None = None
-        self.als: ALSModel | None = None
         self.metrics: dict = {}
 
+    @classmethod
+    def from_tables(cls, mean: float, users: DataFrame, items: DataFrame, pairs: DataFrame, **params) -> FactorModel:
+        """A model from given factors: (userId, user_bias, features), (movieId, item_bias, features) and the rated pairs."""
+        model = cls(**params)
+        model.mean, model.users, model.items, model.train_pairs = mean, users, items, pairs.select("userId", "movieId")
+        return model
+
     @property
     def trained(self) -> bool:
         return self.users is not None
@@ -71,58 +81,48 @@ class FactorModel:
             raise ValueError(NOT_TRAINED)
 
     def fit(self, ratings: DataFrame) -> FactorModel:
-        spark = ratings.sparkSession
-        ensure_checkpoints(spark)
+        with scratch_tables(ratings.sparkSession):
+            return self._fit_sgd(ratings) if self.params["solver"] == "sgd" else self._fit_als(ratings)
+
+    def _fit_sgd(self, ratings: DataFrame) -> FactorModel:
+        names = ("n_factors", "lr_all", "reg_all", "random_state", "use_bias")
+        one = Fit(**{n: self.params[n] for n in names})
+        work = Descent(ratings.select("userId", "movieId", "rating"), [one], self.params["random_state"], self.blocks)
+        work.run(self.params["n_epochs"])
+        self.mean = work.means[0]
+        self.users = materialize(work.table(0, 0, "userId", "user_bias"), "userId-factors", keep=True)
+        self.items = materialize(work.table(0, 1, "movieId", "item_bias"), "movieId-factors", keep=True)
+        pairs = work.rows.select(F.col("u").alias("userId"), F.col("v").alias("movieId")).distinct()
+        self.train_pairs = materialize(pairs, "train-pairs", keep=True)
+        return self
+
+    def _fit_als(self, ratings: DataFrame) -> FactorModel:
         # The offsets are the same for all rows of a pair, so they are joined to its mean.
         means = ratings.groupBy("userId", "movieId").agg(F.avg("rating").alias("rating"))
+        bias = None
         if self.params["use_bias"]:
             bias = BiasPredictor().fit(ratings)
             self.mean = bias.mean
             based = bias.offsets(means)
         else:
-            bias = None
             self.mean = global_mean(ratings)
             based = means.withColumn("base", F.lit(self.mean).cast("double"))
         rest = based.select("userId", "movieId", (F.col("rating") - F.col("base")).alias("rest"))
-        pairs = materialize(rest, "train-pairs")
+        pairs = materialize(rest, "train-pairs", keep=True)
         self.train_pairs = pairs.select("userId", "movieId")
-        indexed = pairs
-        user_ids = item_ids = None
-        if not fits_int(pairs, "userId", "movieId"):
-            user_ids = materialize(dense_index(pairs, "userId"), "user-ids")
-            item_ids = materialize(dense_index(pairs, "movieId"), "item-ids")
-            indexed = (
-                pairs.join(user_ids.withColumnRenamed("idx", "u"), "userId")
-                .join(item_ids.withColumnRenamed("idx", "i"), "movieId")
-                .select(F.col("u").alias("userId"), F.col("i").alias("movieId"), "rest")
-            )
-        blocks = self.blocks or max(MIN_BLOCKS, ceil(pairs.count() / PAIRS_PER_BLOCK))
-        self.als = ALS(
-            rank=self.params["n_factors"],
-            maxIter=self.params["n_epochs"],
-            regParam=self.params["reg_all"],
-            seed=self.params["random_state"],
-            userCol="userId",
-            itemCol="movieId",
-            ratingCol="rest",
-            coldStartStrategy="nan",
-            numUserBlocks=blocks,
-            numItemBlocks=blocks,
-        ).fit(indexed)
-        self.users = self._table(self.als.userFactors, "userId", bias and bias.user_bias, "user_bias", user_ids)
-        self.items = self._table(self.als.itemFactors, "movieId", bias and bias.item_bias, "item_bias", item_ids)
+        numbers = (self.params[n] for n in ("n_factors", "n_epochs", "reg_all", "random_state"))
+        users, items = fit_als(pairs, *numbers, blocks=self.blocks)
+        self.users = self._table(users, "userId", bias and bias.user_bias, "user_bias")
+        self.items = self._table(items, "movieId", bias and bias.item_bias, "item_bias")
         return self
 
-    def _table(self, factors: DataFrame, key: str, bias: DataFrame | None, name: str, ids: DataFrame | None):
-        if ids is None:
-            keyed = factors.select(F.col("id").cast("bigint").alias(key), "features")
-        else:
-            keyed = factors.join(ids, factors.id == ids.idx).select(key, "features")
+    def _table(self, factors: DataFrame, key: str, bias: DataFrame | None, name: str):
+        keyed = factors.withColumnRenamed("id", key)
         if bias is None:
             table = keyed.withColumn(name, F.lit(0.0))
         else:
             table = bias.join(keyed, key, "left")
-        return materialize(table.select(key, name, "features"), f"{key}-factors")
+        return materialize(table.select(key, name, "features"), f"{key}-factors", keep=True)
 
     def train(self, ratings: DataFrame, test_size: float = 0.2, save_path: str | None = None) -> dict:
         """Fit on the larger part of a hash split and score the rest."""
@@ -214,12 +214,12 @@ class FactorModel:
         )
 
     def similar(
-        self, movies: DataFrame, n: int = 10, targets: DataFrame | None = None, rows_per_block: int | None = None
+        self, movies: DataFrame, n: int = 10, targets: DataFrame | None = None
     ) -> DataFrame:
         """Nearest items by factor cosine, with the title and genres of the neighbour."""
         self._require()
         known = self.items.where(F.col("features").isNotNull())
-        best = similar_by_vector(known, n, "movieId", "features", targets, rows_per_block)
+        best = similar_by_vector(known, n, "movieId", "features", targets)
         text = movies.select(F.col("movieId").alias("similarId"), "title", "genres")
         return best.join(text, "similarId", "left").select(
             "movieId",
@@ -231,26 +231,34 @@ class FactorModel:
         )
 
     def save(self, path: str) -> None:
-        """ALS model, offset and factor tables, training pairs, parameters and metrics under ``path``."""
+        """Offset and factor tables, training pairs, parameters and metrics as a new version under ``path``.
+
+        The tables go to a folder of their own; a line of ``path``/manifest, committed last, makes it the current version.
+        A save that fails half-way, or runs beside a load, leaves the earlier version as it is. Earlier versions stay
+        until their owner deletes them.
+        """
         self._require()
-        self.als.write().overwrite().save(f"{path}/als")
+        version = uuid.uuid4().hex
         for name, table in (("users", self.users), ("items", self.items), ("pairs", self.train_pairs)):
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
+            table.write.parquet(f"{path}/versions/{version}/{name}")
         facts = {**self.params, **self.metrics, "mean": self.mean}
         spark = self.users.sparkSession
-        spark.createDataFrame([facts]).withColumn("saved_at", F.current_timestamp()).write.mode(
-            "overwrite"
-        ).parquet(f"{path}/facts")
+        row = spark.createDataFrame([facts]).withColumn("saved_at", F.current_timestamp())
+        row.write.parquet(f"{path}/versions/{version}/facts")
+        line = spark.createDataFrame([(time.time_ns(), version)], "saved long, version string")
+        line.coalesce(1).write.mode("append").json(f"{path}/manifest")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FactorModel:
-        facts = spark.read.parquet(f"{path}/facts").first().asDict()
-        model = cls(**{k: facts[k] for k in (*DEFAULTS, "use_bias")})
+        """The version of the last line of the manifest."""
+        lines = spark.read.schema("saved long, version string").json(f"{path}/manifest")
+        folder = f"{path}/versions/{lines.agg(F.max_by('version', F.struct('saved', 'version'))).first()[0]}"
+        facts = spark.read.parquet(f"{folder}/facts").first().asDict()
+        model = cls(**{k: facts[k] for k in (*DEFAULTS, "use_bias", "solver")})
         model.mean = facts["mean"]
         names = ("rmse", "mae", "n_train", "n_test", "training_time")
         model.metrics = {k: facts[k] for k in names if k in facts}
-        model.als = ALSModel.load(f"{path}/als")
-        model.users = spark.read.parquet(f"{path}/users")
-        model.items = spark.read.parquet(f"{path}/items")
-        model.train_pairs = spark.read.parquet(f"{path}/pairs")
+        model.users = spark.read.parquet(f"{folder}/users")
+        model.items = spark.read.parquet(f"{folder}/items")
+        model.train_pairs = spark.read.parquet(f"{folder}/pairs")
         return model

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.operators.overlap import best_classes, class_overlaps, leading_items, numbered_sets, with_classes
-from tastegrid.plans.blocks import block_top_n
+from tastegrid.plans.cells import cosine_top_n
 from tastegrid.plans.ranking import check_n, top_n_per_key
 from tastegrid.plans.skew import row_counts, salted_join
 from tastegrid.sources.session import materialize
@@ -77,10 +77,13 @@ def similar_by_vector(
     id_column: str = "movieId",
     vector_column: str = "features",
     targets: DataFrame | None = None,
-    rows_per_block: int | None = None,
+    cells: int | None = None,
+    counter=None,
 ) -> DataFrame:
     """(id, rank, similarId, similarity): top ``n`` other rows by cosine; zero vectors take no part.
 
+    Exact, by cells around pivots (see ``plans/cells.py``, also for ``cells`` and ``counter``).
+
     ``targets`` limits the rows that get a list (one row is a single lookup); an unknown id
     gets none.
     """
@@ -90,7 +93,7 @@ def similar_by_vector(
     left = rows
     if targets is not None:
         left = rows.join(targets.select(F.col(id_column).alias("id")).distinct(), "id", "left_semi")
-    best = block_top_n(left, rows, n, cosine=True, skip_self=True, rows_per_block=rows_per_block)
+    best = cosine_top_n(left, rows, n, cells=cells, counter=counter)
     return best.select(
         F.col("left_id").alias(id_column),
         "rank",

@@ -1,4 +1,4 @@
-"""Top-n of a vector product between two large tables, block by block."""
+"""Top-n of a vector product between two large tables, longest vectors first."""
 
 from __future__ import annotations
 
@@ -9,131 +9,220 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tastegrid.functions import norm
 from tastegrid.plans.ranking import check_n, top_n_per_key
+from tastegrid.sources.session import materialize, scratch_tables
 
 # Bytes of single-precision vectors in a block, and the fewest left rows that are worth a task of their own.
 BLOCK_BYTES = 32 << 20
 SMALLEST_BLOCK = 512
-# Scores that a task holds at a time.
-SCORES_AT_ONCE = 1 << 24
+# Right rows that are multiplied together, and scores that a task holds at a time.
+TILE_ROWS = 512
+SCORES_AT_ONCE = 1 << 21
+# Room for the rounding of lengths and products in a bound.
+SLACK = 1e-6
+
+BEST = "left_id bigint, right_id bigint, score double"
+
+
+class Lists:
+    """The n best (score, id) of some rows, by falling score and then rising id."""
+
+    def __init__(self, rows: int, n: int, floor: np.ndarray | None = None):
+        self.n = n
+        self.scores = np.full((rows, n), -np.inf)
+        self.ids = np.full((rows, n), np.iinfo(np.int64).max)
+        self.least = np.full(rows, -np.inf) if floor is None else floor.astype(float)
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of ``ids`` for ``rows``; -inf stands for no candidate."""
+        better = scores.max(axis=1, initial=-np.inf) >= self.least[rows]
+        rows, scores = rows[better], scores[better]
+        if not len(rows):
+            return
+        scores = np.concatenate([self.scores[rows], scores], axis=1)
+        ids = np.concatenate([self.ids[rows], np.broadcast_to(ids, (len(rows), len(ids)))], axis=1)
+        bound = -np.partition(-scores, self.n - 1, axis=1)[:, self.n - 1 : self.n]
+        at, col = np.nonzero((scores >= bound) & (scores > -np.inf))
+        value, who = scores[at, col], ids[at, col]
+        order = np.lexsort((who, -value, at))
+        at, value, who = at[order], value[order], who[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        keep = place < self.n
+        at, place = at[keep], place[keep]
+        self.scores[rows], self.ids[rows] = -np.inf, np.iinfo(np.int64).max
+        self.scores[rows[at], place], self.ids[rows[at], place] = value[keep], who[keep]
+        self.least[rows] = np.maximum(self.least[rows], self.scores[rows, -1])
+
+    def frame(self, left_ids: np.ndarray) -> pd.DataFrame:
+        at, place = np.nonzero(self.scores > -np.inf)
+        return pd.DataFrame({"left_id": left_ids[at], "right_id": self.ids[at, place], "score": self.scores[at, place]})
 
 
-def _best_in_block(n: int, cosine: bool, skip_self: bool, decimals: int):
+def best_products(
+    a: np.ndarray, b: np.ndarray, ids: np.ndarray, n: int, decimals: int, floor=None, gone=None
+) -> tuple[Lists, int]:
+    """The n best rows of ``b`` per row of ``a``, and the number of products taken.
+
+    ``b`` comes by falling length. A tile whose length times a row's length is below the row's n-th score so far (at
+    first its ``floor``) holds none of its best, and neither do the tiles behind it. ``gone`` (row, column) pairs, by
+    column, are left out.
+    """
+    lengths, tops = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+    lists, taken = Lists(len(a), n, floor), 0
+    gone_row, gone_col = gone if gone is not None else (np.empty(0, np.int64),) * 2
+    for lo in range(0, len(b), TILE_ROWS):
+        reach = lengths * tops[lo]
+        active = np.flatnonzero(reach + SLACK * (1 + reach) >= lists.least)
+        if not len(active):
+            break
+        tile = b[lo : lo + TILE_ROWS]
+        scores = np.round(a[active] @ tile.T, decimals)
+        taken += scores.size
+        first, last = np.searchsorted(gone_col, [lo, lo + len(tile)])
+        at = np.searchsorted(active, gone_row[first:last])
+        known = active[np.minimum(at, len(active) - 1)] == gone_row[first:last]
+        scores[at[known], gone_col[first:last][known] - lo] = -np.inf
+        lists.add(active, scores, ids[lo : lo + TILE_ROWS])
+    return lists, taken
+
+
+def _best_in_block(n: int, decimals: int):
     empty = pd.DataFrame(
         {"left_id": pd.Series(dtype="int64"), "right_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")}
     )
 
-    def unit(m: np.ndarray) -> np.ndarray:
-        return m / np.linalg.norm(m, axis=1, keepdims=True)
-
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = left[left["other_id"].isna()]
         if rows.empty or right.empty:
             return empty
-        right = right.sort_values("right_id")
-        b = np.stack(right["right_vec"].to_numpy()).astype("float64")
-        if cosine:
-            b = unit(b)
-        left_ids, right_ids = rows["id"].to_numpy(), right["right_id"].to_numpy()
+        b, right_ids = np.stack(right["right_vec"].to_numpy()).astype("float64"), right["right_id"].to_numpy()
+        order = np.lexsort((right_ids, -np.linalg.norm(b, axis=1)))
+        b, right_ids = b[order], right_ids[order]
+        left_ids = rows["id"].to_numpy()
+        floors = rows["floor"].fillna(-np.inf).to_numpy(float)
         gone = left[left["other_id"].notna()]
         at = pd.Index(left_ids).get_indexer(gone["id"])
-        other = pd.Index(right_ids).get_indexer(gone["other_id"].astype("int64"))
-        known = (at >= 0) & (other >= 0)
-        at, other = at[known], other[known]
-        order = np.argsort(at, kind="stable")
-        at, other = at[order], other[order]
-        step = max(1, SCORES_AT_ONCE // len(right))
-        parts = []
+        col = pd.Index(right_ids).get_indexer(gone["other_id"].astype("int64"))
+        known = (at >= 0) & (col >= 0)
+        order = np.lexsort((col[known], at[known]))
+        at, col = at[known][order], col[known][order]
+        step = max(1, SCORES_AT_ONCE // TILE_ROWS)
+        parts = [empty]
         for i in range(0, len(rows), step):
-            lo, hi = np.searchsorted(at, [i, i + step])
             a = np.stack(rows["vec"].iloc[i : i + step].to_numpy()).astype("float64")
-            parts.append(best(a, b, left_ids[i : i + step], right_ids, at[lo:hi] - i, other[lo:hi]))
+            lo, hi = np.searchsorted(at, [i, i + step])
+            by_col = np.argsort(col[lo:hi], kind="stable")
+            masked = at[lo:hi][by_col] - i, col[lo:hi][by_col]
+            lists, _ = best_products(a, b, right_ids, n, decimals, floors[i : i + step], masked)
+            parts.append(lists.frame(left_ids[i : i + step]))
         return pd.concat(parts)
 
-    def best(a, b, left_ids, right_ids, gone_at, gone_other) -> pd.DataFrame:
-        scores = np.round((unit(a) if cosine else a) @ b.T, decimals)
-        if skip_self:
-            scores[left_ids[:, None] == right_ids[None, :]] = -np.inf
-        scores[gone_at, gone_other] = -np.inf
-        # Everything that reaches a row's n-th best score, ties included, then the exact cut.
-        width = min(n, scores.shape[1])
-        bound = -np.partition(-scores, width - 1, axis=1)[:, width - 1 : width]
-        at, col = np.nonzero((scores >= bound) & (scores > -np.inf))
-        value = scores[at, col]
-        order = np.lexsort((col, -value, at))
-        at, col, value = at[order], col[order], value[order]
-        place = np.arange(len(at)) - np.searchsorted(at, at)
-        keep = place < n
-        return pd.DataFrame(
-            {"left_id": left_ids[at[keep]], "right_id": right_ids[col[keep]], "score": value[keep]}
-        )
-
     return run
 
 
+def ordered_blocks(right: DataFrame, value: str, key: str, fit: int, rows: int) -> tuple[DataFrame, list[float]]:
+    """``right`` with a ``block`` of about ``fit`` rows by falling ``value``, and the largest value in each block.
+
+    Cuts at quantiles make the blocks; where many values are equal, hashing the key divides them. The driver sees two
+    numbers per block.
+    """
+    parts = ceil(rows / fit)
+    if parts == 1:
+        top = right.agg(F.max(value)).first()[0]
+        return right.withColumn("block", F.lit(0)), [top or 0.0]
+    quantiles = [1 - (k + 1) / parts for k in range(parts - 1)]
+    cuts = right.agg(F.percentile_approx(value, quantiles, 100 * parts)).first()[0]
+    cuts = sorted(set(cuts), reverse=True)
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col(value)))
+    cut = right.withColumn("bucket", bucket)
+    stats = {r.bucket: r for r in cut.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("top")).collect()}
+    first, split, tops = [], [], []
+    for k in range(len(cuts) + 1):
+        pieces = ceil(stats[k].n / fit) if k in stats else 1
+        first.append(len(tops))
+        split.append(pieces)
+        tops += [stats[k].top if k in stats else 0.0] * pieces
+    of_bucket = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("bucket") + 1)
+    block = of_bucket(first) + F.pmod(F.xxhash64(key), of_bucket(split)).cast("int")
+    return cut.withColumn("block", block).drop("bucket"), tops
+
+
 def block_top_n(
     left: DataFrame,
     right: DataFrame,
     n: int,
     exclude: DataFrame | None = None,
-    cosine: bool = False,
-    skip_self: bool = False,
     rows_per_block: int | None = None,
     decimals: int = 9,
 ) -> DataFrame:
     """(left_id, right_id, score, rank): the ``n`` best right rows per left row by dot product.
 
-    Both sides have ``id`` (bigint) and ``vec`` (array). Rows are hashed into blocks of ``BLOCK_BYTES`` in single
-    precision (or of ``rows_per_block``); a task multiplies one pair of blocks, some left rows at a time, and
-    returns n rows per left row, so no task holds more than two blocks and scores never leave it. A row travels
-    once per block of the other side: large blocks keep that rare, and where one right block is enough, left rows
-    travel once. The left side has at least a block per core, as long as ``SMALLEST_BLOCK`` rows are in it.
-    ``exclude`` (left_id, right_id) is hashed to the same blocks and masked there, however many pairs a row has.
-    Score order, then lower id; ``decimals`` absorbs the summation order.
+    Both sides have ``id`` (bigint) and ``vec`` (array). Right rows are cut into blocks of ``BLOCK_BYTES`` in single
+    precision (or of ``rows_per_block``) by falling length, left rows into blocks by a hash. All left rows meet
+    the first right block; their n-th score there is a floor, and a left row travels on only to the blocks whose
+    largest length times its own reaches its floor. A task multiplies one pair of blocks, tile by tile, and stops
+    where no row can find a better one; it returns n rows per left row, so scores never leave it. The left side has at
+    least a block per core, as long as ``SMALLEST_BLOCK`` rows are in it. ``exclude`` (left_id, right_id) is hashed to
+    the same blocks and masked there, however many pairs a row has. Score order, then lower id; ``decimals`` absorbs
+    the summation order. The result is exact.
     """
     check_n(n)
+    spark = left.sparkSession
     left_rows_n, right_rows_n = left.select("id").count(), right.select("id").count()
     width = right.agg(F.max(F.size("vec"))).first()[0] or 1
     fit = rows_per_block or max(1, BLOCK_BYTES // (4 * width))
     left_blocks = max(1, ceil(left_rows_n / fit))
-    right_blocks = max(1, ceil(right_rows_n / fit))
     if rows_per_block is None:
-        cores = left.sparkSession.sparkContext.defaultParallelism
+        cores = spark.sparkContext.defaultParallelism
         left_blocks = max(left_blocks, min(2 * cores, ceil(left_rows_n / SMALLEST_BLOCK)))
-    left = left.select("id", F.col("vec").cast("array<float>").alias("vec"))
-    right = right.select("id", F.col("vec").cast("array<float>").alias("vec"))
 
-    def block(column: str, blocks: int):
-        return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
-
-    def all_blocks(blocks: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    nothing = F.lit(None).cast("bigint").alias("other_id")
-    left_rows = left.select(
-        block("id", left_blocks).alias("lb"), all_blocks(right_blocks).alias("rb"), "id", "vec", nothing
-    )
-    if exclude is not None:
-        left_rows = left_rows.unionByName(
-            exclude.select(
-                block("left_id", left_blocks).alias("lb"),
-                block("right_id", right_blocks).alias("rb"),
-                F.col("left_id").alias("id"),
-                F.lit(None).cast(left.schema["vec"].dataType).alias("vec"),
-                F.col("right_id").alias("other_id"),
-            ).distinct()
+    def sized(side: DataFrame) -> DataFrame:
+        vec = F.col("vec").cast("array<float>")
+        return side.select("id", vec.alias("vec"), norm(vec).alias("length"))
+
+    with scratch_tables(spark):
+        ordered, tops = ordered_blocks(sized(right), "length", "id", fit, max(1, right_rows_n))
+        ordered = materialize(ordered, "right-blocks", keep=len(tops) == 1)
+        lb = lambda c: F.pmod(F.xxhash64(c), F.lit(left_blocks)).cast("int").alias("lb")
+        left = sized(left)
+        if exclude is not None:
+            places = ordered.select(F.col("id").alias("right_id"), "block")
+            exclude = exclude.select("left_id", "right_id").distinct().join(places, "right_id")
+            if len(tops) > 1:
+                exclude = materialize(exclude, "excluded")
+
+        def meet(rows: DataFrame, blocks: DataFrame, gone: DataFrame | None) -> DataFrame:
+            """``rows`` (id, vec, floor, block) against the right rows of their block."""
+            nothing = F.lit(None).cast("bigint").alias("other_id")
+            rows = rows.select(lb("id"), "block", "id", "vec", "floor", nothing)
+            if gone is not None:
+                null = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("vec", "floor")]
+                other = F.col("right_id").alias("other_id")
+                rows = rows.unionByName(gone.select(lb("left_id"), "block", F.col("left_id").alias("id"), *null, other))
+            every = F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1))).alias("lb")
+            found = blocks.select(every, "block", F.col("id").alias("right_id"), F.col("vec").alias("right_vec"))
+            both = rows.groupBy("lb", "block").cogroup(found.groupBy("lb", "block"))
+            return both.applyInPandas(_best_in_block(n, decimals), BEST)
+
+        def of(table: DataFrame | None, condition) -> DataFrame | None:
+            return None if table is None else table.where(condition)
+
+        unknown = F.lit(None).cast("double").alias("floor")
+        is_first = F.col("block") == 0
+        begun = meet(left.select("id", "vec", unknown, F.lit(0).alias("block")), of(ordered, is_first), of(exclude, is_first))
+        if len(tops) == 1:
+            return top_n_per_key(begun, "left_id", [F.desc("score"), F.asc("right_id")], n)
+        begun = materialize(begun, "first-block")
+        floors = begun.groupBy(F.col("left_id").alias("id")).agg(
+            F.when(F.count(F.lit(1)) >= n, F.min("score")).alias("floor")
         )
-    right_rows = right.select(
-        all_blocks(left_blocks).alias("lb"),
-        block("id", right_blocks).alias("rb"),
-        F.col("id").alias("right_id"),
-        F.col("vec").alias("right_vec"),
-    )
-    best = (
-        left_rows.groupBy("lb", "rb")
-        .cogroup(right_rows.groupBy("lb", "rb"))
-        .applyInPandas(
-            _best_in_block(n, cosine, skip_self, decimals), "left_id bigint, right_id bigint, score double"
+        reach = lambda top: F.col("length") * top
+        open_blocks = F.filter(
+            F.array(*[F.struct(F.lit(k).alias("block"), F.lit(float(t)).alias("top")) for k, t in enumerate(tops) if k]),
+            lambda b: F.col("floor").isNull() | (reach(b["top"]) + SLACK * (1 + reach(b["top"])) >= F.col("floor")),
         )
-    )
-    return top_n_per_key(best, "left_id", [F.desc("score"), F.asc("right_id")], n)
+        onward = left.join(floors, "id", "left").withColumn("open", F.explode(open_blocks)).withColumn("block", F.col("open.block"))
+        rest = meet(onward, of(ordered, ~is_first), of(exclude, ~is_first))
+        best = top_n_per_key(begun.unionByName(rest), "left_id", [F.desc("score"), F.asc("right_id")], n)
+        return materialize(best, "best-products", keep=True)

@@ -83,8 +83,8 @@ def scratch_tables(spark: SparkSession) -> Iterator[None]:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, keep: bool = False, folders: str | None = None) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back; ``folders``: a folder per value of this column.
 
     The table survives lost executors, cuts the lineage, and gives the planner real file
     sizes: later joins broadcast it only when it is small, and AQE can split skewed keys on
@@ -94,5 +94,5 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     owners = getattr(_scratch, "blocks", [])[: -1 if keep else None]
     if owners:
         owners[-1].append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=folders)
     return df.sparkSession.read.schema(df.schema).parquet(path)
