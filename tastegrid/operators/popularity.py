@@ -16,15 +16,22 @@ def popular_order():
     return [F.desc("popularity_score"), F.asc("movieId")]
 
 
-def _item_sums(ratings: DataFrame) -> tuple[DataFrame, Column]:
-    """Count and mean per item, and the mean of all ratings from the same table: one pass over the ratings."""
-    sums = ratings.groupBy("movieId").agg(F.count("rating").alias("num_ratings"), F.sum("rating").alias("stars"))
-    sums = materialize(sums, "item-sums")
+def item_sums(ratings: DataFrame) -> DataFrame:
+    """(movieId, num_ratings, stars): count and sum per item, which add up over parts of the ratings."""
+    return ratings.groupBy("movieId").agg(F.count("rating").alias("num_ratings"), F.sum("rating").alias("stars"))
+
+
+def _with_means(sums: DataFrame) -> tuple[DataFrame, Column]:
+    """Count and mean per item, and the mean of all ratings from the same (written) table: one pass over the ratings."""
     prior = sums.agg(F.sum("stars") / F.nullif(F.sum("num_ratings"), F.lit(0))).scalar()
     mean = F.col("stars") / F.nullif(F.col("num_ratings"), F.lit(0))
     return sums.select("movieId", "num_ratings", mean.alias("avg_rating")), prior
 
 
+def _item_sums(ratings: DataFrame) -> tuple[DataFrame, Column]:
+    return _with_means(materialize(item_sums(ratings), "item-sums"))
+
+
 def popularity_fixed(ratings: DataFrame, movies: DataFrame, min_ratings: int = 10) -> DataFrame:
     """Catalogue items with at least ``min_ratings`` ratings, scored with m = ``min_ratings``."""
     stats, prior = _item_sums(ratings)
@@ -44,7 +51,12 @@ def popularity_quantile(ratings: DataFrame, movies: DataFrame, quantile: float =
 
     Items missing from the catalogue stay, with null title and genres.
     """
-    stats, prior = _item_sums(ratings)
+    return popularity_of_sums(materialize(item_sums(ratings), "item-sums"), movies, quantile)
+
+
+def popularity_of_sums(sums: DataFrame, movies: DataFrame, quantile: float = 0.25) -> DataFrame:
+    """:func:`popularity_quantile` from a written table of :func:`item_sums`."""
+    stats, prior = _with_means(sums)
     m = exact_percentile(stats, "num_ratings", quantile).scalar()
     score = bayesian_average(F.col("num_ratings"), F.col("avg_rating"), m, prior)
     return (
