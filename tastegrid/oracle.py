@@ -98,6 +98,99 @@ def popular_lists(source: str, n: int = 10) -> dict[str, str]:
     }
 
 
+# Fixed factors of a model that SQL can score: eighths of numbers below 65, so that sums are exact.
+FIXED_WIDTH, FIXED_MEAN = 8, 3.25
+
+
+def fixed_vector(key: str) -> str:
+    numbers = ", ".join(f"(({key} * {2 * k + 3} + {7 * k}) % 65 - 32) / 32.0" for k in range(FIXED_WIDTH))
+    return f"[{numbers}]::DOUBLE[]"
+
+
+def fixed_bias(key: str) -> str:
+    return f"(({key} * 5) % 33 - 16) / 64.0"
+
+
+def fixed_factors(users: str) -> dict[str, str]:
+    """Views of the fixed model: an eleventh of the users and a thirteenth of the items are unknown to it."""
+    return {
+        "fu": f"""SELECT userId, CASE WHEN userId % 11 <> 0 THEN {fixed_vector("userId")} END AS p,
+            CASE WHEN userId % 11 <> 0 THEN {fixed_bias("userId")} ELSE 0 END AS bu FROM {users}""",
+        "fi": f"""SELECT movieId, title, genres, CASE WHEN movieId % 13 <> 0 THEN {fixed_vector("movieId")} END AS q,
+            CASE WHEN movieId % 13 <> 0 THEN {fixed_bias("movieId")} ELSE 0 END AS bi FROM movies""",
+    }
+
+
+FIXED_SCORE = "bi + coalesce(list_inner_product(p, q), 0)"
+
+
+def fixed_lists(users: str, rated: str, n: int = 10) -> dict[str, str]:
+    """Brute-force lists of the fixed model for ``users`` without the pairs in ``rated``. Last view: ``fixed_recs``."""
+    return {
+        **fixed_factors(users),
+        "fixed_recs": f"""SELECT userId, rank, movieId, title, genres,
+            round(greatest(0.5, least(5.0, {FIXED_MEAN} + bu + score)), 2) AS predicted_rating
+            FROM (SELECT *, CAST(row_number() OVER (PARTITION BY userId ORDER BY score DESC, movieId) AS INTEGER) AS rank
+                FROM (SELECT u.userId, u.bu, i.movieId, i.title, i.genres, {FIXED_SCORE} AS score FROM fu u CROSS JOIN fi i)
+                WHERE (userId, movieId) NOT IN (SELECT (userId, movieId) FROM {rated})) WHERE rank <= {n}""",
+    }
+
+
+def offsets(train: str, prefix: str = "", item_damping: float = 10.0, user_damping: float = 5.0) -> dict[str, str]:
+    """Views of the damped offsets over a ratings view: ``m``, ``ib`` and ``ub`` behind the prefix."""
+    return {
+        f"{prefix}m": f"SELECT avg(rating) AS m FROM {train}",
+        f"{prefix}ib": f"""SELECT movieId, sum(rating - m) / (count(*) + {item_damping}) AS bi
+            FROM {train} CROSS JOIN {prefix}m GROUP BY movieId""",
+        f"{prefix}ub": f"""SELECT userId, sum(rating - m - bi) / (count(*) + {user_damping}) AS bu
+            FROM {train} JOIN {prefix}ib USING (movieId) CROSS JOIN {prefix}m GROUP BY userId""",
+    }
+
+
+_TWO64 = "18446744073709551616::UHUGEINT"
+
+
+def _mixed(x: str) -> str:
+    """Two xor-shift-multiply rounds on 64 bits."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = f"list_transform([{x}], lambda z: (xor(z, z >> {shift}) * {factor}::UHUGEINT) % {_TWO64})[1]"
+    return f"list_transform([{x}], lambda z: xor(z, z >> 31))[1]"
+
+
+def first_sign(key: str, seed: int = 42) -> str:
+    """Sign of the first number that is drawn for an id: its cosine has the sign of the quadrant."""
+    golden, start = 0x9E3779B97F4A7C15, (seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64
+    x = _mixed(f"(({key})::UHUGEINT + {start}::UHUGEINT) % {_TWO64}")
+    for _ in range(2):
+        x = _mixed(f"({x} + {golden}::UHUGEINT) % {_TWO64}")
+    return f"CASE WHEN {x} % 16777216 BETWEEN 4194304 AND 12582912 THEN -1.0 ELSE 1.0 END"
+
+
+def rank_one(train: str, reg: float, epochs: int, prefix: str = "") -> dict[str, str]:
+    """Views of alternating least squares with one factor on what the offsets leave: ``pu`` and ``qi`` behind the prefix."""
+    views = {
+        **offsets(train, prefix),
+        f"{prefix}rest": f"""SELECT userId, movieId, avg(rating) - any_value(m) - any_value(bi) - any_value(bu) AS r
+            FROM {train} JOIN {prefix}ib USING (movieId) JOIN {prefix}ub USING (userId) CROSS JOIN {prefix}m GROUP BY userId, movieId""",
+        f"{prefix}p0": f"SELECT userId, {first_sign('userId')}::FLOAT AS p FROM (SELECT DISTINCT userId FROM {train})",
+    }
+    for e in range(1, epochs + 1):
+        views[f"{prefix}q{e}"] = f"""SELECT movieId, (sum(p::DOUBLE * r) / (sum(p::DOUBLE * p) + {reg} * count(*)))::FLOAT AS q
+            FROM {prefix}rest JOIN {prefix}p{e - 1} USING (userId) GROUP BY movieId"""
+        views[f"{prefix}p{e}"] = f"""SELECT userId, (sum(q::DOUBLE * r) / (sum(q::DOUBLE * q) + {reg} * count(*)))::FLOAT AS p
+            FROM {prefix}rest JOIN {prefix}q{e} USING (movieId) GROUP BY userId"""
+    views[f"{prefix}pu"] = f"SELECT userId, p::DOUBLE AS p FROM {prefix}p{epochs}"
+    views[f"{prefix}qi"] = f"SELECT movieId, q::DOUBLE AS q FROM {prefix}q{epochs}"
+    return views
+
+
+def rank_one_scores(test: str, prefix: str = "") -> str:
+    """``test`` with the estimate of the one-factor model as ``e``."""
+    return f"""SELECT t.*, greatest(0.5, least(5.0, m + coalesce(bi, 0) + coalesce(bu, 0) + coalesce(p * q, 0))) AS e
+        FROM {test} t CROSS JOIN {prefix}m LEFT JOIN {prefix}ib i ON i.movieId = t.movieId LEFT JOIN {prefix}ub u ON u.userId = t.userId
+        LEFT JOIN {prefix}pu a ON a.userId = t.userId LEFT JOIN {prefix}qi b ON b.movieId = t.movieId"""
+
+
 def sql(body: str, *names: str, **views: str) -> str:
     """``body`` under a WITH clause of the named standard views and the given extra views."""
     needed: list[str] = []

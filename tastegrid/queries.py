@@ -1033,17 +1033,9 @@ def similar_by_vector(t: Inputs) -> DataFrame:
 
 # --------------------------------------------------------------- factor model
 
-# Models with the default parameters (100 factors, 20 epochs), one per session, folder and training set: queries
-# that ask different things of the same model share its fit.
-_MODELS: dict[tuple[str, str, str], factor.FactorModel] = {}
-
-
 def _model(t: Inputs, rows: str) -> factor.FactorModel:
-    key = (t.spark.sparkContext.applicationId, t.sf_dir, rows)
-    if key not in _MODELS:
-        ratings = t.split[0] if rows == "train" else getattr(t, rows)
-        _MODELS[key] = factor.FactorModel().fit(ratings)
-    return _MODELS[key]
+    """A model with the default parameters (100 factors, 20 epochs), fitted for the query that asks."""
+    return factor.FactorModel().fit(t.split[0] if rows == "train" else getattr(t, rows))
 
 
 @query()
@@ -1076,7 +1068,7 @@ def route_integrated(t: Inputs) -> DataFrame:
     return route.route_integrated(_model(t, "baskets"), t.baskets, t.movies, t.basket_users)
 
 
-# The search grids have 81 configurations and 5 folds, 405 fits; this one is the query's own, of 4 fits.
+# A grid of alternating least squares, of 4 fits; ``grid_coarse`` runs the whole coarse grid by gradient descent.
 CV_GRID = {"n_factors": [50, 100], "n_epochs": [10], "reg_all": [0.05]}
 
 
@@ -1086,6 +1078,219 @@ def cv_report(t: Inputs) -> DataFrame:
     return tuning.cv_summary(tuning.grid_search(ratings, CV_GRID, folds=2), list(CV_GRID))
 
 
+@query()
+def descent_metrics(t: Inputs) -> DataFrame:
+    """Errors of a model with the default parameters, fitted by gradient descent."""
+    train, test = t.split
+    return factor.FactorModel(solver="sgd").fit(train).evaluate(test)
+
+
+@query()
+def grid_coarse(t: Inputs) -> DataFrame:
+    """All 81 configurations of the coarse grid on 5 folds, side by side."""
+    ratings = materialize(prepare.filter_cold_users(t.ratings), "ratings")
+    return tuning.cv_summary(tuning.descent_search(ratings, tuning.COARSE_GRID), list(tuning.COARSE_GRID))
+
+
+@query()
+def grid_fine_halved(t: Inputs) -> DataFrame:
+    """The fine grid, of which a third of the models goes on after each number of epochs."""
+    ratings = materialize(prepare.filter_cold_users(t.ratings), "ratings")
+    found = tuning.descent_search(ratings, tuning.FINE_GRID, survivors=1 / 3)
+    return tuning.best_configs(found, list(tuning.FINE_GRID))
+
+
+# A model with one factor has normal equations of one number, which SQL solves as well: its errors and estimates
+# are compared in value.
+ONE = {"n_factors": 1, "n_epochs": 3, "reg_all": 0.05}
+ONE_GRID = {"n_factors": [1], "n_epochs": [2], "reg_all": [0.02, 0.2]}
+_ONE = O.rank_one("train", ONE["reg_all"], ONE["n_epochs"])
+_ONE_ERRORS = """round(sqrt(avg((e - rating) ** 2)), 6) AS rmse, round(avg(abs(e - rating)), 6) AS mae, count(*) AS n_test"""
+
+
+@query(sql(f"SELECT {_ONE_ERRORS} FROM scored", "train", "test", **_ONE, scored=O.rank_one_scores("test")))
+def one_factor_metrics(t: Inputs) -> DataFrame:
+    train, test = t.split
+    return factor.FactorModel(**ONE).fit(train).evaluate(test)
+
+
+@query(
+    sql(
+        """SELECT userId, movieId, rating, "timestamp", round(e, 6) AS prediction FROM scored""",
+        "train",
+        "test",
+        **_ONE,
+        scored=O.rank_one_scores("test"),
+    )
+)
+def one_factor_predict(t: Inputs) -> DataFrame:
+    train, test = t.split
+    return factor.FactorModel(**ONE).fit(train).predict(test)
+
+
+def _compared(name: str, estimate: str, joins: str = "") -> str:
+    return f"""SELECT '{name}' AS model, round(sqrt(avg(({estimate} - t.rating) ** 2)), 6) AS rmse,
+        round(avg(abs({estimate} - t.rating)), 6) AS mae, count(*) AS n_test FROM test t CROSS JOIN m {joins}"""
+
+
+@query(
+    sql(
+        " UNION ALL ".join(
+            [
+                _compared("global", "m"),
+                _compared("item", "coalesce(a, m)", "LEFT JOIN (SELECT movieId, avg(rating) AS a FROM train GROUP BY 1) x USING (movieId)"),
+                _compared("user", "coalesce(a, m)", "LEFT JOIN (SELECT userId, avg(rating) AS a FROM train GROUP BY 1) x USING (userId)"),
+                _compared(
+                    "bias",
+                    "greatest(0.5, least(5.0, m + coalesce(bi, 0) + coalesce(bu, 0)))",
+                    "LEFT JOIN ib USING (movieId) LEFT JOIN ub USING (userId)",
+                ),
+                "SELECT 'factor' AS model, " + _ONE_ERRORS + " FROM scored",
+            ]
+        ),
+        "train",
+        "test",
+        **_ONE,
+        scored=O.rank_one_scores("test"),
+    )
+)
+def one_factor_comparison(t: Inputs) -> DataFrame:
+    """The comparison of all predictors, in value."""
+    return _comparison(t, factor.FactorModel(**ONE))
+
+
+def _one_grid(train: str) -> dict[str, str]:
+    """Scores of two weights on two folds, each with views of its own."""
+    views, parts = {}, []
+    for config, reg in enumerate(ONE_GRID["reg_all"]):
+        for fold in range(2):
+            name = f"c{config}f{fold}"
+            views[f"{name}train"] = f"SELECT * FROM folded WHERE bucket <> {fold}"
+            views[f"{name}test"] = f"SELECT * FROM folded WHERE bucket = {fold}"
+            views |= O.rank_one(f"{name}train", reg, 2, name)
+            views[f"{name}scored"] = O.rank_one_scores(f"{name}test", name)
+            parts.append(f"""SELECT {config} AS config, {reg} AS reg_all, sqrt(avg((e - rating) ** 2)) AS rmse,
+                avg(abs(e - rating)) AS mae, count(*) AS n_test FROM {name}scored""")
+    return {"folded": f"SELECT *, {O.PAIR_HASH} % 2 AS bucket FROM {train}", **views, "scores": " UNION ALL ".join(parts)}
+
+
+@query(
+    sql(
+        """SELECT config, 1.0::DOUBLE AS n_factors, 2.0::DOUBLE AS n_epochs, reg_all::DOUBLE AS reg_all, round(avg(rmse), 6) AS rmse,
+        round(stddev_pop(rmse), 6) AS rmse_std, round(avg(mae), 6) AS mae, round(stddev_pop(mae), 6) AS mae_std,
+        CAST(sum(n_test) AS BIGINT) AS n_test FROM scores GROUP BY config, reg_all""",
+        "ratings",
+        **_one_grid("ratings"),
+    )
+)
+def one_factor_grid(t: Inputs) -> DataFrame:
+    """Grid search over the factor model, in value."""
+    ratings = materialize(t.ratings, "ratings")
+    return tuning.cv_summary(tuning.grid_search(ratings, ONE_GRID, folds=2), list(ONE_GRID))
+
+
+# A model from given factors: what is asked of a fitted model, compared in value.
+
+
+def _fixed_model(t: Inputs, users: DataFrame, pairs: DataFrame) -> factor.FactorModel:
+    def vector(key: str):
+        numbers = [((F.col(key) * (2 * k + 3) + 7 * k) % 65 - 32) / 32.0 for k in range(O.FIXED_WIDTH)]
+        return F.array(*numbers).cast("array<float>").alias("features")
+
+    def bias(key: str, name: str):
+        return (((F.col(key) * 5) % 33 - 16) / 64.0).alias(name)
+
+    known = users.where("userId % 11 <> 0").select("userId", bias("userId", "user_bias"), vector("userId"))
+    items = t.movies.where("movieId % 13 <> 0").select("movieId", bias("movieId", "item_bias"), vector("movieId"))
+    tables_ = materialize(known, "fixed-users"), materialize(items, "fixed-items")
+    return factor.FactorModel.from_tables(O.FIXED_MEAN, *tables_, pairs, n_factors=O.FIXED_WIDTH)
+
+
+_FIXED_TEST = f"""SELECT t.*, greatest(0.5, least(5.0, {O.FIXED_MEAN} + coalesce(bu, 0) + coalesce(bi, 0)
+    + coalesce(list_inner_product(p, q), 0))) AS e
+    FROM test t LEFT JOIN fu USING (userId) LEFT JOIN fi USING (movieId)"""
+
+
+@query(
+    sql(
+        """SELECT userId, movieId, rating, "timestamp", round(e, 6) AS prediction FROM scored""",
+        "train",
+        "test",
+        "movies",
+        "users",
+        **O.fixed_factors("users"),
+        scored=_FIXED_TEST,
+    )
+)
+def fixed_predict(t: Inputs) -> DataFrame:
+    train, test = t.split
+    return _fixed_model(t, t.users, train).predict(test)
+
+
+@query(sql(f"SELECT {_ONE_ERRORS} FROM scored", "train", "test", "movies", "users", **O.fixed_factors("users"), scored=_FIXED_TEST))
+def fixed_metrics(t: Inputs) -> DataFrame:
+    train, test = t.split
+    return _fixed_model(t, t.users, train).evaluate(test)
+
+
+@query(sql("SELECT * FROM fixed_recs", "ratings", "movies", "users", **O.fixed_lists("users", "ratings")))
+def fixed_recommend(t: Inputs) -> DataFrame:
+    """Lists for all users, best products found from the longest item vectors on."""
+    return _fixed_model(t, t.users, t.ratings).recommend(t.users, t.movies, 10)
+
+
+@query(
+    sql(
+        """SELECT movieId, rank, similarId, title, genres, round(s, 3) AS similarity_score FROM (
+            SELECT *, CAST(row_number() OVER (PARTITION BY movieId ORDER BY s DESC, similarId) AS INTEGER) AS rank FROM (
+                SELECT a.movieId, b.movieId AS similarId, b.title, b.genres, round(list_cosine_similarity(a.q, b.q), 9) AS s
+                FROM fi a JOIN fi b ON a.movieId <> b.movieId
+                WHERE list_inner_product(a.q, a.q) > 0 AND list_inner_product(b.q, b.q) > 0)) WHERE rank <= 10""",
+        "movies",
+        "users",
+        **O.fixed_factors("users"),
+    )
+)
+def fixed_similar(t: Inputs) -> DataFrame:
+    return _fixed_model(t, t.users, t.ratings).similar(t.movies, 10)
+
+
+def _fixed_route(cold: dict[str, str], cold_label: str) -> str:
+    """Lists of the tiers below five ratings by ``cold`` views, of the others by the fixed model."""
+    short = sql(f"SELECT {REC_COLUMNS}, {cold_label} AS recommendation_type FROM recs WHERE num_ratings < 5", "baskets", "movies", "bridge", "basket_users", **cold)
+    full = sql(
+        """SELECT userId, rank, movieId, title, genres, predicted_rating AS score, num_ratings, 'personalized' AS recommendation_type
+        FROM fixed_recs JOIN sized USING (userId)""",
+        "baskets",
+        "movies",
+        sized=f"SELECT userId, count(*) AS num_ratings FROM baskets GROUP BY userId HAVING count(*) >= 5",
+        **O.fixed_lists("sized", "baskets"),
+    )
+    return f"SELECT * FROM ({short}) UNION ALL SELECT * FROM ({full})"
+
+
+@query(
+    _fixed_route(
+        O.hybrid_lists("baskets", "basket_users", None, below=5),
+        "CASE WHEN num_ratings = 0 THEN 'cold_start' ELSE 'genre_based' END",
+    )
+)
+def fixed_route_service(t: Inputs) -> DataFrame:
+    model = _fixed_model(t, t.basket_users, t.baskets)
+    return route.route_service(model, t.baskets, t.movies, t.basket_users)
+
+
+@query(
+    _fixed_route(
+        O.hybrid_lists("baskets", "basket_users", 3, below=5),
+        "CASE WHEN num_ratings = 0 THEN 'cold_start_popular' ELSE 'cold_start_hybrid' END",
+    )
+)
+def fixed_route_integrated(t: Inputs) -> DataFrame:
+    model = _fixed_model(t, t.basket_users, t.baskets)
+    return route.route_integrated(model, t.baskets, t.movies, t.basket_users)
+
+
 # What is exact about the model's answers: which rows there are, and the rules that they keep.
 
 
@@ -1332,18 +1537,22 @@ def evaluation_job(t: Inputs) -> DataFrame:
     )
 
 
-@query()
-def model_comparison(t: Inputs) -> DataFrame:
-    """The predictors of ``baseline_comparison`` and the factor model on one test table."""
+def _comparison(t: Inputs, model: factor.FactorModel) -> DataFrame:
     train, test = t.split
     models = {
-        "global": predict.AveragePredictor().fit(train),
-        "item": predict.AveragePredictor("movieId").fit(train),
-        "user": predict.AveragePredictor("userId").fit(train),
-        "bias": predict.BiasPredictor().fit(train),
-        "factor": _model(t, "train"),
+        "global": predict.AveragePredictor(),
+        "item": predict.AveragePredictor("movieId"),
+        "user": predict.AveragePredictor("userId"),
+        "bias": predict.BiasPredictor(),
+        "factor": model,
     }
-    return predict.compare_predictors(models, test)
+    return predict.compare_predictors({name: m.fit(train) for name, m in models.items()}, test)
+
+
+@query()
+def model_comparison(t: Inputs) -> DataFrame:
+    """The predictors of ``baseline_comparison`` and the factor model on one test table."""
+    return _comparison(t, factor.FactorModel())
 
 
 GRID = {"item_damping": [2.0, 10.0], "user_damping": [5.0]}
@@ -1507,18 +1716,19 @@ def tier_replay(t: Inputs) -> DataFrame:
     return stream.tier_changes(valid)
 
 
-@query(
-    sql(
-        f"SELECT {REC_COLUMNS}, 'genre_based' AS recommendation_type FROM recs WHERE num_ratings > 0",
-        "baskets",
-        "movies",
-        "bridge",
-        "basket_users",
-        **O.hybrid_lists("baskets", "basket_users", None, below=5),
+def _refreshed(label: str, where: str, top: int | None) -> str:
+    views = O.hybrid_lists("baskets", "basket_users", top)
+    return sql(
+        f"SELECT {REC_COLUMNS}, '{label}' AS recommendation_type FROM recs WHERE {where}", "baskets", "movies", "bridge", "basket_users", **views
     )
+
+
+@query(
+    f"""SELECT * FROM ({_refreshed("genre_based", "num_ratings BETWEEN 1 AND 4", None)})
+    UNION ALL SELECT * FROM ({_refreshed("collaborative_filtering_ready", "num_ratings >= 5", 3)})"""
 )
 def tier_refresh_stream(t: Inputs) -> DataFrame:
-    """All order lines arrive as a stream; every touched user with a short history gets a list."""
+    """All order lines arrive as a stream; every touched user gets a list."""
     ratings, lists, state = (work_folder(t.spark, n) for n in ("ratings", "lists", "state"))
     table = coldstart.stored_popularity(t.baskets, t.movies)
     nothing = t.spark.createDataFrame([], tables.RATINGS_SCHEMA)
@@ -1529,7 +1739,33 @@ def tier_refresh_stream(t: Inputs) -> DataFrame:
     stream.refresh_lists(
         source, nothing, t.movies, ratings, lists, state, min_movie_id=0, popularity=table
     ).awaitTermination()
-    return stream.current_lists(t.spark, lists).where("recommendation_type = 'genre_based'")
+    return stream.current_lists(t.spark, lists)
+
+
+@query(
+    sql(
+        """SELECT userId, rank, movieId, title, genres, predicted_rating AS score, num_ratings, 'personalized' AS recommendation_type
+        FROM fixed_recs JOIN sized USING (userId)""",
+        "ratings",
+        "movies",
+        "valid",
+        every="SELECT userId, movieId FROM ratings UNION ALL SELECT userId, movieId FROM valid",
+        sized="""SELECT userId, count(*) AS num_ratings FROM every WHERE userId IN (SELECT userId FROM valid)
+            GROUP BY userId HAVING count(*) >= 5""",
+        **O.fixed_lists("sized", "every"),
+    )
+)
+def fixed_refresh_personalized(t: Inputs) -> DataFrame:
+    """Event submissions refresh the lists of the users they touch; those with five or more ratings get the model's."""
+    ratings, lists, state = (work_folder(t.spark, n) for n in ("ratings", "lists", "state"))
+    history = materialize(t.ratings, "ratings")
+    everyone = t.users.unionByName(t.submissions.select("userId").distinct()).distinct()
+    model = _fixed_model(t, everyone, history)
+    stream.refresh_lists(
+        tables.stream_submissions(t.spark, t.sf_dir), history, t.movies, ratings, lists, state, min_movie_id=0,
+        personalized=lambda rows, users: route.personalized_lists(model, rows, t.movies, users),
+    ).awaitTermination()
+    return stream.current_lists(t.spark, lists).where("recommendation_type = 'personalized'")
 
 
 @query()
