@@ -39,6 +39,7 @@ HEADLINE = [
     "similar_by_genre",
     "similar_by_vector",
     "factor_metrics",
+    "als_metrics",
     "factor_recommend",
     "tier_counts_stream",
 ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from functools import partial
 
 from pyspark.sql import DataFrame
 
@@ -13,6 +14,9 @@ from tastegrid.sources.session import materialize
 from tastegrid.sources.sinks import append_metrics, read_tuned
 from tastegrid.sources.tables import sample_pairs
 
+# Solver of the jobs' models.
+SOLVER = "sgd"
+
 
 def train_job(
     ratings: DataFrame,
@@ -23,12 +27,15 @@ def train_job(
     overrides: dict | None = None,
     sample_user: int = 1,
 ) -> tuple[FactorModel, dict, DataFrame]:
-    """Filter users, read parameters, fit, save model and metrics, and list five items for one user."""
+    """Filter users, read parameters, fit, save model and metrics, and list five items for one user.
+
+    The parameters have a learning rate, so the model is fitted by gradient descent.
+    """
     spark = ratings.sparkSession
     rows = sample_pairs(ratings, sample_percent) if sample_percent else ratings
     kept = materialize(prepare.filter_cold_users(rows), "train-input")
     params = {**read_tuned(spark, params_path), **(overrides or {})}
-    model = FactorModel(**params)
+    model = FactorModel(**params, solver=SOLVER)
     metrics = model.train(kept, save_path=f"{save_dir}/model")
     append_metrics(spark, {**params, **metrics}, f"{save_dir}/metrics")
     user = spark.range(sample_user, sample_user + 1).withColumnRenamed("id", "userId")
@@ -50,7 +57,7 @@ def evaluation_job(
     params = {**read_tuned(spark, params_path), **(overrides or {})}
     train, test = prepare.hash_split(kept)
     start = time.monotonic()
-    model = FactorModel(**params).fit(train)
+    model = FactorModel(**params, solver=SOLVER).fit(train)
     spent = time.monotonic() - start
     scores = model.evaluate(test).first()
     result = {
@@ -71,7 +78,7 @@ def evaluation_job(
         "performance": {"test_rmse": scores.rmse, "test_mae": scores.mae},
     }
     if folds:
-        cv = cv_summary(cross_validate(kept, params, folds)).first()
+        cv = cv_summary(cross_validate(kept, params, folds, model=partial(FactorModel, solver=SOLVER))).first()
         result["cross_validation"] = {
             "rmse": cv.rmse,
             "rmse_std": cv.rmse_std,

@@ -25,19 +25,19 @@ RATINGS_PER_BLOCK, LEAST_BLOCKS = 500_000, 8
 # A key with more ratings than this share of a block is divided into parts of that size.
 PART_SHARE = 1 / 8
 # Half-steps without divided keys whose plans are chained before their vectors are written.
-STEPS_PER_JOB = 4
+STEPS_PER_JOB = 10
 
-MESSAGE = "slot long, id long, first boolean, vec binary, gram binary, right binary, n long, targets array<long>"
-MESSAGE_ARROW = pa.schema(
-    [
-        ("slot", pa.int64()),
-        ("id", pa.int64()),
-        ("first", pa.bool_()),
-        *[(n, pa.binary()) for n in ("vec", "gram", "right")],
-        ("n", pa.int64()),
-        ("targets", pa.list_(pa.int64())),
-    ]
-)
+# A block's ratings as arrays, by key; vectors on their way to a block; and what is known of a divided key.
+BLOCK = "slot long, x binary, y binary, r binary, target binary, parted binary"
+MESSAGE = "slot long, ids binary, vecs binary, first binary, id long, gram binary, right binary, n long, targets binary"
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
+MESSAGE_ARROW = _arrow(MESSAGE)
 
 
 def block_count(ratings: int) -> int:
@@ -71,40 +71,60 @@ def solve_key(vecs: np.ndarray, values: np.ndarray, reg: float) -> np.ndarray:
     return np.linalg.solve(gram, vecs.T @ values)
 
 
-def _messages(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows)) if rows else [()] * len(MESSAGE_ARROW)
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, MESSAGE_ARROW)], schema=MESSAGE_ARROW)
+def _messages(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, MESSAGE_ARROW)
 
 
-def _half_step(key: str, other: str, width: int, reg: float, first_seed: int | None) -> Callable:
+def _packed(key: str, other: str):
+    def run(rows: pa.Table) -> pa.Table:
+        x, y, r, target, parted = (rows[c].to_numpy() for c in (key, other, "r", "target", f"{key}_parted"))
+        order = np.lexsort((r, y, x))
+        arrays = {"x": x, "y": y, "r": r, "target": target, "parted": parted}
+        row = {"slot": rows["slot"][0].as_py(), **{n: np.ascontiguousarray(a[order]).tobytes() for n, a in arrays.items()}}
+        return pa.Table.from_pylist([row], _arrow(BLOCK))
+
+    return run
+
+
+def _half_step(width: int, reg: float, first_seed: int | None) -> Callable:
     """Solves the keys of a block from the vectors of the others; with ``first_seed`` those are drawn by hashing."""
 
-    def run(rows: pa.Table, sent: pa.Table) -> pa.Table:
-        if not rows.num_rows:
+    def run(block: pa.Table, sent: pa.Table) -> pa.Table:
+        if not block.num_rows:
             return _messages([])
-        x, y, r, target, parted = (rows[c].to_numpy() for c in (key, other, "r", "target", f"{key}_parted"))
+        kinds = {"x": np.int64, "y": np.int64, "r": np.float64, "target": np.int64, "parted": np.bool_}
+        x, y, r, target, parted = (np.frombuffer(block[n][0].as_py(), t) for n, t in kinds.items())
         if first_seed is not None:
             ids = np.unique(y)
             vecs = first_vectors(ids, width, first_seed)
         else:
-            ids = sent["id"].to_numpy()
-            vecs = np.frombuffer(b"".join(sent["vec"].to_pylist()), np.float32).reshape(len(ids), width)
+            ids = np.frombuffer(b"".join(sent["ids"].to_pylist()), np.int64)
+            vecs = np.frombuffer(b"".join(sent["vecs"].to_pylist()), np.float32).reshape(len(ids), width)
             order = np.argsort(ids)
             ids, vecs = ids[order], vecs[order]
         at = np.searchsorted(ids, y)
-        order = np.lexsort((r, y, x))
-        x, r, target, parted, at = (a[order] for a in (x, r, target, parted, at))
         starts = np.flatnonzero(np.diff(x, prepend=x[0] - 1))
-        out = []
-        for lo, hi in zip(starts, np.append(starts[1:], len(x))):
-            who, mine, value = int(x[lo]), vecs[at[lo:hi]].astype(np.float64), r[lo:hi]
-            targets = np.unique(target[lo:hi]).tolist()
+        bounds = np.append(starts, len(x))
+        number = np.repeat(np.arange(len(starts)), np.diff(bounds))
+        solved, out = np.zeros((len(starts), width), np.float32), []
+        for k, (lo, hi) in enumerate(zip(starts, bounds[1:])):
+            mine, value = vecs[at[lo:hi]].astype(np.float64), r[lo:hi]
             if parted[lo]:
-                gram = (mine.T @ mine).tobytes(), (mine.T @ value).tobytes()
-                out.append((None, who, False, None, *gram, int(hi - lo), targets))
+                out.append(
+                    {
+                        "id": int(x[lo]), "gram": (mine.T @ mine).tobytes(), "right": (mine.T @ value).tobytes(),
+                        "n": int(hi - lo), "targets": np.unique(target[lo:hi]).tobytes(),
+                    }
+                )
             else:
-                vec = solve_key(mine, value, reg).astype(np.float32).tobytes()
-                out += [(t, who, i == 0, vec, None, None, None, None) for i, t in enumerate(targets)]
+                solved[k] = solve_key(mine, value, reg)
+        whole = ~parted
+        goes = np.unique(np.stack([number[whole], target[whole]]), axis=1)
+        first = np.diff(goes[0], prepend=-1) > 0
+        for slot in np.unique(goes[1]):
+            mine = goes[1] == slot
+            k = goes[0][mine]
+            out.append({"slot": int(slot), "ids": x[starts[k]].tobytes(), "vecs": solved[k].tobytes(), "first": first[mine].tobytes()})
         return _messages(out)
 
     return run
@@ -124,8 +144,9 @@ def _added_up(width: int, reg: float) -> Callable:
         right = sum(np.frombuffer(p["right"]) for p in rows)
         gram.flat[:: width + 1] += reg * sum(p["n"] for p in rows)
         vec = np.linalg.solve(gram, right).astype(np.float32).tobytes()
-        targets = sorted({t for p in rows for t in p["targets"]})
-        return _messages([(t, rows[0]["id"], i == 0, vec, None, None, None, None) for i, t in enumerate(targets)])
+        targets = np.unique(np.concatenate([np.frombuffer(p["targets"], np.int64) for p in rows])).tolist()
+        ids = np.array([rows[0]["id"]], np.int64).tobytes()
+        return _messages([{"slot": t, "ids": ids, "vecs": vec, "first": np.array([i == 0]).tobytes()} for i, t in enumerate(targets)])
 
     return run
 
@@ -154,13 +175,14 @@ def fit_als(pairs: DataFrame, width: int, epochs: int, reg: float, seed: int, bl
             label_of(F.col(f"{key}_block"), labels).alias("slot"), "u", "v", "r",
             label_of(F.col(f"{other}_block"), labels).alias("target"), f"{key}_parted",
         )
-        sides[key] = materialize(side.repartition(blocks, "slot"), f"als-{key}")
+        packed = side.repartition(blocks, "slot").groupBy("slot").applyInArrow(_packed(key, other), BLOCK)
+        sides[key] = materialize(packed, f"als-{key}")
         divided[key] = not side.where(f"{key}_parted").isEmpty()
     sent: dict[str, DataFrame] = {"u": spark.createDataFrame([], MESSAGE)}
     chained, drawn = 0, seed
     for epoch in range(epochs):
         for key, other in (("v", "u"), ("u", "v")):
-            step = _half_step(key, other, width, reg, drawn)
+            step = _half_step(width, reg, drawn)
             drawn = None
             left, right = (x.repartition(blocks, "slot").groupBy("slot") for x in (sides[key], sent[other]))
             found = left.cogroup(right).applyInArrow(step, MESSAGE)
@@ -168,8 +190,8 @@ def fit_als(pairs: DataFrame, width: int, epochs: int, reg: float, seed: int, bl
             last = epoch == epochs - 1
             if divided[key]:
                 found = materialize(found, "partial")
-                whole = found.where("vec IS NOT NULL")
-                summed = found.where("vec IS NULL").groupBy("id").applyInArrow(_added_up(width, reg), MESSAGE)
+                whole = found.where("vecs IS NOT NULL")
+                summed = found.where("vecs IS NULL").groupBy("id").applyInArrow(_added_up(width, reg), MESSAGE)
                 found = whole.unionByName(summed)
             if divided[key] or chained >= STEPS_PER_JOB or last:
                 found, chained = materialize(found, "vectors"), 0
@@ -178,13 +200,16 @@ def fit_als(pairs: DataFrame, width: int, epochs: int, reg: float, seed: int, bl
 
 
 def vectors(sent: DataFrame, width: int) -> DataFrame:
-    """(id, features) of the vectors in messages."""
+    """(id, features) of the vectors in messages; each is marked in one of them."""
     schema = pa.schema([("id", pa.int64()), ("features", pa.list_(pa.float32()))])
 
     def run(batches):
         for batch in batches:
-            flat = pa.array(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32))
-            places = np.arange(batch.num_rows + 1, dtype=np.int32) * width
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(places, flat)], schema=schema)
-
-    return sent.where("first").select("id", "vec").mapInArrow(run, "id long, features array<float>")
+            for ids, vecs, first in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                use = np.frombuffer(first, np.bool_)
+                flat = np.frombuffer(vecs, np.float32).reshape(-1, width)[use]
+                places = np.arange(len(flat) + 1, dtype=np.int32) * width
+                lists = pa.ListArray.from_arrays(places, pa.array(flat.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)[use]), lists], schema=schema)
+
+    return sent.where("vecs IS NOT NULL").select("ids", "vecs", "first").mapInArrow(run, "id long, features array<float>")

@@ -26,8 +26,8 @@ from tastegrid.functions.columns import MAX_RATING, MIN_RATING
 from tastegrid.plans.spread import hashed_bits, hashed_normals, label_of, slot_labels
 from tastegrid.sources.session import materialize
 
-# Ratings of a block when all blocks are alike, and bytes of the parameters that a task holds for one side of it.
-RATINGS_PER_BLOCK, STATE_BYTES = 100_000, 64 << 20
+# Ratings of a block when all blocks are alike (about as much work as starting a step), and bytes of the parameters that a task holds for one side of it.
+RATINGS_PER_BLOCK, STATE_BYTES = 600_000, 64 << 20
 # Steps whose plans are chained before their states are written.
 STEPS_PER_JOB = 16
 # Numbers of a portion of a level that are worked on at a time.

@@ -107,6 +107,9 @@ def fixed_vector(key: str) -> str:
     return f"[{numbers}]::DOUBLE[]"
 
 
+_NO_VECTOR = f"[{', '.join(['0.0'] * FIXED_WIDTH)}]::DOUBLE[]"
+
+
 def fixed_bias(key: str) -> str:
     return f"(({key} * 5) % 33 - 16) / 64.0"
 
@@ -114,14 +117,14 @@ def fixed_bias(key: str) -> str:
 def fixed_factors(users: str) -> dict[str, str]:
     """Views of the fixed model: an eleventh of the users and a thirteenth of the items are unknown to it."""
     return {
-        "fu": f"""SELECT userId, CASE WHEN userId % 11 <> 0 THEN {fixed_vector("userId")} END AS p,
+        "fu": f"""SELECT userId, CASE WHEN userId % 11 <> 0 THEN {fixed_vector("userId")} ELSE {_NO_VECTOR} END AS p,
             CASE WHEN userId % 11 <> 0 THEN {fixed_bias("userId")} ELSE 0 END AS bu FROM {users}""",
-        "fi": f"""SELECT movieId, title, genres, CASE WHEN movieId % 13 <> 0 THEN {fixed_vector("movieId")} END AS q,
+        "fi": f"""SELECT movieId, title, genres, CASE WHEN movieId % 13 <> 0 THEN {fixed_vector("movieId")} ELSE {_NO_VECTOR} END AS q,
             CASE WHEN movieId % 13 <> 0 THEN {fixed_bias("movieId")} ELSE 0 END AS bi FROM movies""",
     }
 
 
-FIXED_SCORE = "bi + coalesce(list_inner_product(p, q), 0)"
+FIXED_SCORE = "bi + list_inner_product(p, q)"
 
 
 def fixed_lists(users: str, rated: str, n: int = 10) -> dict[str, str]:
