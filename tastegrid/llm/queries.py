@@ -148,35 +148,49 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""
-    WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    WITH RECURSIVE split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
     numbered AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS no FROM split),
     worded AS (
-        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS pos
+        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS pos,
+            len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
         FROM numbered WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
     runs AS (
-        SELECT doc_id, pos, line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c
+        SELECT doc_id, pos, words, line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c, lead(words, 1) OVER w AS more
         FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    counted AS (
+        SELECT doc_id, pos, 3 AS size, [a, b, c] AS run FROM runs WHERE c IS NOT NULL
+        UNION ALL SELECT doc_id, pos, 2, [a, b] FROM runs WHERE b IS NOT NULL AND words + more >= 50
+        UNION ALL SELECT doc_id, pos, 1, [a] FROM runs WHERE words >= 50),
     firsts AS (
-        SELECT doc_id, pos, first_value(doc_id) OVER w AS first_doc, first_value(pos) OVER w AS first_at
-        FROM runs WHERE c IS NOT NULL WINDOW w AS (PARTITION BY a, b, c ORDER BY doc_id, pos)),
+        SELECT doc_id, pos, size, first_value(doc_id) OVER w AS first_doc, first_value(pos) OVER w AS first_at
+        FROM counted WINDOW w AS (PARTITION BY run ORDER BY doc_id, pos)),
     gone AS (
-        SELECT DISTINCT doc_id, pos + k AS pos FROM firsts, range(3) t(k) WHERE doc_id <> first_doc OR pos >= first_at + 3),
+        SELECT DISTINCT doc_id, pos + unnest(range(size)) AS pos FROM firsts WHERE doc_id <> first_doc OR pos >= first_at + size),
     counts AS (
         SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before < pos - 1) AS n_runs
         FROM (SELECT *, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM gone) GROUP BY doc_id),
     kept AS (
         SELECT n.doc_id, string_agg(n.line, chr(10) ORDER BY n.no) AS text, count(w.pos) AS n_worded
         FROM numbered n LEFT JOIN worded w USING (doc_id, no) LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.pos = w.pos
-        WHERE g.pos IS NULL GROUP BY n.doc_id)
+        WHERE g.pos IS NULL GROUP BY n.doc_id),
+    ids AS (SELECT doc_id, pos, dense_rank() OVER (ORDER BY line) AS l, count(*) OVER (PARTITION BY line) AS c FROM worded),
+    grown AS (
+        SELECT 1 AS m, doc_id, pos, l AS g FROM ids WHERE c > 1
+        UNION ALL SELECT m, doc_id, pos, g FROM (
+            SELECT x.m + 1 AS m, x.doc_id, x.pos, dense_rank() OVER (ORDER BY g, l) AS g, count(*) OVER (PARTITION BY g, l) AS n
+            FROM grown x JOIN ids y ON y.doc_id = x.doc_id AND y.pos = x.pos + x.m) WHERE n > 1),
+    longest AS (SELECT doc_id, max(m) AS longest_run FROM grown GROUP BY doc_id)
     SELECT doc_id, coalesce(n_worded, 0) + coalesce(n_removed, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
-        coalesce(n_runs, 0) AS n_runs, sha256(coalesce(kept.text, '')) AS kept_sha256
-    FROM split LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+        coalesce(n_runs, 0) AS n_runs, coalesce(longest_run, 0)::BIGINT AS longest_run, sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM split LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id) LEFT JOIN longest USING (doc_id)
     """
 )
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without later copies of runs of three lines."""
-    cleaned = lines.remove_repeated_lines(read_table(spark, sf_dir, "documents"), min_lines=3)
-    return cleaned.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+    """Every document without later copies of runs of three lines, or of fifty words in fewer."""
+    cleaned = lines.remove_repeated_lines(read_table(spark, sf_dir, "documents"), min_lines=3, min_words=50)
+    return cleaned.select(
+        "doc_id", "n_lines", "n_removed", "n_runs", "longest_run", F.sha2("text", 256).alias("kept_sha256")
+    )
 
 
 @query()

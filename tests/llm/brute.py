@@ -104,23 +104,41 @@ def repeats(rows, span=50):
     return out
 
 
-def line_runs(rows, k=3):
-    """doc_id -> (n_lines, n_removed, n_runs, kept text) with unique ids."""
-    first, out = {}, {}
+def line_runs(rows, k=3, words=50):
+    """doc_id -> (n_lines, n_removed, n_runs, longest_run, kept text) with unique ids."""
+    first, out, places = {}, {}, {}
     split = {d: (t or "").split("\n") for d, t in rows}
-    worded = {d: [i for i, x in enumerate(lines) if re.search(WORD, x)] for d, lines in split.items()}
+    worded = {d: [x for x in lines if re.search(WORD, x)] for d, lines in split.items()}
+
+    def counted(d):
+        for n in range(1, k + 1):
+            for p in range(len(worded[d]) - n + 1):
+                run = tuple(worded[d][p : p + n])
+                if n == k or sum(len(re.findall(WORD, x)) for x in run) >= words:
+                    yield p, n, run
+
     for d in sorted(split):
-        for p in range(len(worded[d]) - k + 1):
-            first.setdefault(tuple(split[d][i] for i in worded[d][p : p + k]), (d, p))
+        for p, _, run in counted(d):
+            first.setdefault(run, (d, p))
+        for p in range(len(worded[d])):
+            places.setdefault(worded[d][p], []).append((d, p))
     for d in sorted(split):
         gone = set()
-        for p in range(len(worded[d]) - k + 1):
-            at = first[tuple(split[d][i] for i in worded[d][p : p + k])]
-            if at[0] != d or p >= at[1] + k:
-                gone.update(range(p, p + k))
-        drop = {worded[d][p] for p in gone}
+        for p, n, run in counted(d):
+            at = first[run]
+            if at[0] != d or p >= at[1] + n:
+                gone.update(range(p, p + n))
+        longest = 0
+        for p, x in enumerate(worded[d]):
+            for e, q in places[x]:
+                n = 0
+                while (e, q) != (d, p) and worded[d][p + n : p + n + 1] == worded[e][q + n : q + n + 1] != []:
+                    n += 1
+                longest = max(longest, n)
+        numbers = [i for i, x in enumerate(split[d]) if re.search(WORD, x)]
+        drop = {numbers[p] for p in gone}
         kept = "\n".join(x for i, x in enumerate(split[d]) if i not in drop)
-        out[d] = (len(worded[d]), len(gone), sum(1 for p in gone if p - 1 not in gone), kept)
+        out[d] = (len(worded[d]), len(gone), sum(1 for p in gone if p - 1 not in gone), longest, kept)
     return out
 
 

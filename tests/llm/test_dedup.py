@@ -154,7 +154,7 @@ def test_components_of_chains_and_stars(spark):
 def test_line_runs_against_brute_force(make, corpus, k):
     rng = random.Random(k)
     rows = corpus + [(1000 + i, "\n".join(rng.choice("abc \n") for _ in range(rng.randint(0, 30)))) for i in range(40)]
-    found = by_id(lines.remove_repeated_lines(make(rows), min_lines=k), "n_lines", "n_removed", "n_runs", "text")
+    found = by_id(lines.remove_repeated_lines(make(rows), min_lines=k), "n_lines", "n_removed", "n_runs", "longest_run", "text")
     assert found == brute.line_runs(rows, k)
 
 
@@ -163,12 +163,42 @@ def test_line_runs_odd_rows(make, odd):
     rows = odd + [(None, block), (None, block), (20, block), (20, block), (10, "x\n" + block)]
     got = lines.remove_repeated_lines(make(rows)).collect()
     assert len(got) == len(rows)
-    assert {(r.doc_id, r.text) for r in got if r.n_removed} == {(None, ""), (20, "")}
+    long = odd[0][1]  # one line of eighty words
+    assert {(r.doc_id, r.text) for r in got if r.n_removed} == {(None, ""), (20, ""), (5, ""), (1, long)}
     assert lines.remove_repeated_lines(make([])).collect() == []
     with pytest.raises(ValueError):
         lines.remove_repeated_lines(make(odd), min_lines=0)
 
 
+@pytest.mark.parametrize("words", [1, 4, 7])
+def test_runs_count_by_words(make, words):
+    rng = random.Random(words)
+    rows = [(i, "\n".join(rng.choice(["a b c", "d", "e f g h", "i j", " ", "k"]) for _ in range(rng.randint(0, 25)))) for i in range(30)]
+    cleaned = lines.remove_repeated_lines(make(rows), min_lines=5, min_words=words)
+    assert by_id(cleaned, "n_lines", "n_removed", "n_runs", "longest_run", "text") == brute.line_runs(rows, 5, words)
+
+
+def test_ids_that_stand_for_several_lines(make, corpus, monkeypatch):
+    """Hashes of the length only: contents take part in the ids then."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lines, "_hashes", lambda line: [F.length(line).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b")])
+    rows = corpus + [(1000, "one\ntwo\nsix"), (1001, "one\ntwo\nsix\nten"), (1002, "two\none\nsix")]
+    found = by_id(lines.remove_repeated_lines(make(rows)), "n_lines", "n_removed", "n_runs", "longest_run", "text")
+    assert found == brute.line_runs(rows)
+
+
+def test_intervals_have_a_common_prefix(spark, make):
+    rows = [(1, "a\nb\nc\nd\ne\nf\ng\nh\ni\nj"), (2, "x\nb\nc\nd\ne\nf\ng\nh\ny"), (3, "b\nc\nd\nz\na\nb")]
+    levels = lines.doubled_ranks(make(rows), "doc_id", "text")
+    found = {(r.id, r.at): (r.length, r.run) for r in lines.longest_prefixes(levels).collect()}
+    assert {k: v[0] for k, v in found.items()} == {
+        (1, 0): 2, (3, 4): 2, (1, 1): 7, (2, 1): 7, (1, 2): 6, (2, 2): 6, (1, 3): 5, (2, 3): 5, (1, 4): 4, (2, 4): 4, (1, 5): 3,
+        (2, 5): 3, (1, 6): 2, (2, 6): 2, (1, 7): 1, (2, 7): 1, (3, 0): 3, (3, 1): 2, (3, 2): 1, (3, 5): 1,
+    }
+    assert found[1, 1][1] == found[2, 1][1] != found[3, 0][1]
+
+
 # ---------------------------------------------------------------- suffixes
 
 
