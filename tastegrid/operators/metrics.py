@@ -5,10 +5,10 @@ Recommendation tables have the columns userId, rank (from 1) and movieId.
 
 from __future__ import annotations
 
-from math import ceil, comb
+from math import comb
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,7 +107,7 @@ def coverage(recs: DataFrame, movies: DataFrame) -> DataFrame:
 
 # Lists up to this length are compared by their shared subsets, longer ones block by block.
 SUBSET_LIMIT = 12
-# Distinct lists per block of the block-wise comparison.
+# Distinct lists per block of the comparison of longer ones.
 LISTS_PER_BLOCK = 4096
 
 
@@ -116,7 +116,8 @@ def diversity(recs: DataFrame, users: DataFrame | None = None) -> DataFrame:
 
     Equal lists are collapsed first and counted by their number. Both ways to sum the similarities of
     different lists are exact: see :func:`_overlap_by_subsets` (lists of up to ``SUBSET_LIMIT`` items, work linear
-    in the number of lists) and :func:`_overlap_by_blocks` (longer lists, no row per pair). The longest list
+    in the number of lists) and :func:`_overlap_by_items` (longer lists, work in
+    proportion to the pairs that share an item). The longest list
     decides, one number for the driver.
 
     ``users`` adds lists of users without recommendations: two empty lists count as equal.
@@ -128,7 +129,7 @@ def diversity(recs: DataFrame, users: DataFrame | None = None) -> DataFrame:
         "distinct-lists",
     )
     longest = distinct.agg(F.max("len")).first()[0] or 0
-    overlap = _overlap_by_subsets(distinct, longest) if longest <= SUBSET_LIMIT else _overlap_by_blocks(distinct)
+    overlap = _overlap_by_subsets(distinct, longest) if longest <= SUBSET_LIMIT else _overlap_by_items(distinct)
     equal = distinct.agg(F.sum(F.col("mult") * (F.col("mult") - 1) / 2)).scalar()
     listed = distinct.agg(F.coalesce(F.sum("mult"), F.lit(0)).alias("u"))
     if users is None:
@@ -151,59 +152,88 @@ def _shared_entries(distinct: DataFrame) -> DataFrame:
     return salted_join(entries, shared, "movieId", per_item, "lists", "left_semi")
 
 
-def _overlap_by_blocks(distinct: DataFrame) -> Column:
+def _overlap_by_items(distinct: DataFrame) -> Column:
     """Sum of c / (a + b - c) over the pairs of different lists, weighted by their numbers.
 
-    Lists are hashed into blocks and each pair of blocks meets in one task, as a product of 0/1 matrices over
-    the items of the two blocks; a task returns one number. The arithmetic grows with the square of the
-    distinct lists, the rows with lists times blocks. Items that only one list has play no part in it.
+    Lists are numbered in the order of their items, so that similar ones lie in the same block of ``LISTS_PER_BLOCK``. An item
+    has a sorted list of places per block, and two blocks meet only in items that both have. A task adds up the overlaps of
+    one pair of blocks, portion by portion of the shared items, and visits the pairs that have any: an item that few
+    lists have costs a step per pair of them, many that most lists have a matrix product. It returns one number.
     """
-    lists = _shared_entries(distinct).groupBy("items", "len", "mult").agg(F.collect_set("movieId").alias("core"))
-    lists = materialize(lists.select("len", "mult", "core", F.xxhash64("items").alias("h")), "long-lists")
-    blocks = max(1, ceil(lists.count() / LISTS_PER_BLOCK))
-    own = F.pmod("h", F.lit(blocks)).cast("int")
-    placed = lists.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    placed = placed.select(
-        F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "len", "mult", "core", "h"
+    order = distinct.repartitionByRange("items").sortWithinPartitions("items")
+    # Numbers rise by one within a partition, whose own number is in their upper bits; a block is a stretch of them.
+    number = F.monotonically_increasing_id()
+    lists = materialize(order.select(number.alias("n"), "len", "mult", "items"), "long-lists")
+    inside = F.col("n").bitwiseAND((1 << 33) - 1)
+    block = (F.shiftright("n", 33) * (1 << 33) + F.floor(inside / LISTS_PER_BLOCK)).alias("block")
+    place = (inside % LISTS_PER_BLOCK).cast("int").alias("place")
+    entries = lists.select(block, place, F.explode("items").alias("movieId"))
+    per_item = row_counts(entries, "movieId", "lists")
+    shared = per_item.where(F.col("lists") > 1).select("movieId")
+    kept = salted_join(entries, shared, "movieId", per_item, "lists", "left_semi")
+    # At most a block's lists in a group.
+    places = materialize(kept.groupBy("movieId", "block").agg(F.array_sort(F.collect_list("place")).alias("places")), "item-places")
+    left = places.select("movieId", F.col("block").alias("x"), F.col("places").alias("px"))
+    right = places.select("movieId", F.col("block").alias("y"), F.col("places").alias("py"))
+    met = left.join(right, "movieId").where("x <= y").select("x", "y", "px", "py")
+    fact = F.struct(place, F.col("len").cast("int").alias("len"), F.col("mult").cast("double").alias("mult"))
+    facts = materialize(lists.groupBy(block).agg(F.array_sort(F.collect_list(fact)).alias("facts")), "list-facts")
+    pairs = met.select(F.col("x").alias("u"), F.col("y").alias("v")).distinct()
+    known = pairs.join(facts.select(F.col("block").alias("u"), F.col("facts").alias("fu")), "u").join(
+        facts.select(F.col("block").alias("v"), F.col("facts").alias("fv")), "v"
     )
-    sums = placed.groupBy("x", "y").applyInPandas(_block_overlap, "overlap double")
+    sums = met.groupBy("x", "y").cogroup(known.groupBy("u", "v")).applyInArrow(_shared_items, "overlap double")
     return sums.agg(F.sum("overlap")).scalar()
 
 
-def _block_overlap(rows: pd.DataFrame) -> pd.DataFrame:
-    """The weighted sum over one pair of blocks; ``own`` tells which block a list is from."""
-    rows = rows.sort_values("h", kind="stable")
-    first = min(rows["own"])
-    left = rows[rows["own"] == first]
-    same = rows["x"].iloc[0] == rows["y"].iloc[0]
-    right = left if same else rows[rows["own"] != first]
+# Overlaps that a task adds up at a time, and items in a matrix product.
+ADDED_AT_ONCE, ITEMS_AT_ONCE = 1 << 22, 512
+
+
+def overlap_counts(px: pa.ListArray, py: pa.ListArray, shape: tuple[int, int]) -> np.ndarray:
+    """How many items the lists of two blocks share, from the places of each item on both sides."""
+    counts = np.zeros(shape, np.float32)
+    sizes = [p.value_lengths().to_numpy() for p in (px, py)]
+    starts = [np.append(0, n.cumsum()) for n in sizes]
+    values = [p.flatten().to_numpy() for p in (px, py)]
+    product = sizes[0].astype(np.int64) * sizes[1]
+    many = product > shape[0] * shape[1] / 8  # cheaper as part of a matrix product
+    few = np.flatnonzero(~many)
+    total = product[few].cumsum()
+    lo = 0
+    while lo < len(few):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + ADDED_AT_ONCE, "right")))
+        codes = [
+            (values[0][starts[0][k] : starts[0][k + 1]].astype(np.int64)[:, None] * shape[1] + values[1][starts[1][k] : starts[1][k + 1]]).ravel()
+            for k in few[lo:hi]
+        ]
+        np.add.at(counts.reshape(-1), np.concatenate(codes), 1)
+        lo = hi
+    dense = np.flatnonzero(many)
+    for i in range(0, len(dense), ITEMS_AT_ONCE):
+        sides = []
+        for side in (0, 1):
+            flags = np.zeros((shape[side], min(ITEMS_AT_ONCE, len(dense) - i)), np.float32)
+            for j, k in enumerate(dense[i : i + ITEMS_AT_ONCE]):
+                flags[values[side][starts[side][k] : starts[side][k + 1]], j] = 1
+            sides.append(flags)
+        counts += sides[0] @ sides[1].T
+    return counts
+
+
+def _shared_items(met: pa.Table, known: pa.Table) -> pa.Table:
+    """The weighted sum over one pair of blocks; within a block a pair of lists counts once."""
+    facts = [known[c][0].as_py() for c in ("fu", "fv")]
+    (a, wa), (b, wb) = ((np.array([f["len"] for f in fs], float), np.array([f["mult"] for f in fs])) for fs in facts)
+    counts = overlap_counts(*(met[c].combine_chunks() for c in ("px", "py")), (len(a), len(b)))
+    if met["x"][0].as_py() == met["y"][0].as_py():
+        counts = np.triu(counts, 1)
     total = 0.0
-    if len(left) and len(right):
-        _, codes = np.unique(np.concatenate(rows["core"].to_list()), return_inverse=True)
-        sizes = rows["core"].map(len).to_numpy()
-        parts = np.split(codes, np.cumsum(sizes)[:-1])
-        width = codes.max() + 1
-        place = {h: i for i, h in enumerate(rows.index)}
-
-        def dense(part: pd.DataFrame) -> np.ndarray:
-            out = np.zeros((len(part), width), np.float32)
-            for r, key in enumerate(part.index):
-                out[r, parts[place[key]]] = 1
-            return out
-
-        step = max(1, (1 << 24) // width)
-        b_len, b_mult = right["len"].to_numpy(), right["mult"].to_numpy().astype(float)
-        for j in range(0, len(right), step):
-            b = dense(right.iloc[j : j + step])
-            for i in range(0, len(left), step):
-                part = left.iloc[i : i + step]
-                c = (dense(part) @ b.T).astype(float)
-                share = c / (part["len"].to_numpy()[:, None] + b_len[None, j : j + step] - c)
-                if same:
-                    rows_at, cols_at = np.arange(i, i + len(part)), np.arange(j, j + len(b))
-                    share[rows_at[:, None] >= cols_at[None, :]] = 0.0
-                total += float(part["mult"].to_numpy() @ share @ b_mult[j : j + step])
-    return pd.DataFrame({"overlap": [total]})
+    for i in range(0, len(a), 256):
+        at, to = np.nonzero(counts[i : i + 256])
+        c = counts[i : i + 256][at, to].astype(float)
+        total += float((wa[i + at] * wb[to] * c / (a[i + at] + b[to] - c)).sum())
+    return pa.table({"overlap": [total]})
 
 
 def _overlap_by_subsets(distinct: DataFrame, longest: int) -> Column:
@@ -217,18 +247,10 @@ def _overlap_by_subsets(distinct: DataFrame, longest: int) -> Column:
     work is linear in the number of distinct lists, with ``2**longest`` subsets per list at most.
     """
     max_length = max(1, longest)
-    kept = (
-        _shared_entries(distinct)
-        .groupBy("items", "len", "mult")
-        .agg(F.array_sort(F.collect_set(F.col("movieId").cast("string"))).alias("core"))
-    )
     # At most max_length different lengths; each gets its own column of counts.
     lengths = sorted(r.len for r in distinct.select("len").distinct().collect())
-    entries = distinct.select("items", "len", "mult", F.explode("items").alias("movieId"))
-    per_item = row_counts(entries, "movieId", "lists")
-    shared = per_item.where(F.col("lists") > 1).select("movieId")
     kept = (
-        salted_join(entries, shared, "movieId", per_item, "lists", "left_semi")
+        _shared_entries(distinct)
         .groupBy("items", "len", "mult")
         .agg(F.array_sort(F.collect_set(F.col("movieId").cast("string"))).alias("core"))
     )

@@ -1,6 +1,8 @@
 from itertools import combinations
 from math import log2, sqrt
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +114,18 @@ def test_long_lists_in_blocks(spark, monkeypatch, size):
     assert got == pytest.approx(brute_diversity([list(dict.fromkeys(v)) for v in lists.values()] + [[], []]), abs=1e-9)
 
 
+@pytest.mark.parametrize("portion", [1, 1 << 22])
+def test_overlaps_of_common_and_rare_items(monkeypatch, portion):
+    """Items of most lists go through a product, the others pair by pair; both add up to the plain counts."""
+    monkeypatch.setattr(metrics, "ADDED_AT_ONCE", portion)
+    monkeypatch.setattr(metrics, "ITEMS_AT_ONCE", 3)
+    rng = np.random.default_rng(2)
+    shares = np.concatenate([rng.uniform(0.5, 1, 8), rng.uniform(0, 0.1, 60)])
+    a, b = (rng.random((n, 68)) < shares for n in (30, 21))
+    places = [pa.array([np.flatnonzero(m[:, k]).astype(np.int32) for k in range(68)]) for m in (a, b)]
+    assert (metrics.overlap_counts(*places, (30, 21)) == a.astype(int) @ b.T.astype(int)).all()
+
+
 def test_newton_weights_give_jaccard():
     from math import comb
 
