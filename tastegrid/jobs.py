@@ -26,16 +26,17 @@ def train_job(
     params_path: str | None = None,
     overrides: dict | None = None,
     sample_user: int = 1,
+    solver: str = SOLVER,
 ) -> tuple[FactorModel, dict, DataFrame]:
     """Filter users, read parameters, fit, save model and metrics, and list five items for one user.
 
-    The parameters have a learning rate, so the model is fitted by gradient descent.
+    The parameters have a learning rate, so the model is fitted by gradient descent unless ``solver`` says otherwise.
     """
     spark = ratings.sparkSession
     rows = sample_pairs(ratings, sample_percent) if sample_percent else ratings
     kept = materialize(prepare.filter_cold_users(rows), "train-input")
     params = {**read_tuned(spark, params_path), **(overrides or {})}
-    model = FactorModel(**params, solver=SOLVER)
+    model = FactorModel(**params, solver=solver)
     metrics = model.train(kept, save_path=f"{save_dir}/model")
     append_metrics(spark, {**params, **metrics}, f"{save_dir}/metrics")
     user = spark.range(sample_user, sample_user + 1).withColumnRenamed("id", "userId")
@@ -49,6 +50,7 @@ def evaluation_job(
     params_path: str | None = None,
     overrides: dict | None = None,
     folds: int | None = None,
+    solver: str = SOLVER,
 ) -> dict:
     """Nested result of one full evaluation, appended at ``results_path`` when given."""
     spark = ratings.sparkSession
@@ -57,7 +59,7 @@ def evaluation_job(
     params = {**read_tuned(spark, params_path), **(overrides or {})}
     train, test = prepare.hash_split(kept)
     start = time.monotonic()
-    model = FactorModel(**params, solver=SOLVER).fit(train)
+    model = FactorModel(**params, solver=solver).fit(train)
     spent = time.monotonic() - start
     scores = model.evaluate(test).first()
     result = {
@@ -78,7 +80,7 @@ def evaluation_job(
         "performance": {"test_rmse": scores.rmse, "test_mae": scores.mae},
     }
     if folds:
-        cv = cv_summary(cross_validate(kept, params, folds, model=partial(FactorModel, solver=SOLVER))).first()
+        cv = cv_summary(cross_validate(kept, params, folds, model=partial(FactorModel, solver=solver))).first()
         result["cross_validation"] = {
             "rmse": cv.rmse,
             "rmse_std": cv.rmse_std,

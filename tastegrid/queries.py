@@ -1537,6 +1537,58 @@ def evaluation_job(t: Inputs) -> DataFrame:
     )
 
 
+_JOB = {
+    "kept": _KEPT,
+    "jtrain": f"SELECT * FROM kept WHERE {O.PAIR_HASH} % 1000 >= 200",
+    "jtest": f"SELECT * FROM kept WHERE {O.PAIR_HASH} % 1000 < 200",
+    **O.rank_one("jtrain", ONE["reg_all"], ONE["n_epochs"]),
+    "scored": O.rank_one_scores("jtest"),
+}
+
+
+@query(
+    sql(
+        f"""SELECT (SELECT count(*) FROM jtrain) AS n_train, s.*, l.* FROM (SELECT {_ONE_ERRORS} FROM scored) s CROSS JOIN (
+            SELECT rank, movieId, title, round(greatest(0.5, least(5.0, m + coalesce(bu, 0) + score)), 2) AS predicted_rating
+            FROM (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, movieId) AS INTEGER) AS rank FROM (
+                SELECT movieId, title, bu, m, round(coalesce(p * q, 0) + coalesce(bi, 0)::FLOAT::DOUBLE, 9) AS score
+                FROM movies CROSS JOIN m LEFT JOIN ib USING (movieId) LEFT JOIN qi USING (movieId)
+                LEFT JOIN ub ON ub.userId = 1 LEFT JOIN pu ON pu.userId = 1
+                WHERE movieId NOT IN (SELECT movieId FROM jtrain WHERE userId = 1))) WHERE rank <= 5) l""",
+        "ratings",
+        "per_user",
+        "movies",
+        **_JOB,
+    )
+)
+def one_factor_training_job(t: Inputs) -> DataFrame:
+    """The training job in value: errors of the metrics row beside the list of user 1 from the model that was saved."""
+    folder = work_folder(t.spark, "training")
+    jobs.train_job(materialize(t.ratings, "ratings"), t.movies, folder, overrides=ONE, solver="als")
+    stored = t.spark.read.json(f"{folder}/metrics").select("n_train", "n_test", "rmse", "mae")
+    one = t.users.where("userId = 1")
+    lists = factor.FactorModel.load(t.spark, f"{folder}/model").recommend(one, t.movies, 5)
+    return stored.crossJoin(lists.select("rank", "movieId", "title", "predicted_rating"))  # one row times five
+
+
+@query(
+    sql(
+        f"""SELECT (SELECT count(*) FROM ratings) AS total_ratings, (SELECT count(*) FROM kept) AS filtered_ratings,
+        (SELECT count(*) FROM jtrain) AS train_size, rmse AS test_rmse, mae AS test_mae, n_test AS test_size
+        FROM (SELECT {_ONE_ERRORS} FROM scored)""",
+        "ratings",
+        "per_user",
+        **_JOB,
+    )
+)
+def one_factor_evaluation_job(t: Inputs) -> DataFrame:
+    """The evaluation job in value, read back from its results table."""
+    path = work_folder(t.spark, "evaluation")
+    jobs.evaluation_job(materialize(t.ratings, "ratings"), t.movies, path, overrides=ONE, solver="als")
+    names = ["dataset.total_ratings", "dataset.filtered_ratings", "training.train_size", "training.test_size"]
+    return t.spark.read.json(path).select(*names, "performance.test_rmse", "performance.test_mae")
+
+
 def _comparison(t: Inputs, model: factor.FactorModel) -> DataFrame:
     train, test = t.split
     models = {
