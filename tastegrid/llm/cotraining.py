@@ -52,8 +52,8 @@ TEXT, META = 0, 1
 
 
 def shape(word: str) -> str:
-    """A word with letters and digits as classes, runs of a class as one: ``Thing!!`` is ``Aa!!``."""
-    plain = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:40])
+    """A whole word with letters and digits as classes, runs of a class as one: ``Thing!!`` is ``Aa!!``."""
+    plain = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return re.sub(r"([Aa0])\1+", r"\1", plain)
 
 
@@ -92,16 +92,20 @@ class TextFeatures:
         return out
 
 
-def meta_features(lang, source, size, url, title, links) -> dict[int, int]:
-    """Features of a document's metadata; whatever is null is a feature of its own."""
+def page_features(url, title, links) -> Counter:
+    """Features of one page: its address, the shapes in its title and the number of its links."""
+    host = re.sub(r"^.*?://|[/?#].*$", "", url or "").lower()
+    names = [f"host {host}", f"top {host.rpartition('.')[2]}", f"scheme {(url or '').partition(':')[0]}"]
+    names += [f"query {q}" for q in re.findall(r"[?&]([a-z_]+)=", url or "")]
+    names += [f"links {int(links or 0).bit_length()}"]
+    names += [f"title {s}" for s in {shape(w) for w in (title or "").split()}]
+    return Counter(map(bucket, names))
+
+
+def meta_features(lang, source, size, pages: dict[int, int] | None = None) -> dict[int, int]:
+    """Features of a document's metadata and of all its pages together; whatever is null is a feature of its own."""
     names = [f"lang {lang}", f"source {source}", f"size {int(size or 0).bit_length()}"]
-    if url is not None:
-        host = re.sub(r"^.*?://|[/?#].*$", "", url).lower()
-        names += [f"host {host}", f"top {host.rpartition('.')[2]}", f"scheme {url.partition(':')[0]}"]
-        names += [f"query {q}" for q in re.findall(r"[?&]([a-z_]+)=", url)]
-        names += [f"links {int(links or 0).bit_length()}"]
-        names += [f"title {s}" for s in {shape(w) for w in (title or "").split()}]
-    return dict(Counter(map(bucket, names)))
+    return dict(Counter(map(bucket, names)) + Counter(pages or {}))
 
 
 def pack(rows: list[dict[int, int]]) -> tuple[pa.Array, pa.Array]:
@@ -283,16 +287,29 @@ def cotrain_on(source: InMemory | OnSpark, rounds: int = ROUNDS):
 
 
 def _page_table(pages: DataFrame, id_type: str) -> DataFrame:
-    """(id, url, title, links): a page belongs to the document whose id ends its path; of several, the first."""
-    page = F.struct(
-        "url",
-        F.regexp_extract(F.coalesce("html", F.lit("")), r"(?s)<title>(.{0,400}?)</title>", 1).alias("title"),
-        (F.size(F.split("html", "<a ")) - 1).alias("links"),
-    )
+    """(id, pages): a page belongs to the document whose id ends its path; features of all pages of a document, added up.
+
+    Features are added up per document and bucket before they come together, so a document holds ``BUCKETS`` entries
+    at most, however many pages it has.
+    """
     number = F.regexp_extract(F.coalesce("url", F.lit("")), r"://[^?#]*/(\d+)(?:\.\w+)?/?(?:[?#]|$)", 1)
-    found = pages.select(number.try_cast(id_type).alias("id"), page.alias("page"))
-    first = found.where("id is not null").groupBy("id").agg(F.min("page").alias("page"))
-    return materialize(first.select("id", "page.*"), "pages")
+    title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?s)<title>(.*?)</title>", 1)
+    links = F.size(F.split("html", "<a ")) - 1
+    found = pages.select(number.try_cast(id_type).alias("id"), "url", title.alias("title"), links.alias("links")).where("id is not null")
+    schema = pa.schema([("id", arrow_type(found, "id")), ("bucket", pa.int32()), ("n", pa.int64())])
+
+    def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).cast(schema.field("id").type)
+            counts = [page_features(*page) for page in zip(*(column_values(batch, c) for c in ("url", "title", "links")))]
+            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(c) for c in counts]))
+            buckets, n = ([x for c in counts for x in part(c)] for part in (dict.keys, dict.values))
+            columns = [ids.take(at), pa.array(buckets, pa.int32()), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    each = found.mapInArrow(features_of, f"id {id_type}, bucket int, n long").groupBy("id", "bucket").agg(F.sum("n").alias("n"))
+    together = each.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("pages"))
+    return materialize(together, "pages")
 
 
 def _sample(ids: DataFrame, n: int, salt: int) -> DataFrame:
@@ -319,7 +336,7 @@ def _features(docs: DataFrame, labels: DataFrame, pages: DataFrame | None, id_co
     if pages is not None:
         ids = ids.join(_page_table(pages, id_type), "id", "left")
     else:
-        ids = ids.selectExpr("*", "cast(null as string) url", "cast(null as string) title", "cast(null as int) links")
+        ids = ids.selectExpr("*", "cast(null as map<int, bigint>) pages")
     facts = materialize(ids.join(known, "id", "left").withColumn("y", F.coalesce("y", F.lit(-1))), "facts")
     rows = docs.select(
         F.col(id_col).alias("id"),
@@ -339,7 +356,8 @@ def _features(docs: DataFrame, labels: DataFrame, pages: DataFrame | None, id_co
 
     def count_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [column_values(batch, c) for c in ("lang", "source", "size", "url", "title", "links")]
+            columns = [column_values(batch, c) for c in ("lang", "source", "size")]
+            columns.append([dict(p or ()) for p in column_values(batch, "pages")])  # maps come as lists of pairs
             kept = [batch.column(batch.schema.get_field_index(c)) for c in ("id", "y", "n", "words", "word_counts")]
             kept[0] = kept[0].cast(id_arrow)
             names = pack([meta_features(*r) for r in zip(*columns)])
