@@ -377,3 +377,23 @@ def test_classifier_odd_rows(spark, make, odd):
     none = labels.where("false")
     assert {round(r.score, 6) for r in cotraining.quality_scores(docs, none).collect()} == {0.5}
     assert cotraining.quality_scores(make([]), labels).collect() == []
+
+
+def test_all_pages_whole_titles_and_whole_words_count(spark):
+    """Features of each page add up; neither a title nor a word is cut."""
+    title = " ".join(f"Word{i}" for i in range(300)) + " " + "a1" * 50
+    rows = [
+        ("http://a.org/x/5", f"<title>{title}</title><a href=1><a href=2>"),
+        ("https://b.com/5.html?q=1", "<title>\nOther</title>"),
+        ("http://b.com/6", None),
+        ("http://b.com/no-number", "<title>x</title>"),
+        (None, "<title>x</title>"),
+    ]
+    df = spark.createDataFrame(rows, "url string, html string")
+    got = {r.id: dict(r.pages) for r in cotraining._page_table(df, "bigint").collect()}
+    first = cotraining.page_features("http://a.org/x/5", title, 2)
+    second = cotraining.page_features("https://b.com/5.html?q=1", "\nOther", 0)
+    assert got == {5: dict(first + second), 6: dict(cotraining.page_features("http://b.com/6", "", None))}
+    assert cotraining.shape("a1" * 50) == "a0" * 50
+    features = cotraining.meta_features("en", None, 7, got[5])
+    assert sum(features.values()) == 3 + sum(got[5].values())
