@@ -45,8 +45,9 @@ LEAST_ODDS = float(np.log(CERTAIN / (1 - CERTAIN)))
 MOST_ODDS = 30.0
 # Shares are added up as multiples of this part, so that sums don't depend on their order.
 PARTS = 1 << 32
-# Features of documents that are held at a time.
+# Features of documents that are held at a time, and documents or pages whose features are counted at a time.
 ENTRIES = 1 << 20
+ROWS_AT_ONCE = 256
 TOKENS_KEPT = 200_000
 TEXT, META = 0, 1
 
@@ -57,6 +58,13 @@ def shape(word: str) -> str:
     return re.sub(r"([Aa0])\1+", r"\1", plain)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``ROWS_AT_ONCE`` rows, so that few counts are held as Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(i, ROWS_AT_ONCE)
+
+
 def bucket(feature: str) -> int:
     return zlib.crc32(feature.encode()) % BUCKETS
 
@@ -299,7 +307,7 @@ def _page_table(pages: DataFrame, id_type: str) -> DataFrame:
     schema = pa.schema([("id", arrow_type(found, "id")), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column(0).cast(schema.field("id").type)
             counts = [page_features(*page) for page in zip(*(column_values(batch, c) for c in ("url", "title", "links")))]
             at = pa.array(np.repeat(np.arange(batch.num_rows), [len(c) for c in counts]))
@@ -348,14 +356,14 @@ def _features(docs: DataFrame, labels: DataFrame, pages: DataFrame | None, id_co
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = TextFeatures()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = column_values(batch, "text")
             sizes = pa.array([len(t) for t in texts], pa.int64())
             columns = [batch.column(0).cast(id_arrow), batch.column(1), batch.column(2), sizes, *pack([count(t) for t in texts])]
             yield pa.RecordBatch.from_arrays(columns, ["id", "lang", "source", "size", "words", "word_counts"])
 
     def count_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             columns = [column_values(batch, c) for c in ("lang", "source", "size")]
             columns.append([dict(p or ()) for p in column_values(batch, "pages")])  # maps come as lists of pairs
             kept = [batch.column(batch.schema.get_field_index(c)) for c in ("id", "y", "n", "words", "word_counts")]
