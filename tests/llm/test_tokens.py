@@ -1,5 +1,6 @@
 """Periodic runs, byte-level tokens and alignment against brute force and the libraries."""
 
+import os
 import random
 
 import brute
@@ -223,3 +224,19 @@ def test_alignment_digest_and_empty_tables(make, sides):
     assert alignment.align(make([]), *FILES).collect() == []
     only_empty = alignment.align(make([(1, ""), (2, None)]), *FILES).collect()
     assert sorted(tuple(r)[1:] for r in only_empty) == [(0, 0, 0, 0, "", 0, 0)] * 2
+
+
+SMALL = os.environ.get("TASTEGRID_TESTDATA", "/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the small test tables")
+def test_token_queries(spark, tiktoken, sides):
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    want = set()
+    for d, t in docs:
+        ids = tiktoken.encode_ordinary(t)
+        want.add((d, len(ids), brute.sha(" ".join(map(str, ids))), brute.sha(t)))
+    assert {tuple(r) for r in queries.op12_byte_bpe(spark, SMALL).collect()} == want
+    aligned = brute.alignments([t for _, t in docs], *sides)
+    want = {(d, *a[:4], *a[5:], brute.sha(a[4]) if a[4] else "") for (d, _), a in zip(docs, aligned)}
+    assert {tuple(r) for r in queries.op13_token_alignment(spark, SMALL).collect()} == want
