@@ -139,8 +139,12 @@ def longest_prefixes(levels: list[DataFrame]) -> DataFrame:
         behind = known.where(F.col("next").isNull()).select(*PLACE, "length", "run", "guide")
         stay = numbers.select(*[F.col(f"one.{c}") for c in PLACE], "length", "run", F.lit(True).alias("guide"))
         seeking = behind.where(~F.col("guide"))
-        guides = behind.where("guide").unionByName(stay).join(seeking.select("run").distinct(), "run", "left_semi")
-        state = materialize(ahead.unionByName(seeking).unionByName(guides.select(*ahead.columns)), "prefixes")
+        # Guides of the outermost interval stay; those of others meet a written table, so that a hot interval is split.
+        waiting = materialize(seeking.where("run <> 0").select("run").distinct(), "waiting")
+        guides = behind.where("guide").unionByName(stay)
+        inner = guides.where("run <> 0").join(waiting, "run", "left_semi").select(*ahead.columns)
+        state = ahead.unionByName(seeking).unionByName(guides.where("run = 0")).unionByName(inner)
+        state = materialize(state, "prefixes")
     return state.where(~F.col("guide")).drop("guide")
 
 
