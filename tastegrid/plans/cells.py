@@ -24,6 +24,8 @@ from tastegrid.sources.session import materialize, scratch_tables
 
 # Pivots at most, and vectors among which they are chosen per pivot: both bound what the driver and a task hold.
 MOST_PIVOTS, DRAWN_PER_PIVOT = 1024, 4
+# Fewer vectors than this are not worth a cell of their own on average: a row that looks into many small cells travels more.
+LEAST_CELL = 2048
 # Vectors of a cell, and rows that look into it, in one task.
 CELL_ROWS, QUERY_ROWS = 16_384, 8_192
 # Room for the rounding of angles.
@@ -86,7 +88,7 @@ def cosine_top_n(left: DataFrame, right: DataFrame, n: int, decimals: int = 9, c
     """(left_id, right_id, score, rank): the ``n`` other right rows of the highest cosine per left row, lower id first.
 
     Both sides have ``id`` (bigint) and ``vec`` (array, not all zeros); left rows are right rows as well. The number of
-    pivots is the square root of that of the distinct vectors, ``MOST_PIVOTS`` at most; they and the cells' radii go to
+    pivots is the square root of that of the distinct vectors, with ``LEAST_CELL`` vectors to each and ``MOST_PIVOTS`` at most; they and the cells' radii go to
     all tasks. Larger cells are cut by hashing. The result is exact for any pivots; how much they save depends on how
     the vectors cluster. ``counter`` is an accumulator for the pairs compared.
     """
@@ -100,7 +102,7 @@ def cosine_top_n(left: DataFrame, right: DataFrame, n: int, decimals: int = 9, c
         named = materialize(salted_join(rows, classes, "vec", counts, "__rows", "inner").select("id", "class"), "named")
         asked = materialize(named.join(sides[0].select("id").distinct(), "id", "left_semi"), "asked")
         total = classes.count()
-        wanted = cells or min(MOST_PIVOTS, ceil(sqrt(total)))
+        wanted = cells or min(MOST_PIVOTS, ceil(sqrt(total)), ceil(total / LEAST_CELL))
         drawn = classes.orderBy(F.xxhash64("class"), "class").limit(DRAWN_PER_PIVOT * wanted).toPandas()
         if drawn.empty:
             return spark.createDataFrame([], f"{BEST}, rank int")

@@ -101,8 +101,8 @@ def test_neighbours_of_copies_ties_and_opposites(spark, few, monkeypatch):
     grid = grid[np.abs(grid).sum(axis=1) > 0]
     vectors = np.concatenate([np.tile([1, 2, 3], (40, 1)), grid, 2 * grid[:10], -grid[:10]]).astype(np.float32)
     vectors = vectors[rng.permutation(len(vectors))]
-    for n in (1, 6, 500):
-        equal(lists(similar_by_vector(frame(spark, vectors), n, "id", "vec"), "id"), nearest(vectors, n))
+    for n, parts in ((1, 9), (6, 5), (500, None)):
+        equal(lists(similar_by_vector(frame(spark, vectors), n, "id", "vec", cells=parts), "id"), nearest(vectors, n))
     some = frame(spark, vectors[:5])
     got = lists(similar_by_vector(frame(spark, vectors), 6, "id", "vec", some), "id")
     equal(got, {k: v for k, v in nearest(vectors, 6).items() if k < 5})
