@@ -188,3 +188,36 @@ def test_labels_fill_all_partitions(spark):
     labels = slot_labels(spark, 13)
     rows = spark.createDataFrame([(x,) for x in labels], "slot long").repartition(13, "slot")
     assert sorted(r.n for r in rows.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()) == [1] * 13
+
+
+def test_states_travel_about_twice_per_epoch():
+    for blocks in (1, 2, 3, 4, 5, 8, 21, 48):
+        for epochs in (1, 2, 20, 30):
+            each = sgd.visits(epochs, blocks)
+            assert sum(each) == epochs and min(each) > 0
+            assert len(each) * blocks <= max(3 * epochs, 2 * epochs + 2 * blocks)
+
+
+def test_blocks_of_many_models_hold_more_ratings():
+    assert sgd.block_count(3_600_000, 120_000, 150, models=135) == 1
+    assert sgd.block_count(3_600_000, 120_000, 150) == 2
+
+
+def test_eight_blocks_learn_as_well(planted):
+    train, test = prepare.hash_split(planted)
+    params = {"n_factors": 6, "n_epochs": 12, "lr_all": 0.02, "reg_all": 0.05, "solver": "sgd"}
+    one, eight = (FactorModel(**params, blocks=b).fit(train).evaluate(test).first().rmse for b in (1, 8))
+    assert eight == pytest.approx(one, rel=0.02)
+
+
+def test_grid_of_one_block_writes_no_states(planted, monkeypatch):
+    grid = {"n_factors": [2, 3], "n_epochs": [2, 3], "lr_all": [0.01], "reg_all": [0.02]}
+    by_steps = tuning.descent_search(planted, grid, folds=2, survivors=1.0).collect()
+    written = []
+    plain = sgd.materialize
+    monkeypatch.setattr(sgd, "materialize", lambda df, name, **k: written.append(name) or plain(df, name, **k))
+    at_once = {(r.config, r.fold): r for r in tuning.descent_search(planted, grid, folds=2).collect()}
+    assert "states" not in written and len(at_once) == len(by_steps) == 8
+    for r in by_steps:
+        assert (at_once[r.config, r.fold].rmse, at_once[r.config, r.fold].mae) == pytest.approx((r.rmse, r.mae), rel=1e-6)
+        assert at_once[r.config, r.fold].n_test == r.n_test
