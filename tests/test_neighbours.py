@@ -116,3 +116,30 @@ def test_zero_vectors_and_empty_tables(spark):
     assert block_top_n(rows.where("id < 0"), rows, 3).count() == 0
     assert block_top_n(rows, rows.where("id < 0"), 3).count() == 0
     assert block_top_n(rows, rows, 2).where(F.col("left_id") == 1).count() == 2
+
+
+@pytest.mark.parametrize("kinds", [None, 60])
+def test_leaves_give_the_lists_of_all_products(kinds):
+    """Vectors on a coarse lattice, with many copies or none, and rows that leave out much."""
+    rng = np.random.default_rng(4)
+    b = np.round(rng.uniform(-1, 1, (20_000, 3)), 2)
+    b = b if kinds is None else b[rng.integers(0, kinds, len(b))]
+    a, ids = np.round(rng.uniform(-1, 1, (300, 3)), 2), rng.permutation(len(b)).astype(np.int64)
+    gone = np.unique(np.stack([rng.integers(0, 300, 9000), rng.integers(0, len(b), 9000)]), axis=1)
+    gone = np.concatenate([gone, np.stack([np.zeros(700, int), np.argsort(-(b @ a[0]))[:700]])], axis=1)
+    gone = np.unique(gone, axis=1)
+
+    def ordered(order):
+        place = np.argsort(order)
+        by = np.argsort(place[gone[1]], kind="stable")
+        return b[order], ids[order], (gone[0][by], place[gone[1]][by])
+
+    falling, close = np.lexsort((ids, -np.linalg.norm(b, axis=1))), blocks.leaf_order(b)
+    x, y, out = ordered(falling)
+    plain, all_taken = best_products(a, x, y, 10, 9, gone=out)
+    x, y, out = ordered(close)
+    leaves = blocks.Leaves(x)
+    found, taken = blocks.best_in_leaves(a, x, y, leaves, 10, 9, gone=out)
+    assert leaves.tight and (found.ids == plain.ids).all() and (found.scores == plain.scores).all()
+    if kinds:
+        assert taken < all_taken / 2
