@@ -193,3 +193,29 @@ def test_similar_by_genre_equals_brute_force(spark, world):
     assert {r.movieId for r in one} == {7} and len(one) == 6
     everything = similar.similar_by_genre(mdf, 500).groupBy("movieId").count().collect()
     assert all(r["count"] == len(sets) - 1 for r in everything)
+
+
+def test_popular_lists_read_the_leading_items_only(world, monkeypatch):
+    """What is stored of the histories are the rated items that a list can reach; lists are those of a plain search."""
+    rows, _, ratings, movies = world
+    table = coldstart.stored_popularity(ratings, movies)
+    stored, plain = {}, coldstart.materialize
+
+    def noted(df, name, **k):
+        stored[name] = plain(df, name, **k)
+        return stored[name]
+
+    monkeypatch.setattr(coldstart, "materialize", noted)
+    some = ratings.where("userId <> 40")
+    users = some.select("userId").distinct()
+    found = {}
+    for r in coldstart.popular_for_users(some, table, users, 3).orderBy("userId", "rank").collect():
+        found.setdefault(r.userId, []).append(r.movieId)
+    order = [r.movieId for r in table.orderBy(F.desc("popularity_score"), "movieId").collect()]
+    rated = {}
+    for u, i, *_ in rows:
+        rated.setdefault(u, set()).add(i)
+    del rated[40]
+    assert found == {u: [i for i in order if i not in rated[u]][:3] for u in rated}
+    kept, reach = stored["rated-leading"].collect(), set(order[: 3 + max(map(len, rated.values()))])
+    assert {r.movieId for r in kept} <= reach and len(kept) < sum(map(len, rated.values()))
