@@ -1,5 +1,7 @@
 """The two solvers of the factor model against plain numpy versions."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -145,6 +147,42 @@ def test_least_squares_equal_plain_solves(spark, share, monkeypatch):
         assert all(np.allclose(have[k], plain[k], atol=1e-6) for k in plain)
 
 
+@pytest.mark.parametrize("share", [1 / 8, 10.0])
+def test_one_factor_equals_plain_solves(spark, share, monkeypatch):
+    """Systems of one number, summed and solved together."""
+    monkeypatch.setattr(als, "PART_SHARE", share)
+    rng = np.random.default_rng(6)
+    rows = [(u, 99, float(rng.normal())) for u in range(60)]
+    rows += [(u, int(i), float(rng.normal())) for u in range(60) for i in rng.choice(12, 2, replace=False)]
+    found = als.fit_als(spark.createDataFrame(rows, "userId long, movieId long, rest double"), 1, 3, 0.1, 42)
+    for mine, plain in zip(found, plain_als(rows, 1, 3, 0.1, 42)):
+        have = {r.id: np.array(r.features) for r in mine.collect()}
+        assert have.keys() == plain.keys()
+        assert all(np.allclose(have[k], plain[k], atol=1e-6) for k in plain)
+
+
+def test_a_solved_vector_is_written_once_per_half_step(spark, monkeypatch):
+    """However many blocks rate its key; and a half-step that nothing reads any more is gone."""
+    rng = np.random.default_rng(4)
+    rows = [(u, int(i), float(rng.normal())) for u in range(80) for i in rng.choice(50, 12, replace=False)]
+    pairs = spark.createDataFrame(rows, "userId long, movieId long, rest double")
+    monkeypatch.setattr(als, "PART_SHARE", 10.0)
+    tables, plain = [], als.materialize
+
+    def watched(df, name, **k):
+        table = plain(df, name, **k)
+        if name == "vectors":
+            tables.append((table, [np.frombuffer(r.vecs, np.float32).size for r in table.collect()]))
+        return table
+
+    monkeypatch.setattr(als, "materialize", watched)
+    found = als.fit_als(pairs, 5, 3, 0.1, 42, blocks=8)
+    assert [sum(sizes) for _, sizes in tables] == [50 * 5, 80 * 5] * 3
+    folders = [file.removeprefix("file://") for table, _ in tables for file in table.inputFiles()[:1]]
+    assert [os.path.exists(f) for f in folders] == [False] * 4 + [True] * 2
+    assert [t.count() for t in found] == [80, 50]
+
+
 def test_small_and_large_systems_agree():
     rng = np.random.default_rng(1)
     for n in (1, 3, 6, 7, 40):
