@@ -31,6 +31,8 @@ def similar_by_genre(movies: DataFrame, n: int = 10, targets: DataFrame | None =
     keyed = with_classes(movies.select("movieId", "genres")).select(
         "movieId", F.coalesce("class_key", F.lit([]).cast("array<string>")).alias("class_key")
     )
+    # A catalogue may be one small file: the rows are dealt, so that no task sorts all of them.
+    keyed = materialize(keyed.repartition("movieId"), "item-classes")
     wanted = keyed if targets is None else keyed.join(targets.select("movieId"), "movieId", "left_semi")
     class_keys = numbered_sets(keyed, "class_key", "class_id")
     short = materialize(
@@ -63,14 +65,34 @@ def similar_by_genre(movies: DataFrame, n: int = 10, targets: DataFrame | None =
         .join(class_keys, F.col("set_id") == class_keys.class_id)
         .select("class_key", "list_rank", F.col("movieId").alias("similarId"), "similarity")
     )
-    rows = salted_join(wanted, lists, "class_key", row_counts(keyed, "class_key"), "__rows", "inner")
-    best = top_n_per_key(rows.where(F.col("movieId") != F.col("similarId")), "movieId", [F.asc("list_rank")], n)
+    lists = materialize(lists, "class-lists")
+    best = _without_self(wanted, lists, row_counts(keyed, "class_key"), n)
     if "title" not in movies.columns:
         return best.select("movieId", "rank", "similarId", "similarity")
     text = movies.select(F.col("movieId").alias("similarId"), "title", "genres")
     return best.join(text, "similarId", "left").select("movieId", "rank", "similarId", "similarity", "title", "genres")
 
 
+def _without_self(wanted: DataFrame, lists: DataFrame, weights: DataFrame, n: int) -> DataFrame:
+    """(movieId, rank, similarId, similarity): the first ``n`` of the item's class list, without the item.
+
+    A list is one row for its class, and an item takes its part of it, so no row per item and place is sorted. Ids
+    that come more than once rank the lists of all their rows together.
+    """
+    entry = F.struct("list_rank", "similarId", "similarity")
+    arrays = lists.groupBy("class_key").agg(F.sort_array(F.collect_list(entry)).alias("list"))
+    copies = wanted.groupBy("movieId").agg(F.count(F.lit(1)).alias("copies"))
+    again = materialize(copies.where(F.col("copies") > 1).select("movieId"), "repeated-items")
+    taken = salted_join(wanted.join(again, "movieId", "left_anti"), arrays, "class_key", weights, "__rows", "inner")
+    others = F.slice(F.filter("list", lambda x: x["similarId"] != F.col("movieId")), 1, n)
+    single = taken.select("movieId", F.posexplode(others).alias("place", "entry")).select(
+        "movieId", (F.col("place") + 1).alias("rank"), "entry.similarId", "entry.similarity"
+    )
+    rows = salted_join(wanted.join(again, "movieId", "left_semi"), lists, "class_key", weights, "__rows", "inner")
+    ranked = top_n_per_key(rows.where(F.col("movieId") != F.col("similarId")), "movieId", [F.asc("list_rank")], n)
+    return single.unionByName(ranked.select("movieId", "rank", "similarId", "similarity"))
+
+
 def similar_by_vector(
     vectors: DataFrame,
     n: int = 10,

@@ -195,6 +195,23 @@ def test_similar_by_genre_equals_brute_force(spark, world):
     assert all(r["count"] == len(sets) - 1 for r in everything)
 
 
+def test_similar_lists_are_taken_without_sorting_items(spark):
+    """The item's part of its class list; ids that come twice rank the lists of both rows together."""
+    rows = [(i, "a|b" if i % 2 else "a") for i in range(1, 9)] + [(3, "a")]
+    movies = spark.createDataFrame(rows, "movieId long, genres string")
+    found = {}
+    for r in similar.similar_by_genre(movies, 3).orderBy("movieId", "rank").collect():
+        found.setdefault(r.movieId, []).append((r.rank, r.similarId, round(r.similarity, 3)))
+    assert found[1] == [(1, 3, 1.0), (2, 5, 1.0), (3, 7, 1.0)]
+    assert found[4] == [(1, 2, 1.0), (2, 3, 1.0), (3, 6, 1.0)]
+    assert [r[0] for r in found[3]] == [1, 2, 3] and {r[1] for r in found[3]} <= {1, 2, 4, 5} and len(found) == 8
+    sized = spark.createDataFrame([(i, f"g{i % 5}") for i in range(4000)], "movieId long, genres string")
+    plan = similar.similar_by_genre(sized, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" in plan and "item-classes" in plan
+    assert similar.similar_by_genre(sized, 3).count() == 12_000
+
+
+
 def test_popular_lists_read_the_leading_items_only(world, monkeypatch):
     """What is stored of the histories are the rated items that a list can reach; lists are those of a plain search."""
     rows, _, ratings, movies = world
