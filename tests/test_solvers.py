@@ -259,3 +259,38 @@ def test_grid_of_one_block_writes_no_states(planted, monkeypatch):
     for r in by_steps:
         assert (at_once[r.config, r.fold].rmse, at_once[r.config, r.fold].mae) == pytest.approx((r.rmse, r.mae), rel=1e-6)
         assert at_once[r.config, r.fold].n_test == r.n_test
+
+
+def test_a_step_shuffles_nothing_and_leaves_one_set_of_states(planted, monkeypatch):
+    """Tasks read states and ratings from their folders; states that nothing reads any more are gone."""
+    tables, plain = [], sgd.materialize
+
+    def watched(df, name, **k):
+        if name == "states":
+            tables.append([df._jdf.queryExecution().executedPlan().toString(), None])
+        table = plain(df, name, **k)
+        if name == "states":
+            tables[-1][1] = table.inputFiles()
+        return table
+
+    monkeypatch.setattr(sgd, "materialize", watched)
+    work = sgd.Descent(planted, [sgd.Fit(3)], blocks=3)
+    work.run(20)
+    assert len(tables) == 1 + 4 * 3 and work.epoch == 20  # four visits of five epochs
+    assert all("Exchange" not in plan for plan, _ in tables[1:])
+    assert [len(files) for _, files in tables] == [6] * 13
+    left = [{os.path.exists(f.removeprefix("file://")) for f in files} for _, files in tables]
+    assert left == [{False}] * 12 + [{True}]
+
+
+def test_long_visits_at_a_low_rate_only():
+    assert sgd.visits(20, 4, 0.005) == sgd.visits(20, 2, 0.005) == [5] * 4
+    assert sgd.visits(20, 4, 0.02) == sgd.visits(20, 4) == [2] * 10
+    assert sgd.visits(3, 2, 0.0001) == [1] * 3 and sgd.visits(2, 3, 0.0) == [1] * 2
+
+
+def test_long_visits_learn_as_well(planted):
+    train, test = prepare.hash_split(planted)
+    params = {"n_factors": 20, "n_epochs": 20, "solver": "sgd"}
+    one, four = (FactorModel(**params, blocks=b).fit(train).evaluate(test).first().rmse for b in (1, 4))
+    assert four == pytest.approx(one, rel=0.01)
