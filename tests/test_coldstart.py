@@ -236,3 +236,23 @@ def test_popular_lists_read_the_leading_items_only(world, monkeypatch):
     assert found == {u: [i for i in order if i not in rated[u]][:3] for u in rated}
     kept, reach = stored["rated-leading"].collect(), set(order[: 3 + max(map(len, rated.values()))])
     assert {r.movieId for r in kept} <= reach and len(kept) < sum(map(len, rated.values()))
+
+
+@pytest.mark.parametrize("steps", [(64, 1024), (2, 4)])
+def test_list_rows_carry_no_genre_sets(spark, world, monkeypatch, steps):
+    """Users meet lists by the number of their set; the genres of a set travel once per set and user, not per list row."""
+    rows, movies, ratings, items = world
+    monkeypatch.setattr(coldstart, "DEPTH_STEPS", steps)
+    met, plain = [], coldstart.salted_join
+
+    def watched(facts, lookup, *a, **k):
+        met.append({t for side in (facts, lookup) for _, t in side.dtypes})
+        return plain(facts, lookup, *a, **k)
+
+    monkeypatch.setattr(coldstart, "salted_join", watched)
+    table = coldstart.stored_popularity(ratings, items)
+    prefs = coldstart.preference_sets(ratings, items, top=None).withColumnRenamed("set_key", "genres")
+    got = as_lists(coldstart.genre_based(prefs, table, 5, exclude=ratings))
+    assert met and not any(t.startswith("array") for types in met for t in types)
+    liked = {r.userId for r in prefs.collect()}
+    assert liked and all(got.get(u, []) == brute_hybrid(rows, movies, u, 5, None) for u in liked)
