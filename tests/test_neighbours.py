@@ -66,6 +66,36 @@ def test_floors_keep_all_ties():
     assert found.ids.tolist() == [[0, 1, 2, 3]] * 3
 
 
+def test_lists_go_on_over_blocks_and_close_scores():
+    """Scores that single precision cannot tell apart, in blocks one after the other."""
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(40, 30)).astype(np.float32).astype(float)
+    b = np.repeat(rng.normal(size=(20, 30)), 200, axis=0) * (1 + 1e-8 * rng.integers(-3, 4, (4000, 1)))
+    b, ids = b[np.argsort(-np.linalg.norm(b, axis=1))], rng.permutation(4000)
+    scores, lists = np.round(a @ b.T, 9), blocks.Lists(40, 10)
+    for lo in range(0, 4000, 1100):
+        best_products(a, b[lo : lo + 1100], ids[lo : lo + 1100], 10, 9, lists=lists)
+    for i in range(40):
+        order = sorted(range(4000), key=lambda j: (-scores[i, j], ids[j]))[:10]
+        assert lists.ids[i].tolist() == ids[order].tolist()
+
+
+def test_right_rows_are_written_once_and_not_sent(spark, monkeypatch):
+    """Tasks read the blocks from their folders, so the right side is not copied for every part of the left one."""
+    tables, plain = {}, blocks.materialize
+
+    def watched(df, name, **k):
+        tables[name] = df
+        return plain(df, name, **k)
+
+    monkeypatch.setattr(blocks, "materialize", watched)
+    rng = np.random.default_rng(7)
+    rows = frame(spark, rng.normal(size=(90, 4)))
+    assert block_top_n(rows, rows.where("id < 50"), 3, rows_per_block=20).count() == 270
+    plan = tables["best-products"]._jdf.queryExecution().executedPlan().toString()
+    assert "right" not in "".join(tables["best-products"].inputFiles()) and plan.count("explode") == 2
+
+
 @pytest.mark.parametrize("size", [40, 300])
 def test_blocks_of_many_lengths_and_equal_lengths(spark, size, monkeypatch):
     monkeypatch.setattr(blocks, "TILE_ROWS", 16)
