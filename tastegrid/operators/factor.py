@@ -4,25 +4,76 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
+from math import ceil
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tastegrid.functions import clip_rating, dot
 from tastegrid.operators.als import fit_als
 from tastegrid.operators.metrics import error_metrics
 from tastegrid.operators.predict import NOT_TRAINED, BiasPredictor, global_mean
 from tastegrid.operators.prepare import hash_split
-from tastegrid.operators.sgd import Descent, Fit
+from tastegrid.operators.sgd import Descent, Fit, block_of
 from tastegrid.operators.similar import similar_by_vector
 from tastegrid.plans.blocks import block_top_n
-from tastegrid.sources.session import materialize, scratch_tables
+from tastegrid.plans.spread import label_of, slot_labels
+from tastegrid.sources.session import files_by_folder, materialize, read_files, scratch_tables
 
 # Fixed default parameters of the model.
 SOLVERS = ("als", "sgd")
 DEFAULTS = {"n_factors": 100, "n_epochs": 20, "lr_all": 0.005, "reg_all": 0.02, "random_state": 42}
 
 
+def _block(files: list[str], key: str, bias: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rising ids, offsets and factors of a block of a written factor table."""
+    if not files:
+        return np.empty(0, np.int64), np.empty(0), np.empty((0, width), np.float32)
+    rows = read_files(files, [key, bias, "features"]).combine_chunks()
+    ids, vecs = rows[key].to_numpy(), rows["features"].combine_chunks().flatten().to_numpy().reshape(-1, width)
+    order = slice(None) if (np.diff(ids) > 0).all() else np.argsort(ids)
+    return ids[order], rows[bias].to_numpy()[order], vecs[order]
+
+
+def _parts(users: dict, items: dict, blocks: int, salts: int, width: int, names: list[str]) -> Callable:
+    """Item offset, user offset and product after the columns of pairs, which come by their blocks; their last three: user, item, slot."""
+
+    def run(batches):
+        held, sides = None, None
+        for batch in batches:
+            slots = batch.column(batch.num_columns - 1).to_numpy()
+            starts = np.flatnonzero(np.diff(slots, prepend=-1))
+            for lo, hi in zip(starts, np.append(starts[1:], len(slots))):
+                place = int(slots[lo]) // salts
+                if place != held:
+                    held, sides = place, None  # the blocks before may go
+                    kinds = (users, "userId", "user_bias"), (items, "movieId", "item_bias")
+                    sides = [_block(files.get((k,), []), *keys, width) for k, (files, *keys) in zip(divmod(place, blocks), kinds)]
+                rows, at, known = batch.slice(lo, hi - lo), [], []
+                for (ids, _, _), column in zip(sides, rows.columns[-3:-1]):
+                    values = pc.fill_null(column, 0).to_numpy()
+                    near = np.minimum(np.searchsorted(ids, values), max(0, len(ids) - 1))
+                    mine = column.is_valid().to_numpy(zero_copy_only=False)
+                    mine = mine & (ids[near] == values) if len(ids) else np.zeros(len(values), bool)
+                    at.append(near)
+                    known.append(mine)
+                offsets = [np.zeros(len(mine)) for mine in known]
+                for out, mine, place_at, (_, bias, _) in zip(offsets, known, at, sides):
+                    out[mine] = bias[place_at[mine]]
+                products, both = np.zeros(len(rows)), known[0] & known[1]
+                p, q = (vecs[place_at[both]].astype(np.float64) for (_, _, vecs), place_at in zip(sides, at))
+                products[both] = np.einsum("lk,lk->l", p, q)
+                new = [pa.array(x) for x in (offsets[1], offsets[0], products)]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-3], *new], names=names)
+
+    return run
+
+
 class FactorModel:
     """mean + user offset + item offset + user factors . item factors, clipped to the scale.
 
@@ -63,6 +114,7 @@ class FactorModel:
         self.users: DataFrame | None = None
         self.items: DataFrame | None = None
         self.train_pairs: DataFrame | None = None
+        self._written: tuple[dict, dict, int] | None = None
         self.metrics: dict = {}
 
     @classmethod
@@ -90,8 +142,10 @@ class FactorModel:
         work = Descent(ratings.select("userId", "movieId", "rating"), [one], self.params["random_state"], self.blocks)
         work.run(self.params["n_epochs"])
         self.mean = work.means[0]
-        self.users = materialize(work.table(0, 0, "userId", "user_bias"), "userId-factors", keep=True)
-        self.items = materialize(work.table(0, 1, "movieId", "item_bias"), "movieId-factors", keep=True)
+        users = materialize(work.table(0, 0, "userId", "user_bias"), "userId-factors", keep=True, folders=["block"])
+        items = materialize(work.table(0, 1, "movieId", "item_bias"), "movieId-factors", keep=True, folders=["block"])
+        self._written = *(files_by_folder(table, ["block"]) for table in (users, items)), work.blocks
+        self.users, self.items = users.drop("block"), items.drop("block")
         pairs = work.rows.select(F.col("u").alias("userId"), F.col("v").alias("movieId")).distinct()
         self.train_pairs = materialize(pairs, "train-pairs", keep=True)
         return self
@@ -141,22 +195,41 @@ class FactorModel:
             self.save(save_path)
         return self.metrics
 
+    def _in_blocks(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` with the parts of their estimate, by tasks that read the factors of their two blocks: no vector is sent."""
+        users, items, blocks = self._written
+        spark = pairs.sparkSession
+        salts = ceil(spark.sparkContext.defaultParallelism / blocks**2)
+        slots = blocks**2 * salts
+        keyed = pairs.select("*", F.col("userId").cast("bigint").alias("__u"), F.col("movieId").cast("bigint").alias("__v"))
+        salt = F.pmod(F.xxhash64("__v", "__u"), F.lit(salts)).cast("int")
+        keyed = keyed.withColumn("__slot", (block_of("__u", blocks) * blocks + block_of("__v", blocks)) * salts + salt)
+        label = label_of(F.col("__slot"), slot_labels(spark, slots))
+        keyed = keyed.repartition(slots, label).sortWithinPartitions("__slot")
+        kind = T.StructType([*pairs.schema, *[T.StructField(n, T.DoubleType()) for n in ("item_bias", "user_bias", "dot_")]])
+        work = _parts(users, items, blocks, salts, self.params["n_factors"], kind.names)
+        return keyed.mapInArrow(work, kind)
+
     def predict(self, pairs: DataFrame) -> DataFrame:
         """``pairs`` with a ``prediction`` in the rating scale."""
         self._require()
-        scored = pairs.join(self.items.withColumnRenamed("features", "__q"), "movieId", "left").join(
-            self.users.withColumnRenamed("features", "__p"), "userId", "left"
-        )
+        if self._written is not None:
+            scored = self._in_blocks(pairs)
+        else:
+            scored = pairs.join(self.items.withColumnRenamed("features", "__q"), "movieId", "left")
+            scored = scored.join(self.users.withColumnRenamed("features", "__p"), "userId", "left")
+            scored = scored.withColumn("dot_", dot(F.col("__p"), F.col("__q"))).drop("__p", "__q")
         zero = F.lit(0.0)
         estimate = (
             F.lit(self.mean).cast("double")
             + F.coalesce("item_bias", zero)
             + F.coalesce("user_bias", zero)
-            + F.coalesce(dot(F.col("__p"), F.col("__q")), zero)
-        )
-        return scored.withColumn("prediction", clip_rating(estimate)).drop(
-            "__p", "__q", "item_bias", "user_bias"
+            + F.coalesce("dot_", zero)
         )
+        # The columns of pairs come after the keys, as a join gives them.
+        first = ["userId", "movieId"]
+        names = first + [c for c in pairs.columns if c not in first]
+        return scored.withColumn("prediction", clip_rating(estimate)).select(*names, "prediction")
 
     def evaluate(self, test: DataFrame) -> DataFrame:
         """rmse, mae and n_test over every row of ``test``."""

@@ -294,3 +294,21 @@ def test_long_visits_learn_as_well(planted):
     params = {"n_factors": 20, "n_epochs": 20, "solver": "sgd"}
     one, four = (FactorModel(**params, blocks=b).fit(train).evaluate(test).first().rmse for b in (1, 4))
     assert four == pytest.approx(one, rel=0.01)
+
+
+def test_predictions_send_no_vectors_and_equal_the_join(planted):
+    """Unknown and missing ids, repeated pairs and more columns; the same model without its written blocks joins."""
+    spark = planted.sparkSession
+    model = FactorModel(n_factors=5, n_epochs=2, blocks=3, solver="sgd").fit(planted)
+    pairs = planted.select("userId", "movieId", "rating").limit(200)
+    odd = spark.createDataFrame([(None, 1, 1.0), (1, None, 2.0), (10**9, 1, 3.0), (1, 10**9, 4.0), (None, None, 5.0)], pairs.schema)
+    pairs = pairs.unionByName(odd).unionByName(odd).withColumn("note", F.array(F.lit("x")))
+    mine = model.predict(pairs)
+    plan = mine._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "features" not in plan
+    plain = FactorModel.from_tables(model.mean, model.users, model.items, model.train_pairs, n_factors=5).predict(pairs)
+    assert mine.columns == plain.columns
+    both = [sorted(((str(r[:-1]), r.prediction) for r in df.collect())) for df in (mine, plain)]
+    assert len(both[0]) == len(both[1]) == 210
+    for (a, x), (b, y) in zip(*both):
+        assert a == b and x == pytest.approx(y, abs=1e-9)
