@@ -3,6 +3,8 @@
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,3 +314,21 @@ def test_predictions_send_no_vectors_and_equal_the_join(planted):
     assert len(both[0]) == len(both[1]) == 210
     for (a, x), (b, y) in zip(*both):
         assert a == b and x == pytest.approx(y, abs=1e-9)
+
+
+def test_a_state_in_pieces_is_read_whole(tmp_path, monkeypatch):
+    monkeypatch.setattr(sgd, "PIECE_BYTES", 500)
+    group, ids = sgd.Group(0, [0], [sgd.Fit(4)], [3.0]), np.arange(0, 150, 3)
+    side = sgd.first_side(group, 0, ids)
+    pieces = list(sgd._pieces(0, 0, 1, ids, *side))
+    assert len(pieces) > 1 and max(len(x["vecs"]) for x in pieces) <= 500
+    path = str(tmp_path / "state.parquet")
+    pq.write_table(pa.Table.from_pylist(pieces[::-1], sgd.STATE_ARROW), path)
+    met = sgd.Meeting(group, (1, 0), [[path], []], [])
+    assert (met.ids[0] == ids).all() and all((a == b).all() and a.flags.writeable for a, b in zip(met.sides[0], side))
+
+
+def test_a_long_side_has_the_room_of_a_short_one(spark):
+    """A task holds a block of both sides; a short one leaves its room to the other."""
+    rows = spark.range(200_000).select(F.col("id").alias("userId"), (F.col("id") % 100).alias("movieId"), F.lit(3.0).alias("rating"))
+    assert sgd.Descent(rows, [sgd.Fit(250)]).blocks == 1
