@@ -332,3 +332,27 @@ def test_a_long_side_has_the_room_of_a_short_one(spark):
     """A task holds a block of both sides; a short one leaves its room to the other."""
     rows = spark.range(200_000).select(F.col("id").alias("userId"), (F.col("id") % 100).alias("movieId"), F.lit(3.0).alias("rating"))
     assert sgd.Descent(rows, [sgd.Fit(250)]).blocks == 1
+
+
+def test_states_lie_in_files_that_tasks_write(planted):
+    """A step's rows are addresses of files, read piece by piece into place; the files of the step before are gone."""
+    work = sgd.Descent(planted, [sgd.Fit(3)], blocks=2)
+    before = [f.removeprefix("file:") for files in work.states.values() for f in files]
+    assert len(before) == 4 and all(os.path.exists(f) for f in before)
+    assert set(work._drawn.columns) == set(sgd.FILES.names)
+    work.run(2)
+    after = [f.removeprefix("file:") for files in work.states.values() for f in files]
+    assert len(after) == 4 and all(os.path.exists(f) for f in after) and not any(os.path.exists(f) for f in before)
+    assert len({os.path.dirname(f) for f in after}) == 1
+
+
+def test_models_side_by_side_leave_out_the_same_fold(planted):
+    """Ratings of the fold that a group leaves out change nothing and cost nothing."""
+    rows = planted.withColumn("fold", (F.col("movieId") % 3).cast("int"))
+    fits = [sgd.Fit(2, lr, 0.02, 42, fold) for lr in (0.01, 0.02, 0.03) for fold in range(3)]
+    work = sgd.Descent(rows, fits)
+    assert sorted(m for g in work.groups for m in g.members) == list(range(9))
+    assert all(len(set(g.folds.tolist())) == 1 for g in work.groups)
+    work.run(1)
+    seen = {r.movieId % 3 for r in work.table(0, 1, "movieId", "item_bias").collect()}
+    assert seen == {1, 2}  # fold 0 is left out
