@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tastegrid.operators.similar import similar_by_vector
 from tastegrid.plans import blocks, cells
 from tastegrid.plans.blocks import best_products, block_top_n
+from tastegrid.sources.session import files_by_folder
 
 KIND = "id long, vec array<float>"
 
@@ -173,3 +174,52 @@ def test_leaves_give_the_lists_of_all_products(kinds):
     assert leaves.tight and (found.ids == plain.ids).all() and (found.scores == plain.scores).all()
     if kinds:
         assert taken < all_taken / 2
+
+
+def test_no_row_is_sent_to_the_cells_it_looks_into(spark, monkeypatch):
+    """Vectors without clusters: every row looks into every cell, but rows and cells are written once each and read by the tasks."""
+    written, plain = {}, cells.materialize
+
+    def watched(df, name, **k):
+        table = written[name] = plain(df, name, **k)
+        return table
+
+    monkeypatch.setattr(cells, "materialize", watched)
+    vectors = np.random.default_rng(8).normal(size=(300, 12)).astype(np.float32)
+    counter = spark.sparkContext.accumulator(0)
+    sizes = {}
+    monkeypatch.setattr(cells, "files_by_folder", lambda t, names: sizes.update({tuple(names): t.count()}) or files_by_folder(t, names))
+    got = lists(similar_by_vector(frame(spark, vectors), 5, "id", "vec", cells=12, counter=counter), "id")
+    equal(got, nearest(vectors, 5))
+    assert counter.value > 0.5 * 300**2
+    assert sizes == {("cell", "piece"): 300, ("part",): 300}
+    assert "own-cells" not in written
+
+
+def test_few_rows_share_the_cells_among_tasks(spark):
+    vectors = np.random.default_rng(9).normal(size=(200, 6)).astype(np.float32)
+    vectors[50:80] = vectors[0]
+    some = frame(spark, vectors[:3])
+    got = lists(similar_by_vector(frame(spark, vectors), 7, "id", "vec", some, cells=9), "id")
+    equal(got, {k: v for k, v in nearest(vectors, 7).items() if k < 3})
+
+
+def test_single_products_are_taken_again(monkeypatch):
+    """Pairs that single precision picks give the lists that all products of their rows give; ties, excluded pairs, few and many pairs."""
+    rng = np.random.default_rng(11)
+    a, b = np.round(rng.normal(size=(50, 5)), 2), np.round(rng.normal(size=(4000, 5)), 2)
+    b = np.concatenate([b, b[:200]])
+    order = np.argsort(-np.linalg.norm(b, axis=1), kind="stable")
+    b, ids = b[order], rng.permutation(len(b)).astype(np.int64)
+    gone = np.unique(np.stack([rng.integers(0, len(b), 3000), rng.integers(0, 50, 3000)]), axis=1)[::-1]
+    found = {}
+    for most in (-1, 30, 1 << 14):
+        monkeypatch.setattr(blocks, "PAIRS_AT_ONCE", most)
+        got, _ = best_products(a, b, ids, 7, 9, gone=tuple(gone))
+        found[most] = got
+    masked = np.round(a @ b.T, 9)
+    masked[gone[0], gone[1]] = -np.inf
+    for i in range(50):
+        want = sorted(zip(-masked[i], ids))[:7]
+        for got in found.values():
+            assert got.ids[i].tolist() == [j for _, j in want] and np.allclose(got.scores[i], [-x for x, _ in want])
